@@ -56,9 +56,13 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                      F.lit(0)).alias(f"_off_{w}") for w in weights],
         *[F.sum(f"_blk_{w}").over(w_all).alias(f"tot_{w}") for w in weights],
     )
-    out = local.join(offsets, on=slice_keys, how="inner")
+    # NULL group keys are groups too: join null-safely
+    offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in slice_keys],
+                             *[c for c in offsets.columns if c not in slice_keys])
+    cond = [local[k].eqNullSafe(offsets[f"_o_{k}"]) for k in slice_keys]
+    out = local.join(offsets, on=cond, how="inner")
     return out.select(
-        *[c for c in df.columns],
+        *[local[c] for c in df.columns],
         *[(F.col(f"_off_{w}") + F.col(f"_loc_{w}")).alias(f"cum_{w}") for w in weights],
         *[F.col(f"tot_{w}") for w in weights],
     )

@@ -312,3 +312,192 @@ def quality_findings(df: DataFrame) -> DataFrame:
     with_ok = F.when(F.size(fired) <= 1, F.concat(fired, F.array(
         rule(F.lit("success"), F.lit("no_issues"), F.lit(None))))).otherwise(fired)
     return one.select(F.inline(with_ok))
+
+
+# --------------------------------------------------------------------------- A14-A25 (EDA)
+def numeric_describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Count, mean, std, min, 25 %, 50 %, 75 %, max per numeric column (exact quantiles)."""
+    nl = numeric_long(df, columns)
+    moments = nl.groupBy("col_name").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles_from_counts(value_counts(nl, ["col_name"], "value"), ["col_name"], "value",
+                                    [0.25, 0.5, 0.75])
+    qw = q.groupBy("col_name").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
+                                     for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
+    return moments.join(qw, "col_name", "left").select(
+        "col_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+def categorical_describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Count (non-null), unique, top, freq per text column."""
+    cols = list(columns or text_columns(df))
+    counts = long_form(df, [], {c: qcol(c).cast("string") for c in cols}).groupBy("col_name") \
+        .agg(F.count("value").alias("count"))
+    return counts.join(top_values(df, cols), "col_name", "left").select(
+        "col_name", "count", F.coalesce("n_distinct", F.lit(0)).alias("unique"),
+        F.col("top"), F.col("top_freq").alias("freq"))
+
+
+def value_shares(df: DataFrame, column: str) -> DataFrame:
+    """Value, count, pct of the non-null rows; most frequent first."""
+    counts = df.where(qcol(column).isNotNull()).groupBy(qcol(column).alias("value")) \
+        .agg(F.count(F.lit(1)).alias("count"))
+    # the total is a scalar subquery: no window over all rows, no join
+    total = df.where(qcol(column).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    return counts.select("value", "count", (F.col("count") / total * 100.0).alias("pct")) \
+        .orderBy(F.col("count").desc(), F.col("value"))
+
+
+def _range_bounds(df: DataFrame, column: str) -> tuple[Column, Column]:
+    v = as_double(column, df.schema[column].dataType)
+    lo = df.agg(F.min(v)).scalar()
+    hi = df.agg(F.max(v)).scalar()
+    return lo, hi
+
+
+def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
+    """Equal-width bins over [min, max] with the maximum in the last bin (numpy rule);
+    all ``bins`` rows are returned, empty ones with count 0."""
+    v = as_double(column, df.schema[column].dataType)
+    lo0, hi0 = _range_bounds(df, column)
+    lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)
+    hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)
+    idx = F.least(F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1))
+    counts = df.where(v.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    grid = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    width = (hi - lo) / F.lit(float(bins))
+    return grid.join(counts, "bin", "left").select(
+        F.col("bin").cast("int").alias("bin"), (lo + F.col("bin") * width).alias("lower"),
+        (lo + (F.col("bin") + 1) * width).alias("upper"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
+def density(df: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
+    """Gaussian KDE on a ``gridsize`` grid, Scott bandwidth std·n^(-1/5),
+    grid from min − cut·bw to max + cut·bw.
+
+    Distinct values are pre-aggregated, each expanded over the fixed-size grid and summed
+    per grid point with map-side combining, so the shuffle carries ``gridsize`` rows per task.
+    """
+    v = as_double(column, df.schema[column].dataType)
+    vals = df.select(v.alias("value")).where(F.col("value").isNotNull())
+    stats = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"),
+                     F.min("value").alias("mn"), F.max("value").alias("mx"))
+    n = stats.select("n").scalar()
+    bw = stats.select(F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).scalar()
+    g0 = stats.select(F.col("mn")).scalar() - F.lit(cut) * bw
+    g1 = stats.select(F.col("mx")).scalar() + F.lit(cut) * bw
+    step = (g1 - g0) / F.lit(float(gridsize - 1))
+    counts = vals.groupBy("value").agg(F.count(F.lit(1)).alias("w"))
+    pts = counts.select("value", "w", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
+    x = g0 + F.col("i") * step
+    z = (x - F.col("value")) / bw
+    kern = F.col("w") * F.exp(F.lit(-0.5) * z * z)
+    summed = pts.groupBy("i").agg(F.sum(kern).alias("_s"))
+    return summed.select(F.col("i").cast("int").alias("i"), x.alias("x"),
+                         (F.col("_s") / (n * bw * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
+
+
+def crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence | None = None) -> DataFrame:
+    """Counts of ``row_col`` × ``col_col`` (rows with a NULL in either are skipped), zeros filled.
+
+    Pass ``values`` to fix the output columns; otherwise Spark discovers them (bounded by
+    ``spark.sql.pivotMaxValues``)."""
+    src = df.where(qcol(row_col).isNotNull() & qcol(col_col).isNotNull())
+    g = src.groupBy(qcol(row_col))
+    piv = g.pivot(col_col, list(values)) if values is not None else g.pivot(col_col)
+    out = piv.count()
+    return out.fillna(0, subset=[c for c in out.columns if c != row_col])
+
+
+def box_stats(df: DataFrame, value_col: str, group_col: str, k: float = 1.5) -> DataFrame:
+    """Per group n, quartiles (linear), IQR fences, whiskers (extreme values inside the
+    fences) and number of points outside them."""
+    v = as_double(value_col, df.schema[value_col].dataType)
+    long = df.select(qcol(group_col).alias("grp"), v.alias("value"))
+    counts = value_counts(long, ["grp"], "value")
+    q = exact_quantiles_from_counts(counts, ["grp"], "value", [0.25, 0.5, 0.75])
+    qs = q.groupBy("grp").agg(F.first("n").alias("n"),
+                              *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(nm)
+                                for nm, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    qs = qs.select("*", (F.col("q3") - F.col("q1")).alias("iqr")).select(
+        "*", (F.col("q1") - k * F.col("iqr")).alias("lower_fence"),
+        (F.col("q3") + k * F.col("iqr")).alias("upper_fence"))
+    inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
+    fences = qs.select(F.col("grp").alias("_g"), "lower_fence", "upper_fence")
+    wh = counts.join(fences, counts["grp"].eqNullSafe(fences["_g"])).groupBy("grp").agg(
+        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+        F.sum(F.when(~inside, F.col("w")).otherwise(F.lit(0))).alias("n_outliers"))
+    wh = wh.withColumnRenamed("grp", "_g")
+    return qs.join(wh, qs["grp"].eqNullSafe(wh["_g"])).select(
+        F.col("grp").alias(group_col), "n", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
+        "whisker_low", "whisker_high", "n_outliers")
+
+
+def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None,
+                   max_points: int | None = None, seed: int = 42, key: str | None = None) -> DataFrame:
+    """(x, y, color) pairs; with ``max_points`` a deterministic hash sample of that size
+    (sampling is the feature; the default returns every row)."""
+    cols = [qcol(x).alias("x"), qcol(y).alias("y"),
+            (qcol(color) if color else F.lit(None)).alias("color")]
+    out = df.select(*cols)
+    if max_points is not None:
+        h = F.xxhash64(F.lit(seed), *([qcol(key)] if key else [qcol(c) for c in df.columns]))
+        out = df.select(*cols, h.alias("_h")).orderBy("_h").limit(max_points).drop("_h")
+    return out
+
+
+def skewness(df: DataFrame, columns: Sequence[str] | None = None, limit: float = 1.0) -> DataFrame:
+    """Bias-corrected sample skewness G1 = g1·√(n(n−1))/(n−2) per numeric column and
+    the alert flag |G1| > ``limit``."""
+    nl = numeric_long(df, columns)
+    s = nl.groupBy("col_name").agg(F.count("value").alias("n"), F.skewness("value").alias("g1"))
+    n = F.col("n").cast("double")
+    g = F.when(F.col("n") > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
+    return s.select("col_name", "n", g.alias("skew"), F.coalesce(F.abs(g) > limit, F.lit(False)).alias("skewed"))
+
+
+def target_stats(df: DataFrame, column: str) -> DataFrame:
+    """Min, max, mean, std (ddof 1) and range of a numeric target."""
+    v = as_double(column, df.schema[column].dataType)
+    return df.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
+                  F.stddev_samp(v).alias("std")).select("*", (F.col("max") - F.col("min")).alias("range"))
+
+
+def eda_findings(df: DataFrame) -> DataFrame:
+    """(finding, col_name, value): any null cell, any duplicate row, each skewed column."""
+    m = basic_metrics(df).select("null_cells", "duplicate_rows")
+    head = m.select(F.inline(F.array(
+        F.when(F.col("null_cells") > 0, F.struct(F.lit("has_nulls").alias("finding"),
+                                                 F.lit(None).cast("string").alias("col_name"),
+                                                 F.col("null_cells").cast("double").alias("value"))),
+        F.when(F.col("duplicate_rows") > 0, F.struct(F.lit("has_duplicates").alias("finding"),
+                                                     F.lit(None).cast("string").alias("col_name"),
+                                                     F.col("duplicate_rows").cast("double").alias("value"))),
+    ))).where(F.col("finding").isNotNull())
+    sk = skewness(df).where("skewed").select(F.lit("skewed").alias("finding"), "col_name",
+                                             F.col("skew").alias("value"))
+    return head.unionByName(sk)
+
+
+def quality_bundle(df: DataFrame) -> dict[str, DataFrame]:
+    """The profiling tables persisted for the report, by section name."""
+    return {
+        "global": quality_score(df),
+        "nulls": nulls_by_column(df),
+        "duplicates": duplicate_summary(df),
+        "outliers": outliers(df, "iqr", 1.5),
+        "columns": column_stats(df),
+    }
+
+
+def write_quality_bundle(df: DataFrame, path: str, run_id: str) -> None:
+    """Write every section as JSON rows into one ``quality`` dataset partitioned by section."""
+    parts = [t.select(F.lit(run_id).alias("run_id"), F.lit(name).alias("section"),
+                      F.to_json(F.struct(*[qcol(c) for c in t.columns])).alias("payload"))
+             for name, t in quality_bundle(df).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out.write.mode("append").partitionBy("run_id", "section").parquet(path)

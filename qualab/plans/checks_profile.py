@@ -261,3 +261,130 @@ SELECT severity, rule, value FROM f
 UNION ALL SELECT 'success', 'no_issues', CAST(NULL AS DOUBLE) WHERE (SELECT count(*) FROM f) <= 1""")
 def a13(spark, sf):
     return P.quality_findings(table(spark, sf, "dirty_orders"))
+
+
+# ----------------------------------------------------------------------------- EDA
+@check("a14_numeric_describe", round_cols=["mean", "std", "min", "p25", "p50", "p75", "max"], sql=f"""
+SELECT col_name, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min,
+       quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75,
+       max(value) AS max
+FROM ({sql_long('lineitem', {c: _d(c) for c in LI_NUM})}) AS l GROUP BY col_name""")
+def a14(spark, sf):
+    return P.numeric_describe(table(spark, sf, "lineitem"))
+
+
+@check("a15_categorical_describe", fixtures=["dirty_orders"], sql=sql_union([f"""
+SELECT '{c}' AS col_name, count({c}) AS count, count(DISTINCT {c}) AS "unique",
+       (SELECT {c} FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top,
+       (SELECT count(*) FROM dirty_orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS freq
+FROM dirty_orders""" for c in DO_TXT]))
+def a15(spark, sf):
+    return P.categorical_describe(table(spark, sf, "dirty_orders"))
+
+
+@check("a16_value_shares", fixtures=["dirty_orders"], round_cols=["pct"], sql="""
+SELECT o_orderpriority AS value, count(*) AS count,
+       CAST(count(*) AS DOUBLE) / CAST((SELECT count(*) FROM dirty_orders WHERE o_orderpriority IS NOT NULL) AS DOUBLE) * 100.0 AS pct
+FROM dirty_orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""")
+def a16(spark, sf):
+    return P.value_shares(table(spark, sf, "dirty_orders"), "o_orderpriority")
+
+
+@check("a17_histogram", fixtures=["dirty_orders"], round_cols=["lower", "upper"], sql="""
+WITH s AS (SELECT min(o_totalprice) AS lo0, max(o_totalprice) AS hi0 FROM dirty_orders),
+     b AS (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                  CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM s),
+     c AS (SELECT CAST(least(floor((o_totalprice - lo) * (CAST(30 AS DOUBLE) / (hi - lo))), 29) AS BIGINT) AS bin,
+                  count(*) AS cnt
+           FROM dirty_orders, b WHERE o_totalprice IS NOT NULL GROUP BY 1)
+SELECT CAST(g.bin AS INTEGER) AS bin, lo + g.bin * ((hi - lo) / CAST(30 AS DOUBLE)) AS lower,
+       lo + (g.bin + 1) * ((hi - lo) / CAST(30 AS DOUBLE)) AS upper, coalesce(c.cnt, 0) AS count
+FROM (SELECT range AS bin FROM range(30)) AS g CROSS JOIN b LEFT JOIN c ON c.bin = g.bin""")
+def a17(spark, sf):
+    return P.histogram(table(spark, sf, "dirty_orders"), "o_totalprice", 30)
+
+
+@check("a18_density", round_cols=["x", "density"], sql="""
+WITH s AS (SELECT count(*) AS n, stddev_samp(l_quantity) AS sd, min(l_quantity) AS mn, max(l_quantity) AS mx
+           FROM lineitem WHERE l_quantity IS NOT NULL),
+     p AS (SELECT n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM s),
+     g AS (SELECT p.n, p.bw, s.mn - CAST(3 AS DOUBLE) * p.bw AS g0,
+                  (s.mx + CAST(3 AS DOUBLE) * p.bw - (s.mn - CAST(3 AS DOUBLE) * p.bw)) / CAST(199 AS DOUBLE) AS step
+           FROM s, p),
+     v AS (SELECT l_quantity AS value, count(*) AS w FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1)
+SELECT CAST(i.range AS INTEGER) AS i, g0 + i.range * step AS x,
+       sum(w * exp(-0.5 * ((g0 + i.range * step - value) / bw) * ((g0 + i.range * step - value) / bw)))
+         / (n * bw * sqrt(2 * pi())) AS density
+FROM range(200) AS i, g, v GROUP BY i.range, g0, step, n, bw""")
+def a18(spark, sf):
+    return P.density(table(spark, sf, "lineitem"), "l_quantity")
+
+
+@check("a19_crosstab", fixtures=["dirty_orders"], sql="""
+SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F,
+       count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P
+FROM dirty_orders WHERE o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY o_orderpriority""")
+def a19(spark, sf):
+    return P.crosstab(table(spark, sf, "dirty_orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+def sql_box(t: str, v: str, g: str) -> str:
+    return f"""
+WITH q AS (SELECT {g} AS grp, count({v}) AS n, quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.5) AS median,
+                  quantile_cont({v}, 0.75) AS q3 FROM {t} WHERE {v} IS NOT NULL GROUP BY {g}),
+     f AS (SELECT *, q3 - q1 AS iqr, q1 - CAST(1.5 AS DOUBLE) * (q3 - q1) AS lower_fence,
+                  q3 + CAST(1.5 AS DOUBLE) * (q3 - q1) AS upper_fence FROM q)
+SELECT f.grp AS {g}, n, q1, median, q3, iqr, lower_fence, upper_fence,
+       min(CAST(x.{v} AS DOUBLE)) FILTER (WHERE x.{v} >= lower_fence AND x.{v} <= upper_fence) AS whisker_low,
+       max(CAST(x.{v} AS DOUBLE)) FILTER (WHERE x.{v} >= lower_fence AND x.{v} <= upper_fence) AS whisker_high,
+       count(*) FILTER (WHERE NOT (x.{v} >= lower_fence AND x.{v} <= upper_fence)) AS n_outliers
+FROM f JOIN {t} AS x ON x.{g} IS NOT DISTINCT FROM f.grp AND x.{v} IS NOT NULL
+GROUP BY f.grp, n, q1, median, q3, iqr, lower_fence, upper_fence"""
+
+
+BOX_ROUND = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
+
+
+@check("a20_box_by_class", round_cols=BOX_ROUND, sql=sql_box("lineitem", "l_extendedprice", "l_returnflag"))
+def a20(spark, sf):
+    return P.box_stats(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
+
+
+@check("a20_box_by_category", fixtures=["dirty_orders"], round_cols=BOX_ROUND,
+       sql=sql_box("dirty_orders", "o_totalprice", "o_orderpriority"))
+def a20b(spark, sf):
+    return P.box_stats(table(spark, sf, "dirty_orders"), "o_totalprice", "o_orderpriority")
+
+
+@check("a21_scatter_points", round_cols=["x", "y"],
+       sql="SELECT l_quantity AS x, l_extendedprice AS y, l_returnflag AS color FROM lineitem")
+def a21(spark, sf):
+    return P.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+
+
+def sql_skew(t: str, num: list[str]) -> str:
+    return f"""
+SELECT col_name, n, skew, coalesce(abs(skew) > 1.0, false) AS skewed
+FROM (SELECT col_name, count(value) AS n, CASE WHEN count(value) > 2 THEN skewness(value) END AS skew
+      FROM ({sql_long(t, {c: _d(c) for c in num})}) AS l GROUP BY col_name) AS s"""
+
+
+@check("a22_skewness", fixtures=["dirty_orders"], round_cols=["skew"], sql=sql_skew("dirty_orders", DO_NUM))
+def a22(spark, sf):
+    return P.skewness(table(spark, sf, "dirty_orders"))
+
+
+@check("a23_target_stats", round_cols=["min", "max", "mean", "std", "range"], sql="""
+SELECT min(o_totalprice) AS min, max(o_totalprice) AS max, avg(o_totalprice) AS mean,
+       stddev_samp(o_totalprice) AS std, max(o_totalprice) - min(o_totalprice) AS range FROM orders""")
+def a23(spark, sf):
+    return P.target_stats(table(spark, sf, "orders"), "o_totalprice")
+
+
+@check("a24_eda_findings", fixtures=["dup_orders"], round_cols=["value"], sql=f"""
+WITH m AS ({sql_basic_metrics('dup_orders', DO_ALL)})
+SELECT 'has_nulls' AS finding, CAST(NULL AS VARCHAR) AS col_name, CAST(null_cells AS DOUBLE) AS value FROM m WHERE null_cells > 0
+UNION ALL SELECT 'has_duplicates', NULL, CAST(duplicate_rows AS DOUBLE) FROM m WHERE duplicate_rows > 0
+UNION ALL SELECT 'skewed', col_name, skew FROM ({sql_skew('dup_orders', DO_NUM)}) AS s WHERE skewed""")
+def a24(spark, sf):
+    return P.eda_findings(table(spark, sf, "dup_orders").drop("seq"))
