@@ -152,4 +152,7 @@ def with_fixtures(sql: str, names: list[str]) -> str:
     if not names:
         return sql
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]}\n)" for n in names)
-    return f"WITH {ctes}\n{sql}"
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
