@@ -1 +1,121 @@
-"""Checked queries (filled in as operators land)."""
+"""Checked queries for cross-validation (C1-C13); model training checks are added below."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from qualab.operators import crossval as C
+from qualab.operators import rank as R
+from qualab.plans import runs_fixture as RF
+from qualab.plans.fixtures import table
+from qualab.plans.registry import check
+
+FX = RF.FIXTURES
+H42 = "CAST(('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
+
+
+@check("c1_stratified_folds", sql=f"""
+SELECT o_orderstatus, fold, count(*) AS n FROM (
+  SELECT o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {H42}, o_orderkey) - 1) % 5 AS INTEGER) AS fold
+  FROM orders) AS f GROUP BY o_orderstatus, fold""")
+def c1s(spark, sf):
+    f = C.assign_folds(table(spark, sf, "orders"), ["o_orderkey"], 5, label="o_orderstatus")
+    return f.groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("c1_hash_folds", sql=f"""
+SELECT CAST(floor({H42} * 5) AS INTEGER) AS fold, count(*) AS n FROM orders GROUP BY 1""")
+def c1h(spark, sf):
+    return C.assign_folds(table(spark, sf, "orders"), ["o_orderkey"], 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+CV_ROUND = ["mean", "std", "min", "max", "variance", "median", "range"]
+SQL_CV = """
+SELECT run_id, model, mean, std, min, max, variance, median, n_folds, max - min AS range,
+       CASE WHEN std < 0.02 THEN 'very_consistent' WHEN std < 0.05 THEN 'normal' ELSE 'inconsistent' END AS consistency
+FROM (SELECT run_id, model, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS min, max(score) AS max,
+             var_pop(score) AS variance, median(score) AS median, count(*) AS n_folds
+      FROM fold_scores WHERE split = 'test' GROUP BY run_id, model) AS s"""
+
+
+@check("c2_c9_cv_summary", fixtures=FX, round_cols=CV_ROUND, sql=RF.with_run_tables(SQL_CV))
+def c2(spark, sf):
+    return C.cv_summary(RF.fold_scores(spark, sf))
+
+
+@check("c10_cv_histogram", fixtures=FX, sql=RF.with_run_tables("""
+SELECT f.run_id, f.model, CAST(CASE WHEN hi - lo = 0 THEN 0 ELSE least(floor((score - lo) / (hi - lo) * bins), bins - 1) END AS INTEGER) AS bin,
+       count(*) AS count
+FROM fold_scores AS f JOIN (SELECT run_id, model, min(score) AS lo, max(score) AS hi, least(count(*), 10) AS bins
+                            FROM fold_scores WHERE split = 'test' GROUP BY run_id, model) AS s USING (run_id, model)
+WHERE split = 'test' GROUP BY 1, 2, 3"""))
+def c10(spark, sf):
+    return C.cv_histogram(RF.fold_scores(spark, sf))
+
+
+SQL_CURVE = """
+SELECT *, train_mean + train_std AS train_hi, train_mean - train_std AS train_lo, val_mean + val_std AS val_hi,
+       val_mean - val_std AS val_lo, train_mean - val_mean AS gap
+FROM (SELECT run_id, model, size, avg(score) FILTER (WHERE split = 'train') AS train_mean,
+             stddev_pop(score) FILTER (WHERE split = 'train') AS train_std,
+             avg(score) FILTER (WHERE split = 'test') AS val_mean, stddev_pop(score) FILTER (WHERE split = 'test') AS val_std
+      FROM curve_scores GROUP BY run_id, model, size) AS c"""
+CURVE_ROUND = ["size", "train_mean", "train_std", "val_mean", "val_std", "train_hi", "train_lo", "val_hi", "val_lo", "gap"]
+
+
+@check("c3_c12_curve_summary", fixtures=FX, round_cols=CURVE_ROUND, sql=RF.with_curve_tables(SQL_CURVE))
+def c3(spark, sf):
+    return C.curve_summary(RF.curve_scores(spark, sf))
+
+
+SQL_GAPS = f"""
+SELECT run_id, model, final_gap, max_gap, CASE WHEN final_gap > first_gap THEN 'creciente' ELSE 'decreciente' END AS gap_trend
+FROM (SELECT run_id, model, arg_max(gap, size) AS final_gap, arg_min(gap, size) AS first_gap, max(gap) AS max_gap
+      FROM ({SQL_CURVE}) AS c GROUP BY run_id, model) AS g"""
+
+
+@check("c3_gap_summary", fixtures=FX, round_cols=["final_gap", "max_gap"], sql=RF.with_curve_tables(SQL_GAPS))
+def c3g(spark, sf):
+    return C.gap_summary(RF.curve_scores(spark, sf))
+
+
+@check("c4_c6_c7_c8_advanced_diagnosis", fixtures=FX, round_cols=["cv_mean", "cv_std", "final_gap", "max_gap"],
+       sql=RF.with_curve_tables(f"""
+SELECT *, list_filter([CASE WHEN overfitting = 'posible' AND final_gap > 0.15 THEN 'overfit_severe' END,
+                       CASE WHEN overfitting = 'posible' AND final_gap <= 0.15 THEN 'overfit_moderate' END,
+                       CASE WHEN underfitting = 'posible' THEN 'underfit' END, CASE WHEN cv_std > 0.1 THEN 'unstable' END,
+                       CASE WHEN overfitting = 'improbable' AND underfitting = 'improbable' AND cv_std < 0.05 THEN 'balanced' END],
+                      lambda x: x IS NOT NULL) AS recommendations,
+       CASE WHEN overfitting = 'posible' THEN 'overfitting' WHEN underfitting = 'posible' THEN 'underfitting'
+            ELSE 'balanceado' END AS diagnosis_type
+FROM (SELECT cv.run_id, cv.model, cv.mean AS cv_mean, cv.std AS cv_std, g.final_gap, g.max_gap, g.gap_trend,
+             CASE WHEN g.final_gap > 0.1 OR g.max_gap > 0.15 THEN 'posible' WHEN g.final_gap < 0.03 THEN 'improbable'
+                  ELSE 'normal' END AS overfitting,
+             CASE WHEN cv.mean < CASE WHEN r.problem_type = 'clasificacion' THEN 0.7 ELSE 0.5 END THEN 'posible'
+                  ELSE 'improbable' END AS underfitting,
+             cv.std > 0.1 AS high_variance,
+             CASE WHEN g.final_gap > 0.15 THEN 'severe' WHEN g.final_gap > 0.1 THEN 'moderate'
+                  WHEN g.final_gap > 0.05 THEN 'normal' ELSE 'excellent' END AS gap_band
+      FROM ({SQL_CV}) AS cv JOIN ({SQL_GAPS}) AS g USING (run_id, model) LEFT JOIN runs AS r ON r.run_id = cv.run_id) AS d"""))
+def c4(spark, sf):
+    return C.advanced_diagnosis(RF.fold_scores(spark, sf), RF.curve_scores(spark, sf), RF.runs(spark, sf))
+
+
+@check("c5_c6_simple_diagnosis", fixtures=FX, round_cols=["cv_mean", "cv_std"], sql=RF.with_run_tables(f"""
+SELECT * EXCLUDE (codes), CASE WHEN len(codes) = 0 THEN ['balanced'] ELSE codes END AS recommendations FROM (
+  SELECT run_id, model, cv_mean, cv_std, overfitting, underfitting,
+         list_filter([CASE WHEN overfitting = 'posible' THEN 'overfit' END, CASE WHEN underfitting = 'posible' THEN 'underfit' END,
+                      CASE WHEN cv_std > 0.1 THEN 'unstable' END], lambda x: x IS NOT NULL) AS codes
+  FROM (SELECT run_id, model, mean AS cv_mean, std AS cv_std,
+               CASE WHEN std > 0.1 THEN 'posible' WHEN std < 0.03 THEN 'improbable' ELSE 'normal' END AS overfitting,
+               CASE WHEN mean < 0.6 THEN 'posible' ELSE 'improbable' END AS underfitting FROM ({SQL_CV}) AS s) AS d) AS e"""))
+def c5(spark, sf):
+    return C.simple_diagnosis(RF.fold_scores(spark, sf))
+
+
+@check("c13_model_bars", fixtures=FX, round_cols=["value"], sql=RF.with_run_tables("""
+SELECT run_id, model, metric, value FROM run_metrics
+WHERE metric IN ('accuracy', 'precision', 'recall', 'f1', 'auc') AND value IS NOT NULL"""))
+def c13(spark, sf):
+    cmp = R.comparison_table(RF.runs(spark, sf), RF.run_metrics(spark, sf))
+    return C.model_bars(cmp, ["accuracy", "precision", "recall", "f1", "auc"])

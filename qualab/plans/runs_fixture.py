@@ -107,3 +107,42 @@ def with_run_tables(body: str) -> str:
     """SQL: runs / run_metrics / fold_scores / predictions CTEs before ``body``."""
     return (f"WITH runs AS ({sql_runs()}), run_metrics AS ({sql_run_metrics()}), "
             f"fold_scores AS ({sql_fold_scores()}), predictions AS ({SQL_PREDICTIONS})\n{body}")
+
+
+SIZES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+
+
+def curve_scores(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
+    """(run_id, model, size, fold, split, score): accuracy of the synthetic classifiers on
+    nested hash subsets of the training folds (train) and on the held-out fold (test)."""
+    fold = F.floor(hash_unit(F.col("row_key")) * k).cast("int")
+    sub = hash_unit(F.col("row_key"), 7)
+    cls = table(spark, sf, "pred_binary").unionByName(table(spark, sf, "pred_multi")) \
+        .select("run_id", "model", fold.alias("fold_of_row"), sub.alias("sub"),
+                (F.col("label") == F.col("prediction")).cast("int").alias("hit"))
+    rows = cls.select("*", F.explode(F.array(*[F.lit(s) for s in SIZES])).alias("size")) \
+              .select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    tagged = rows.select("run_id", "model", "size", "fold", "hit",
+                         F.when(F.col("fold_of_row") == F.col("fold"), F.lit("test"))
+                          .when(F.col("sub") < F.col("size"), F.lit("train")).alias("split")).where(F.col("split").isNotNull())
+    return tagged.groupBy("run_id", "model", "size", "fold", "split").agg(
+        (F.sum("hit") / F.count(F.lit(1))).alias("score"))
+
+
+def sql_curve_scores(k: int = 5) -> str:
+    h = "CAST(('0x' || substr(md5('{s}|' || row_key), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0"
+    sizes = "[" + ", ".join(str(s) for s in SIZES) + "]"
+    return f"""
+SELECT run_id, model, size, fold, split, CAST(sum(hit) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS score FROM (
+  SELECT run_id, model, size, fold, hit,
+         CASE WHEN fold_of_row = fold THEN 'test' WHEN sub < size THEN 'train' END AS split
+  FROM (SELECT run_id, model, CAST(floor({h.format(s=42)} * {k}) AS INTEGER) AS fold_of_row, {h.format(s=7)} AS sub,
+               CAST(label = prediction AS INTEGER) AS hit, unnest({sizes}) AS size
+        FROM (SELECT * FROM pred_binary UNION ALL SELECT * FROM pred_multi) AS p) AS a,
+       (SELECT range AS fold FROM range({k})) AS f) AS t
+WHERE split IS NOT NULL GROUP BY run_id, model, size, fold, split"""
+
+
+def with_curve_tables(body: str) -> str:
+    return with_run_tables(f", curve_scores AS ({sql_curve_scores()})\n" + body).replace(
+        ")\n, curve_scores", "), curve_scores")
