@@ -161,16 +161,17 @@ def impute_mean(df: DataFrame, fit_df: DataFrame | None = None, columns: Sequenc
 
 
 # --------------------------------------------------------------------------- F1, J1
-def expand_date_like(df: DataFrame, order_by: Sequence[str] = (), sample: int = 5,
-                     max_invalid: float = 0.3) -> DataFrame:
-    """F1 date step: datetime columns → ``_anio, _mes, _dia``; text columns whose first
-    ``sample`` non-null values all parse as dates are expanded too when < 30 % of the rows
-    fail to parse."""
-    out = df
+def _date_like_columns(df: DataFrame, order_by: Sequence[str] = (), sample: int = 5,
+                       max_invalid: float = 0.3, keep: Sequence[str] = ()) -> list[str]:
+    """Columns F1 expands into date parts: datetime columns, and text columns whose first
+    ``sample`` non-null values all parse as dates with < 30 % of all rows unparsable."""
+    out = []
     for f in df.schema.fields:
+        if f.name in keep:
+            continue
         c = qcol(f.name)
         if is_datetime(f.dataType):
-            ts = c.cast("timestamp_ntz")
+            out.append(f.name)
         elif is_text(f.dataType):
             head = df.where(c.isNotNull())
             head = head.orderBy(*[qcol(o) for o in order_by]) if order_by else head
@@ -178,26 +179,72 @@ def expand_date_like(df: DataFrame, order_by: Sequence[str] = (), sample: int =
             if ok["n"] == 0 or ok["p"] < ok["n"]:
                 continue
             stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(default_parse(c)).alias("p")).first()
-            if (stats["n"] - stats["p"]) >= max_invalid * stats["n"]:
-                continue
-            ts = default_parse(c)
+            if (stats["n"] - stats["p"]) < max_invalid * stats["n"]:
+                out.append(f.name)
+    return out
+
+
+def _expand(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    out = df
+    for name in cols:
+        c = qcol(name)
+        ts = c.cast("timestamp_ntz") if is_datetime(df.schema[name].dataType) else default_parse(c)
+        out = out.withColumns({f"{name}_anio": F.year(ts), f"{name}_mes": F.month(ts),
+                               f"{name}_dia": F.dayofmonth(ts)}).drop(name)
+    return out
+
+
+def expand_date_like(df: DataFrame, order_by: Sequence[str] = (), sample: int = 5,
+                     max_invalid: float = 0.3, keep: Sequence[str] = ()) -> DataFrame:
+    """F1 date step: datetime columns → ``_anio, _mes, _dia``; date-like text columns too."""
+    return _expand(df, _date_like_columns(df, order_by, sample, max_invalid, keep))
+
+
+def fit_ml_prep(df: DataFrame, order_by: Sequence[str] = (), keep: Sequence[str] = ()) -> dict:
+    """F1 fitted state from ``df``: the date columns to expand and, per text column, the kept
+    categories (≤ 10 + 'OTROS') and the one-hot categories.  All of it is bounded in size."""
+    dates = _date_like_columns(df, order_by, keep=keep)
+    texts = {}
+    for f in df.schema.fields:
+        if f.name in keep or f.name in dates or not is_text(f.dataType):
+            continue
+        top = top_categories(df, f.name)
+        if top is None:
+            cats = [r[0] for r in df.where(qcol(f.name).isNotNull()).select(qcol(f.name)).distinct()
+                    .orderBy(qcol(f.name)).collect()]
         else:
+            cats = sorted(set(top) | {OTHER_LABEL})
+        texts[f.name] = (top, cats)
+    return {"dates": dates, "texts": texts}
+
+
+def apply_ml_prep(df: DataFrame, state: dict, keep: Sequence[str] = ()) -> DataFrame:
+    """F1 projection with a fitted state (no imputation)."""
+    keep = list(keep)
+    out = _expand(df, [c for c in state["dates"] if c in df.columns])
+    for name, (top, cats) in state["texts"].items():
+        if name not in out.columns:
             continue
-        out = out.withColumns({f"{f.name}_anio": F.year(ts), f"{f.name}_mes": F.month(ts),
-                               f"{f.name}_dia": F.dayofmonth(ts)}).drop(f.name)
-    return out
+        if top is not None:
+            out = out.withColumn(name, F.when(qcol(name).isin(top), qcol(name)).otherwise(F.lit(OTHER_LABEL)))
+        out = one_hot(out, name, cats)
+    feats = [f.name for f in out.schema.fields if is_numeric(f.dataType) and f.name not in keep]
+    out = finite_or_null(out.select(*[qcol(c) for c in keep], *[qcol(c) for c in feats]))
+    return out.select(*[qcol(c) for c in keep], *[qcol(c).cast("double").alias(c) for c in feats])
 
 
-def prepare_for_ml(df: DataFrame, fit_df: DataFrame | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+def prepare_for_ml(df: DataFrame, fit_df: DataFrame | None = None, order_by: Sequence[str] = (),
+                   keep: Sequence[str] = ()) -> DataFrame:
     """dates → parts, text → capped one-hot (0/1 ints, the intended behaviour), drop the
-    remaining non-numeric columns, ±Inf → NULL, mean imputation then 0.  All outputs double."""
-    out = expand_date_like(df, order_by)
-    for f in out.schema.fields:
-        if is_text(f.dataType):
-            out = one_hot(cap_categories(out, f.name), f.name)
-    out = finite_or_null(numeric_only(out))
-    out = out.select(*[qcol(c).cast("double").alias(c) for c in out.columns])
-    return impute_mean(out, fit_df)
+    remaining non-numeric columns, ±Inf → NULL, mean imputation then 0.  Categories and means
+    are fitted on ``fit_df`` (default ``df``); feature outputs are double; ``keep`` columns are
+    carried through unchanged."""
+    fit_src = df if fit_df is None else fit_df
+    state = fit_ml_prep(fit_src, order_by, keep)
+    out = apply_ml_prep(df, state, keep)
+    fit = out if fit_df is None else apply_ml_prep(fit_df, state, keep)
+    feats = [c for c in out.columns if c not in keep]
+    return impute_mean(out, fit, columns=feats)
 
 
 def append_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

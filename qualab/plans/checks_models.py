@@ -119,3 +119,141 @@ WHERE metric IN ('accuracy', 'precision', 'recall', 'f1', 'auc') AND value IS NO
 def c13(spark, sf):
     cmp = R.comparison_table(RF.runs(spark, sf), RF.run_metrics(spark, sf))
     return C.model_bars(cmp, ["accuracy", "precision", "recall", "f1", "auc"])
+
+
+# =========================================================================== models
+from pyspark.ml.feature import VectorAssembler  # noqa: E402
+from pyspark.ml.functions import array_to_vector  # noqa: E402
+from pyspark.ml.regression import LinearRegression  # noqa: E402
+from pyspark.ml.classification import NaiveBayes  # noqa: E402
+
+from qualab.operators import models as MO  # noqa: E402
+from qualab.operators import models_custom as MC  # noqa: E402
+from qualab.session import ensure_checkpoint_dir  # noqa: E402
+import uuid  # noqa: E402
+
+
+def _docs_data(spark, sf):
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
+    data, _ = MO.prepare_model_data(docs.drop("toxic"), "quality", "clasificacion", ["doc_id"])
+    return data
+
+
+def _reg_data(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount",
+                                              "l_extendedprice")
+    pt = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
+    data, _ = MO.prepare_model_data(li.join(pt, "l_partkey"), "l_extendedprice", "regresion",
+                                    ["l_orderkey", "l_linenumber", "l_partkey"])
+    return data
+
+
+def _model_check(name: str, problem: str):
+    def run(spark, sf):
+        data = _docs_data(spark, sf) if problem == "clasificacion" else _reg_data(spark, sf)
+        stats = data.agg(F.count_if(~F.col("is_test")).alias("n"), F.countDistinct("label").alias("k")).first()
+        est = MO.make_estimator(name, problem, stats["n"], stats["k"])
+        model = est.fit(data.where(~F.col("is_test")))
+        return MO.predictions_of(model, data.where(F.col("is_test")), "run_check", name)
+    return run
+
+
+for _name, _id in [("LogisticRegression", "m1"), ("DecisionTree", "m2"), ("RandomForest", "m3"),
+                   ("GradientBoosting", "m4"), ("SVC", "m5"), ("KNeighbors", "m6"), ("GaussianNB", "m7"),
+                   ("AdaBoost", "m8")]:
+    check(f"{_id}_{_name.lower()}_classifier_predictions")(_model_check(_name, "clasificacion"))
+
+for _name, _id in [("LinearRegression", "m9"), ("Ridge", "m10"), ("Lasso", "m11"), ("ElasticNet", "m12"),
+                   ("DecisionTree", "m13"), ("RandomForest", "m14"), ("GradientBoosting", "m15"), ("SVR", "m16"),
+                   ("KNeighbors", "m17"), ("AdaBoost", "m18")]:
+    check(f"{_id}_{_name.lower()}_regressor_predictions")(_model_check(_name, "regresion"))
+
+
+@check("m6_knn_exact_embeddings", sql="""
+WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS DOUBLE) AS label,
+                  CAST(('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0 < 0.2 AS is_test
+           FROM embeddings),
+     nb AS (SELECT q.vec_id AS q, t.label AS nl,
+                   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, t.x), CAST(t.vec_id AS VARCHAR)) AS r
+            FROM s AS q JOIN s AS t ON q.is_test AND NOT t.is_test),
+     votes AS (SELECT q, nl, count(*) AS v FROM nb WHERE r <= 5 GROUP BY q, nl)
+SELECT CAST(q AS VARCHAR) AS row_key, label, prediction FROM (
+  SELECT q, nl AS prediction, row_number() OVER (PARTITION BY q ORDER BY v DESC, nl) AS k FROM votes) AS b
+JOIN s ON s.vec_id = b.q WHERE k = 1""")
+def m6x(spark, sf):
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("row_key"),
+                                                array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                                                F.col("label").cast("double").alias("label"), "vec_id")
+    from qualab.functions.hashing import hash_unit
+    emb = emb.withColumn("is_test", hash_unit(F.col("vec_id").cast("string")) < 0.2)
+    model = MC.KNeighbors(k=5).fit(emb.where(~F.col("is_test")))
+    return model.transform(emb.where(F.col("is_test"))).select("row_key", "label", "prediction")
+
+
+@check("m17_knn_regressor_exact", sql="""
+WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS DOUBLE) AS label,
+                  CAST(('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0 < 0.2 AS is_test
+           FROM embeddings),
+     nb AS (SELECT q.vec_id AS q, t.label AS nl,
+                   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, t.x), CAST(t.vec_id AS VARCHAR)) AS r
+            FROM s AS q JOIN s AS t ON q.is_test AND NOT t.is_test)
+SELECT CAST(q AS VARCHAR) AS row_key, s.label, avg(nl) AS prediction FROM nb JOIN s ON s.vec_id = nb.q
+WHERE r <= 5 GROUP BY q, s.label""", round_cols=["prediction"])
+def m17x(spark, sf):
+    from qualab.functions.hashing import hash_unit
+    emb = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("row_key"),
+                                                array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                                                F.col("label").cast("double").alias("label"), "vec_id")
+    emb = emb.withColumn("is_test", hash_unit(F.col("vec_id").cast("string")) < 0.2)
+    model = MC.KNeighbors(k=5, problem_type="regresion").fit(emb.where(~F.col("is_test")))
+    return model.transform(emb.where(F.col("is_test"))).select("row_key", "label", "prediction")
+
+
+@check("m9_linear_regression_coefficients", round_cols=["slope", "intercept"], sql="""
+SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept FROM lineitem""")
+def m9x(spark, sf):
+    li = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(table(spark, sf, "lineitem"))
+    m = LinearRegression(solver="normal", standardization=False, labelCol="l_extendedprice").fit(li)
+    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
+
+
+@check("m7_gaussian_nb_parameters", round_cols=["mean", "variance"], sql="""
+WITH l AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS label, l_quantity, l_discount, l_tax FROM lineitem),
+     s AS (SELECT label, 'l_quantity' AS feature, avg(l_quantity) AS mean, var_pop(l_quantity) AS v FROM l GROUP BY label
+           UNION ALL SELECT label, 'l_discount', avg(l_discount), var_pop(l_discount) FROM l GROUP BY label
+           UNION ALL SELECT label, 'l_tax', avg(l_tax), var_pop(l_tax) FROM l GROUP BY label),
+     e AS (SELECT 1e-9 * greatest(var_pop(l_quantity), var_pop(l_discount), var_pop(l_tax)) AS eps FROM l)
+SELECT CAST(label AS DOUBLE) AS label, feature, mean, v + eps AS variance FROM s, e""")
+def m7x(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    li = VectorAssembler(inputCols=feats, outputCol="features").transform(li)
+    m = NaiveBayes(modelType="gaussian").fit(li)
+    rows = []
+    labels = [0.0, 1.0]
+    for ci, lab in enumerate(labels):
+        for fj, f in enumerate(feats):
+            rows.append((lab, f, float(m.theta[ci, fj]), float(m.sigma[ci, fj])))
+    return spark.createDataFrame(rows, "label double, feature string, mean double, variance double")
+
+
+@check("m20_benchmark_ranking")
+def m20(spark, sf):
+    res = MO.benchmark(_docs_data(spark, sf), "clasificacion", "run_bench",
+                       models=["LogisticRegression", "DecisionTree", "GaussianNB"], cv_folds=5)
+    return res.run_metrics
+
+
+@check("m21_save_and_reload_predictions")
+def m21(spark, sf):
+    data = _docs_data(spark, sf)
+    res = MO.benchmark(data, "clasificacion", "run_save", models=["LogisticRegression", "KNeighbors"], cv_folds=0)
+    paths = MO.save_models(res, f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}").collect()
+    frames = []
+    for r in paths:
+        model = MO.load_model(r["path"], r["kind"])
+        frames.append(MO.predictions_of(model, data.where(F.col("is_test")), "run_save", r["model"]))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
