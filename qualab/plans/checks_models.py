@@ -257,3 +257,80 @@ def m21(spark, sf):
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+# =========================================================================== attribution
+from qualab.operators import explain as X  # noqa: E402
+
+LI_KEY = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
+
+
+def _li_linear(spark, sf, feats):
+    li = table(spark, sf, "lineitem").withColumn(
+        "row_key", F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")))
+    li = VectorAssembler(inputCols=feats, outputCol="features").transform(li)
+    m = LinearRegression(solver="normal", standardization=False, labelCol="l_extendedprice").fit(li)
+    return li, m, {f: float(w) for f, w in zip(feats, m.coefficients)}
+
+
+SQL_OLS2 = """
+ols AS (SELECT (vd * cq - cqd * cd) / (vq * vd - cqd * cqd) AS wq, (vq * cd - cqd * cq) / (vq * vd - cqd * cqd) AS wd,
+               mq, md
+        FROM (SELECT var_pop(l_quantity) AS vq, var_pop(l_discount) AS vd, covar_pop(l_quantity, l_discount) AS cqd,
+                     covar_pop(l_quantity, l_extendedprice) AS cq, covar_pop(l_discount, l_extendedprice) AS cd,
+                     avg(l_quantity) AS mq, avg(l_discount) AS md FROM lineitem) AS m),
+shap AS (SELECT {key} AS row_key, 'l_quantity' AS feature, l_quantity AS value, wq * (l_quantity - mq) AS shap FROM lineitem, ols
+         UNION ALL SELECT {key}, 'l_discount', l_discount, wd * (l_discount - md) FROM lineitem, ols)""".format(key=LI_KEY)
+
+
+@check("x1_linear_shap", round_cols=["value", "shap"], sql=f"WITH {SQL_OLS2} SELECT * FROM shap")
+def x1(spark, sf):
+    li, _, w = _li_linear(spark, sf, ["l_quantity", "l_discount"])
+    return X.linear_shap(li, w)
+
+
+@check("x2_importance", round_cols=["importance"], sql=f"""
+WITH {SQL_OLS2}
+SELECT feature, avg(abs(shap)) AS importance, row_number() OVER (ORDER BY avg(abs(shap)) DESC, feature) AS rank
+FROM shap GROUP BY feature""")
+def x2(spark, sf):
+    li, _, w = _li_linear(spark, sf, ["l_quantity", "l_discount"])
+    return X.importance(X.linear_shap(li, w))
+
+
+@check("o4_report_importances", round_cols=["importance"], sql=f"""
+WITH {SQL_OLS2}
+SELECT feature, avg(abs(shap)) AS importance, row_number() OVER (ORDER BY avg(abs(shap)) DESC, feature) AS rank
+FROM shap GROUP BY feature""")
+def o4(spark, sf):
+    li, _, w = _li_linear(spark, sf, ["l_quantity", "l_discount"])
+    return R.report_importances(X.importance(X.linear_shap(li, w), top=None).drop("rank"), top=20)
+
+
+@check("x3_sample_rows", round_cols=["o_totalprice"], sql="""
+SELECT o_orderkey, o_totalprice FROM orders
+ORDER BY CAST(('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0
+LIMIT CASE WHEN (SELECT count(*) FROM orders) <= 2000 THEN (SELECT count(*) FROM orders) ELSE 1000 END""")
+def x3(spark, sf):
+    return X.sample_rows(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+
+
+@check("x4_beeswarm", round_cols=["shap", "value", "value_scaled"], sql=f"""
+WITH {SQL_OLS2}
+SELECT row_key, feature, shap, value,
+       CASE WHEN max(value) OVER (PARTITION BY feature) > min(value) OVER (PARTITION BY feature)
+            THEN (value - min(value) OVER (PARTITION BY feature))
+                 / (max(value) OVER (PARTITION BY feature) - min(value) OVER (PARTITION BY feature)) ELSE 0.5 END AS value_scaled
+FROM shap""")
+def x4(spark, sf):
+    li, _, w = _li_linear(spark, sf, ["l_quantity", "l_discount"])
+    return X.beeswarm(X.linear_shap(li, w))
+
+
+@check("x1_permutation_shap_any_model")
+def x1p(spark, sf):
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
+    data, state = MO.prepare_model_data(docs.drop("toxic"), "quality", "clasificacion", ["doc_id"])
+    model = MO.make_estimator("RandomForest", "clasificacion", 300, 2).fit(data.where(~F.col("is_test")))
+    return X.permutation_shap(model, data.where(F.col("is_test")), state["features"], data.where(~F.col("is_test")),
+                              permutations=8)
