@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualab.functions.columns import (as_double, as_text, datetime_columns, is_datetime,
+from qualab.functions.columns import (as_double, as_text, clean_value, datetime_columns, is_datetime,
                                       is_numeric, is_text, kind_of, missing, numeric_columns,
                                       qcol, text_columns)
 from qualab.functions.ranks import exact_quantiles_from_counts, value_counts
@@ -34,20 +34,27 @@ def _pct(part: Column, whole: Column) -> Column:
 # --------------------------------------------------------------------------- A1, A2, A4
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,
                     approx: bool = False) -> DataFrame:
-    """(column, distinct): non-null distinct values per column.
+    """(col_name, n_distinct): non-null distinct values per column.
 
-    Exact mode: one unpivot + one map-side-combined group-by on (column, value);
-    ``approx=True`` uses HyperLogLog in a single aggregate with no shuffle of values.
+    Exact mode unpivots the columns *per data type* (values keep their native type, no text
+    formatting) and counts (column, value) groups with map-side combining; ``approx=True``
+    uses HyperLogLog in a single aggregate with no shuffle of values.
     """
     cols = list(columns or df.columns)
     if approx:
-        wide = df.agg(*[F.approx_count_distinct(as_text(c, df.schema[c].dataType)).alias(f"_d{i}")
+        wide = df.agg(*[F.approx_count_distinct(clean_value(c, df.schema[c].dataType)).alias(f"_d{i}")
                         for i, c in enumerate(cols)])
-        return long_form(wide, [], {c: F.col(f"_d{i}") for i, c in enumerate(cols)},
-                         value_col="n_distinct")
-    long = long_form(df, [], {c: as_text(c, df.schema[c].dataType) for c in cols})
-    per_value = long.where(F.col("value").isNotNull()).groupBy("col_name", "value").agg(F.count(F.lit(1)).alias("w"))
-    return per_value.groupBy("col_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+        return long_form(wide, [], {c: F.col(f"_d{i}") for i, c in enumerate(cols)}, value_col="n_distinct")
+    groups: dict[str, list[str]] = {}
+    for c in cols:
+        groups.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out = None
+    for _, members in sorted(groups.items()):
+        long = long_form(df, [], {c: clean_value(c, df.schema[c].dataType) for c in members})
+        per_value = long.where(F.col("value").isNotNull()).groupBy("col_name", "value").agg(F.count(F.lit(1)).alias("w"))
+        part = per_value.groupBy("col_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -225,11 +232,13 @@ def column_stats(df: DataFrame) -> DataFrame:
     txt = [c for c in cols if is_text(schema[c].dataType)]
     dts = [c for c in cols if is_datetime(schema[c].dataType)]
     nrows_nulls = nulls_by_column(df).select("col_name", "nulls", F.col("pct").alias("null_pct"))
-    tops = top_values(df, cols)
+    dist = distinct_counts(df, cols)
+    tops = top_values(df, txt).drop("n_distinct") if txt else \
+        df.sparkSession.createDataFrame([], "col_name string, top string, top_freq bigint")
     kinds = df.sparkSession.createDataFrame(
         [(c, schema[c].dataType.simpleString(), kind_of(schema[c].dataType)) for c in cols],
         "col_name string, type string, kind string")
-    out = kinds.join(nrows_nulls, "col_name", "left").join(tops, "col_name", "left")
+    out = kinds.join(nrows_nulls, "col_name", "left").join(dist, "col_name", "left").join(tops, "col_name", "left")
     if num:
         nl = numeric_long(df, num)
         moments = nl.groupBy("col_name").agg(
