@@ -48,8 +48,9 @@ def validate_target(df: DataFrame, target: str, problem_type: str) -> DataFrame:
     null_pct = F.try_divide(F.col("nulls").cast("double"), F.col("n").cast("double")) * 100.0
     if problem_type == "regresion":
         if not is_numeric(dtype):
-            return base.select(F.lit(False).alias("valid"), F.lit("not_numeric").alias("rule"),
-                               F.lit(None).cast("double").alias("value"), null_pct.alias("null_pct"))
+            verdict = F.when(null_pct > TARGET_MAX_NULL_PCT, _rule(False, "too_many_nulls", null_pct)) \
+                       .otherwise(_rule(False, "not_numeric"))
+            return base.select(verdict.alias("r"), null_pct.alias("null_pct")).select("r.*", "null_pct")
         v = F.when(~F.isnan(c.cast("double")), c.cast("double"))
         stats = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(missing(c, dtype)).alias("nulls"),
                        F.min(v).alias("mn"), F.max(v).alias("mx"))
