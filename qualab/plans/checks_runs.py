@@ -236,3 +236,71 @@ def s678(spark, sf):
 @check("s9_preview", round_cols=["o_totalprice"], sql="SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
 def s9(spark, sf):
     return S.preview(table(spark, sf, "orders"), 10, ["o_orderkey"])
+
+
+# ------------------------------------------------------------------ store round trips
+@check("h1_save_run_and_read_metrics", fixtures=FX, round_cols=["value"], sql=RF.with_run_tables(
+    "SELECT run_id, model, metric, value FROM run_metrics"))
+def h1(spark, sf):
+    st = _stores(spark)
+    runs = RF.runs(spark, sf)
+    rm = RF.run_metrics(spark, sf).cache()   # one computation shared by the per-run appends
+    for r in runs.collect():
+        st.save_run({"run_id": r["run_id"], "user_id": r["user_id"], "created_at": r["created_at"],
+                     "problem_type": r["problem_type"], "target": r["target"], "predictors": r["predictors"],
+                     "dataset": r["dataset"]}, rm.where(F.col("run_id") == r["run_id"]))
+    return st.run_metrics()
+
+
+@check("h6_history_newest", fixtures=FX, round_cols=["value"], sql=RF.with_run_tables("""
+SELECT * FROM (SELECT run_id, user_id, created_at, dataset, target, problem_type, best_model, metric, value FROM (
+  SELECT r.run_id, r.user_id, r.created_at, r.dataset, r.target, r.problem_type, m.model AS best_model, m.metric, m.value,
+         row_number() OVER (PARTITION BY r.run_id ORDER BY m.value DESC NULLS LAST, m.model) AS k
+  FROM runs AS r JOIN run_metrics AS m ON m.run_id = r.run_id
+   AND m.metric = CASE WHEN r.problem_type = 'clasificacion' THEN 'accuracy' ELSE 'r2' END) AS q WHERE k = 1) AS h
+ORDER BY created_at DESC, run_id LIMIT 50"""))
+def h6(spark, sf):
+    st = _stores(spark)
+    st.save_history(main_metric_rows(RF.runs(spark, sf), RF.run_metrics(spark, sf)))
+    return latest(st.history(), n=50)
+
+
+@check("h8_r5_audit_model_choice", fixtures=FX, sql=RF.with_run_tables(f"""
+SELECT 'u1' AS user_id, 'MODEL_SELECTED' AS action, 'run' AS entity, run_id AS entity_id,
+       model || ' by ' || criterion AS details FROM ({_sql_recommend(None)}) AS b"""))
+def h8(spark, sf):
+    st = _stores(spark)
+    choice = R.recommend(RF.runs(spark, sf), RF.run_metrics(spark, sf))
+    events = choice.select(F.lit("u1").alias("user_id"), F.lit("MODEL_SELECTED").alias("action"),
+                           F.lit("run").alias("entity"), F.col("run_id").alias("entity_id"),
+                           F.concat_ws(" by ", "model", "criterion").alias("details"),
+                           F.current_timestamp().cast("timestamp_ntz").alias("created_at"),
+                           F.lit(None).cast("string").alias("session_id"))
+    st.audit_batch(events)
+    return st.audit_log().select("user_id", "action", "entity", "entity_id", "details")
+
+
+@check("o6_report_store", fixtures=["dirty_orders"], sql=f"""
+WITH s AS ({sql_quality_score('dirty_orders', DO_ALL, DO_NUM)}), nb AS ({sql_nulls_by_column('dirty_orders', DO_ALL)})
+SELECT 'quality' AS section, item, value FROM (
+  SELECT 'n_rows' AS item, CAST(n_rows AS VARCHAR) AS value FROM s UNION ALL SELECT 'n_columns', CAST(n_columns AS VARCHAR) FROM s
+  UNION ALL SELECT 'null_pct', printf('%.2f', null_pct) FROM s
+  UNION ALL SELECT 'duplicate_rows', CAST(duplicate_rows AS VARCHAR) FROM s
+  UNION ALL SELECT 'duplicate_pct', printf('%.2f', duplicate_pct) FROM s
+  UNION ALL SELECT 'completeness', printf('%.2f', completeness) FROM s
+  UNION ALL SELECT 'score', printf('%.2f', score) FROM s UNION ALL SELECT 'grade', grade FROM s) AS h
+UNION ALL
+SELECT * FROM (SELECT 'quality_nulls', col_name, printf('%.2f', pct) FROM nb WHERE nulls > 0
+               ORDER BY pct DESC, col_name LIMIT 10) AS t""")
+def o6(spark, sf):
+    st = _stores(spark)
+    df = table(spark, sf, "dirty_orders")
+    rid = st.save_report(R.report_quality(P.quality_score(df), P.nulls_by_column(df)), "quality report")
+    return st.report(rid).where(F.col("section") != "_content").select("section", "item", "value")
+
+
+@check("a25_quality_bundle_written")
+def a25(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark)}/quality-{uuid.uuid4().hex}"
+    P.write_quality_bundle(table(spark, sf, "dirty_orders"), path, "run_q")
+    return spark.read.parquet(path).groupBy("run_id", "section").agg(F.count(F.lit(1)).alias("n"))

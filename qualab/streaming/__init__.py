@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference has no streaming operator (no incremental sources, watermarks, windows or
+stateful processing), so nothing is built here.  The append-only stores in
+:mod:`qualab.sources.store` accept batch appends from any writer, including a
+``foreachBatch`` sink, without further code.
+"""
