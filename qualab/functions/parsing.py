@@ -114,3 +114,26 @@ def java_pattern(fmt: str, parse: bool = False) -> str:
             out.append(f"'{ch}'" if ch.isalpha() else ("''" if ch == "'" else ch))
             i += 1
     return "".join(out)
+
+
+def format_regex(fmt: str) -> str:
+    """A cheap regex accepting every text the strftime ``fmt`` could parse (a superset):
+    parsers are only tried on texts that pass it, which skips failing parses."""
+    import re as _re
+    out, i = ["^"], 0
+    while i < len(fmt):
+        tok = fmt[i:i + 2]
+        if tok in ("%Y", "%y", "%m", "%d", "%H", "%M", "%S", "%I", "%j"):
+            out.append(r"\d+")
+            i += 2
+        elif tok in ("%b", "%B", "%a", "%A", "%p"):
+            out.append("[A-Za-z]+")
+            i += 2
+        elif tok == "%%":
+            out.append("%")
+            i += 2
+        else:
+            out.append(_re.escape(fmt[i]))
+            i += 1
+    out.append("$")
+    return "".join(out)

@@ -18,6 +18,10 @@ from qualab.functions.columns import qcol
 from qualab.functions.ranks import exact_quantiles_from_counts, value_counts
 
 
+# copies of one identical row expanded per array (bounds the memory of a hot group)
+COPY_CHUNK = 100_000
+
+
 def _subset(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     cols = [c for c in (columns or df.columns) if c in df.columns]
     return cols or list(df.columns)
@@ -70,10 +74,15 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None,
     the key (AQE's skew-join split handles a hot key on the large side)."""
     keys = _subset(df, columns)
     if set(keys) == set(df.columns):
-        # identical rows: every copy beyond the first, as count-1 copies of the row
+        # identical rows: every copy beyond the first is the same row, so the group's count is
+        # expanded back into rows — in bounded chunks spread over tasks, never as one array
         g = df.groupBy(*[qcol(c) for c in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-        return g.select("*", F.explode(F.sequence(F.lit(2), F.col("_n"))).alias("_copy")) \
-                .select(*[qcol(c) for c in df.columns])
+        extra = F.col("_n") - 1
+        chunks = g.select("*", F.explode(F.sequence(F.lit(0), F.floor((extra - 1) / COPY_CHUNK).cast("bigint"))).alias("_c"))
+        chunks = chunks.repartition(F.col("_c"), *[qcol(c) for c in keys])
+        lo = F.col("_c") * COPY_CHUNK
+        hi = F.least(lo + COPY_CHUNK, extra) - 1
+        return chunks.select("*", F.explode(F.sequence(lo, hi)).alias("_copy")).select(*[qcol(c) for c in df.columns])
     row = _row_struct(df, keys, order_by)
     firsts = df.groupBy(*[qcol(c) for c in keys]).agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_n")) \
                .where(F.col("_n") > 1)

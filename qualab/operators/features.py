@@ -278,9 +278,12 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
 
 
 def fit_labels(df: DataFrame, target: str) -> list:
-    """F9 fit: sorted class labels (the classes are few: validated ≤ 10 upstream)."""
-    return [r[0] for r in df.where(qcol(target).isNotNull()).select(qcol(target)).distinct()
-            .orderBy(qcol(target)).collect()]
+    """F9 fit: sorted class labels (few: validated ≤ 10 upstream; refused above MAX_ONE_HOT)."""
+    found = df.where(qcol(target).isNotNull()).select(qcol(target)).distinct() \
+              .orderBy(qcol(target)).limit(MAX_ONE_HOT + 1).collect()
+    if len(found) > MAX_ONE_HOT:
+        raise ValueError(f"{target} has more than {MAX_ONE_HOT} classes")
+    return [r[0] for r in found]
 
 
 def encode_labels(df: DataFrame, target: str, labels: Sequence, out: str = "label") -> DataFrame:

@@ -510,3 +510,24 @@ def write_quality_bundle(df: DataFrame, path: str, run_id: str) -> None:
     for p in parts[1:]:
         out = out.unionByName(p)
     out.write.mode("append").partitionBy("run_id", "section").parquet(path)
+
+
+def load_validation(df: DataFrame) -> DataFrame:
+    """A5: load-time validation as a long table (check, col_name, value): empty input, fully
+    empty rows, each column with nulls (count), duplicate rows, and the inferred type of every
+    column.  One aggregate for the counts plus the duplicate group-by."""
+    cols = df.columns
+    nb = nulls_by_column(df).where(F.col("nulls") > 0).select(
+        F.lit("nulls").alias("check"), "col_name", F.col("nulls").cast("string").alias("value"))
+    m = merge_single_rows(empty_rows(df), duplicate_count(df), df.agg(F.count(F.lit(1)).alias("_n")))
+    head = m.select(F.inline(F.array(
+        F.struct(F.lit("empty").alias("check"), F.lit(None).cast("string").alias("col_name"),
+                 (F.col("_n") == 0).cast("string").alias("value")),
+        F.struct(F.lit("empty_rows").alias("check"), F.lit(None).cast("string").alias("col_name"),
+                 F.col("empty_rows").cast("string").alias("value")),
+        F.struct(F.lit("duplicates").alias("check"), F.lit(None).cast("string").alias("col_name"),
+                 F.col("duplicate_rows").cast("string").alias("value")))))
+    types = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit("dtype").alias("check"), F.lit(c).alias("col_name"),
+                 F.lit(df.schema[c].dataType.simpleString()).alias("value")) for c in cols])))
+    return head.unionByName(nb).unionByName(types)

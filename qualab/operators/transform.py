@@ -18,7 +18,7 @@ from qualab.functions.columns import is_datetime, is_numeric, is_text, qcol
 from qualab.functions.parsing import (BARE_NUMBER, DATE_FORMATS, DATE_OUTPUTS, DATE_PATTERNS,
                                       FALSE_WORDS, FIRST_DECIMAL, FIRST_DIGITS, NUMBER_WITH_UNIT,
                                       NUMERIC_CONVERSIONS, STRICT_NUMBER, TEMPERATURE_WORDS,
-                                      TRUE_WORDS, UNIT_FACTORS, java_pattern)
+                                      TRUE_WORDS, UNIT_FACTORS, format_regex, java_pattern)
 
 
 # --------------------------------------------------------------------------- scalar builders
@@ -104,7 +104,10 @@ def simple_cast(df: DataFrame, column: str, target: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- dates
 def _parse_with(c: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(c, F.lit(java_pattern(fmt, parse=True))).cast("timestamp_ntz")
+    """Parse with one format; the regex guard skips texts that cannot match (failed parses are
+    the expensive path of a timestamp parser)."""
+    return F.when(c.rlike(format_regex(fmt)),
+                  F.try_to_timestamp(c, F.lit(java_pattern(fmt, parse=True)))).cast("timestamp_ntz")
 
 
 def default_parse(c: Column) -> Column:

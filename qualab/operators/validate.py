@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from qualab.functions.columns import is_datetime, is_numeric, is_text, missing, qcol
 from qualab.functions.parsing import (DATE_LIKE_FORMATS, DATE_LIKE_PREFIXES, DATE_NAME_WORDS,
-                                      STRICT_NUMBER, java_pattern)
+                                      STRICT_NUMBER, format_regex, java_pattern)
 from qualab.functions.shape import long_form
 from qualab.operators.profile import distinct_counts
 from qualab.operators.transform import default_parse
@@ -111,7 +111,8 @@ def possible_date(c: Column) -> Column:
     one of the accepted formats."""
     s = c.cast("string")
     pref = s.rlike("(?i)^(?:" + "|".join(DATE_LIKE_PREFIXES) + ")")
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(java_pattern(f, parse=True))) for f in DATE_LIKE_FORMATS])
+    parsed = F.coalesce(*[F.when(s.rlike(format_regex(f)), F.try_to_timestamp(s, F.lit(java_pattern(f, parse=True))))
+                          for f in DATE_LIKE_FORMATS])
     return F.coalesce(pref, F.lit(False)) | parsed.isNotNull()
 
 

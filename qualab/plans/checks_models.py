@@ -158,17 +158,6 @@ def _model_check(name: str, problem: str):
     return run
 
 
-for _name, _id in [("LogisticRegression", "m1"), ("DecisionTree", "m2"), ("RandomForest", "m3"),
-                   ("GradientBoosting", "m4"), ("SVC", "m5"), ("KNeighbors", "m6"), ("GaussianNB", "m7"),
-                   ("AdaBoost", "m8")]:
-    check(f"{_id}_{_name.lower()}_classifier_predictions")(_model_check(_name, "clasificacion"))
-
-for _name, _id in [("LinearRegression", "m9"), ("Ridge", "m10"), ("Lasso", "m11"), ("ElasticNet", "m12"),
-                   ("DecisionTree", "m13"), ("RandomForest", "m14"), ("GradientBoosting", "m15"), ("SVR", "m16"),
-                   ("KNeighbors", "m17"), ("AdaBoost", "m18")]:
-    check(f"{_id}_{_name.lower()}_regressor_predictions")(_model_check(_name, "regresion"))
-
-
 @check("m6_knn_exact_embeddings", sql="""
 WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS DOUBLE) AS label,
                   CAST(('0x' || substr(md5('42|' || CAST(vec_id AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0 < 0.2 AS is_test
@@ -334,3 +323,30 @@ def x1p(spark, sf):
     model = MO.make_estimator("RandomForest", "clasificacion", 300, 2).fit(data.where(~F.col("is_test")))
     return X.permutation_shap(model, data.where(F.col("is_test")), state["features"], data.where(~F.col("is_test")),
                               permutations=8)
+
+
+@check("v13_artefacts_available")
+def v13(spark, sf):
+    res = MO.benchmark(_docs_data(spark, sf), "clasificacion", "run_art", models=["GaussianNB", "DecisionTree"], cv_folds=0)
+    arts = MO.save_models(res, f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}")
+    return R.artefacts_available(arts)
+
+
+@check("c11_analyze_model")
+def c11(spark, sf):
+    data = _docs_data(spark, sf)
+    out = C.analyze_model(data, lambda: NaiveBayes(modelType="gaussian"), "clasificacion", "run_c11", "GaussianNB",
+                          k=3, sizes=[0.5, 1.0])
+    return out["diagnosis"]
+
+
+# heavy fits last: one failure cannot take the checks above with it
+for _name, _id in [("LogisticRegression", "m1"), ("DecisionTree", "m2"), ("RandomForest", "m3"),
+                   ("GradientBoosting", "m4"), ("SVC", "m5"), ("KNeighbors", "m6"), ("GaussianNB", "m7"),
+                   ("AdaBoost", "m8")]:
+    check(f"{_id}_{_name.lower()}_classifier_predictions")(_model_check(_name, "clasificacion"))
+
+for _name, _id in [("LinearRegression", "m9"), ("Ridge", "m10"), ("Lasso", "m11"), ("ElasticNet", "m12"),
+                   ("DecisionTree", "m13"), ("RandomForest", "m14"), ("GradientBoosting", "m15"), ("SVR", "m16"),
+                   ("KNeighbors", "m17"), ("AdaBoost", "m18")]:
+    check(f"{_id}_{_name.lower()}_regressor_predictions")(_model_check(_name, "regresion"))

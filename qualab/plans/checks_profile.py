@@ -388,3 +388,17 @@ UNION ALL SELECT 'has_duplicates', NULL, CAST(duplicate_rows AS DOUBLE) FROM m W
 UNION ALL SELECT 'skewed', col_name, skew FROM ({sql_skew('dup_orders', DO_NUM)}) AS s WHERE skewed""")
 def a24(spark, sf):
     return P.eda_findings(table(spark, sf, "dup_orders").drop("seq"))
+
+
+@check("a5_load_validation", fixtures=["dirty_orders"], sql=f"""
+SELECT 'empty' AS "check", CAST(NULL AS VARCHAR) AS col_name, CASE WHEN count(*) = 0 THEN 'true' ELSE 'false' END AS value
+FROM dirty_orders
+UNION ALL SELECT 'empty_rows', NULL, CAST(count(*) FILTER (WHERE {' AND '.join(f'{c} IS NULL' for c in DO_ALL)}) AS VARCHAR)
+FROM dirty_orders
+UNION ALL SELECT 'duplicates', NULL, CAST(coalesce(sum(c - 1), 0) AS VARCHAR)
+FROM (SELECT count(*) AS c FROM dirty_orders GROUP BY {', '.join(DO_ALL)}) AS g
+UNION ALL SELECT 'nulls', col_name, CAST(nulls AS VARCHAR) FROM ({sql_nulls_by_column('dirty_orders', DO_ALL)}) AS n
+WHERE nulls > 0
+UNION ALL SELECT 'dtype', c, t FROM (VALUES {', '.join(f"('{c}', '{DO_TYPES[c]}')" for c in DO_ALL)}) AS v(c, t)""")
+def a5(spark, sf):
+    return P.load_validation(table(spark, sf, "dirty_orders"))

@@ -304,3 +304,11 @@ def a25(spark, sf):
     path = f"{ensure_checkpoint_dir(spark)}/quality-{uuid.uuid4().hex}"
     P.write_quality_bundle(table(spark, sf, "dirty_orders"), path, "run_q")
     return spark.read.parquet(path).groupBy("run_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("h3_run_by_id", fixtures=FX, round_cols=["value"], sql=RF.with_run_tables("""
+SELECT r.run_id, r.problem_type, r.target, m.model, m.metric, m.value
+FROM runs AS r JOIN run_metrics AS m ON m.run_id = r.run_id WHERE r.run_id = 'run_bin' AND m.model = 'm_mixed'"""))
+def h3(spark, sf):
+    from qualab.sources.store import run_by_id
+    return run_by_id(RF.runs(spark, sf), RF.run_metrics(spark, sf), "run_bin", "m_mixed")

@@ -180,3 +180,8 @@ def t17(spark, sf):
                                                   ("qty_plain", "bool", "infer"), ("price_text", "float", "auto"),
                                                   ("qty_text", "Convertir a categórica", "auto")])
     return out
+
+
+@check("t8_to_datetime_iso", fixtures=["text_dates"], sql=_sql_date_choice("text_dates", "d_ymd", "%Y-%m-%d"))
+def t8(spark, sf):
+    return X.correct_type(table(spark, sf, "text_dates").select("o_orderkey", "d_ymd"), "d_ymd", "datetime")

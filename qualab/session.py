@@ -16,7 +16,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
-        builder = builder.master(master)
+        # a local launch: the driver JVM is the only executor, so it needs the heap
+        builder = builder.master(master).config("spark.driver.memory",
+                                                os.environ.get("QUALAB_DRIVER_MEMORY", "16g"))
     builder = (builder
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -213,3 +213,11 @@ def main_metric_rows(runs: DataFrame, run_metrics: DataFrame) -> DataFrame:
     return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
         "run_id", "user_id", "created_at", "dataset", "target", "problem_type",
         F.col("model").alias("best_model"), "metric", "value")
+
+
+def run_by_id(runs: DataFrame, run_metrics: DataFrame, run_id: str, model: str | None = None) -> DataFrame:
+    """H3: one run's metrics (optionally one model's), joined to its headline row."""
+    m = run_metrics.where(F.col("run_id") == run_id)
+    if model is not None:
+        m = m.where(F.col("model") == model)
+    return runs.where(F.col("run_id") == run_id).select("run_id", "problem_type", "target").join(m, "run_id")

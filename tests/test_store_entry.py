@@ -40,3 +40,16 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 150
     assert not any(k.startswith("op") for k in q)
+
+
+def test_config_latest_and_align(spark, sf):
+    from qualab.operators.features import align_columns, candidate_targets
+    from qualab.sources.store import latest
+    st = Store(spark, f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}")
+    st.save_config({"user_id": "u1", "problem_type": "regresion", "target": "o_totalprice", "predictors": ["a"]})
+    st.save_config({"user_id": "u1", "problem_type": "clasificacion", "target": "o_orderstatus", "predictors": ["b"]})
+    assert latest(st.configs(), user_id="u1").count() == 1
+    o = table(spark, sf, "orders")
+    out, missing, extra = align_columns(o, ["o_totalprice", "zz"])
+    assert out.columns == ["o_totalprice", "zz"] and missing == ["zz"] and "o_orderkey" in extra
+    assert "o_orderstatus" not in candidate_targets(o, "regresion")
