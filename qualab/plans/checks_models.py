@@ -140,11 +140,9 @@ def _docs_data(spark, sf):
 
 
 def _reg_data(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount",
-                                              "l_extendedprice")
-    pt = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", "p_size")
-    data, _ = MO.prepare_model_data(li.join(pt, "l_partkey"), "l_extendedprice", "regresion",
-                                    ["l_orderkey", "l_linenumber", "l_partkey"])
+    """Regression task over whole tables: document length from language, source and labels."""
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
+    data, _ = MO.prepare_model_data(docs, "n_chars", "regresion", ["doc_id"])
     return data
 
 

@@ -131,10 +131,15 @@ FROM orders"""
 _DEPENDS: dict[str, list[str]] = {}
 
 
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from qualab.sources.files import balanced
+    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived fixture view as a lazy DataFrame."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return _read(spark, sf_dir, name)
     if name not in FIXTURE_SQL:
         raise KeyError(name)
     register_base(spark, sf_dir)
@@ -144,7 +149,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_base(spark: SparkSession, sf_dir: str) -> None:
     """Expose the base tables as temporary views (lazy; nothing is read here)."""
     for t in BASE_TABLES:
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet").createOrReplaceTempView(t)
+        _read(spark, sf_dir, t).createOrReplaceTempView(t)
 
 
 def with_fixtures(sql: str, names: list[str]) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from qualab.plans.fixtures import with_fixtures
+from qualab.session import ensure_checkpoint_dir
 
 DECIMALS = 6
 
@@ -65,6 +66,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     def wrap(c: Check):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_checkpoint_dir(spark)   # the session's shared folder; a scratch one only if unset
             return round_floats(c.run(spark, sf_dir))
         run.__name__ = c.name
         return run

@@ -63,3 +63,19 @@ def preview(df: DataFrame, n: int = 10, order_by: Sequence[str] = ()) -> DataFra
 def schema_table(df: DataFrame) -> list[tuple[str, str]]:
     """(column, type) pairs."""
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
+def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-partitioned input over the cluster.
+
+    A scan of one large file with a single row group is one task, so every map-side step
+    (unpivots, partial aggregates) would run on one core.  When the scan has fewer partitions
+    than ``min_partitions`` (default: the cluster's default parallelism) the rows are
+    round-robin repartitioned once; a normally split input (many files or row groups) is left
+    untouched, so at scale this adds nothing."""
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan as it is
+        return df
+    return df.repartition(target) if current < target else df
