@@ -64,16 +64,29 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def basic_metrics(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """A1: rows, columns, null cells, % null, duplicate rows, % duplicates, mean distinct, completeness."""
+def basic_metrics(df: DataFrame, approx_distinct: bool = False, vp: DataFrame | None = None) -> DataFrame:
+    """A1: rows, columns, null cells, % null, duplicate rows, % duplicates, mean distinct, completeness.
+
+    Two reads of the table: the value profile (nulls, distinct) and the full-row group-by
+    (duplicates); ``approx_distinct`` replaces the profile by one HyperLogLog aggregate."""
     cols = df.columns
     ncols = len(cols)
-    null_cells = reduce(add, [F.count_if(missing(qcol(c), df.schema[c].dataType)) for c in cols]) \
-        if cols else F.lit(0)
-    base = df.agg(F.count(F.lit(1)).alias("n_rows"), null_cells.cast("bigint").alias("null_cells"))
-    dist = distinct_counts(df, cols, approx_distinct).agg(
-        (F.coalesce(F.sum("n_distinct"), F.lit(0)) / F.lit(float(max(ncols, 1)))).alias("mean_distinct"))
-    one = merge_single_rows(base, duplicate_count(df), dist)
+    if approx_distinct or not cols:
+        null_cells = reduce(add, [F.count_if(missing(qcol(c), df.schema[c].dataType)) for c in cols]) \
+            if cols else F.lit(0)
+        base = df.agg(F.count(F.lit(1)).alias("n_rows"), null_cells.cast("bigint").alias("null_cells"))
+        dist = distinct_counts(df, cols, approx_distinct).agg(
+            (F.coalesce(F.sum("n_distinct"), F.lit(0)) / F.lit(float(max(ncols, 1)))).alias("mean_distinct"))
+        one = merge_single_rows(base, duplicate_count(df), dist)
+    else:
+        pc = profile_counts(vp if vp is not None else value_profile(df))
+        prof = pc.agg(F.max("n_rows").alias("n_rows"), F.sum("nulls").cast("bigint").alias("null_cells"),
+                      (F.sum("n_distinct") / F.lit(float(ncols))).alias("mean_distinct"))
+        # an empty table has no profile rows: fall back to zeros
+        prof = prof.select(F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
+                           F.coalesce("null_cells", F.lit(0)).cast("bigint").alias("null_cells"),
+                           F.coalesce("mean_distinct", F.lit(0.0)).alias("mean_distinct"))
+        one = merge_single_rows(prof, duplicate_count(df))
     null_pct = F.try_divide(F.col("null_cells").cast("double"),
                             (F.col("n_rows") * F.lit(ncols)).cast("double")) * 100.0
     dup_pct = F.when(F.col("n_rows") > 0, F.col("duplicate_rows") / F.col("n_rows") * 100.0).otherwise(F.lit(0.0))
@@ -129,10 +142,17 @@ def numeric_long(df: DataFrame, columns: Sequence[str] | None = None,
     return long_form(df, [qcol(i) for i in ids], {c: as_double(c, df.schema[c].dataType) for c in cols})
 
 
+def _numeric_counts(df: DataFrame, columns: Sequence[str] | None, vp: DataFrame | None) -> DataFrame:
+    if vp is not None:
+        cols = [c for c in (columns or numeric_columns(df)) if is_numeric(df.schema[c].dataType)]
+        return profile_numeric(vp, cols)
+    return value_counts(numeric_long(df, columns), ["col_name"], "value")
+
+
 def outlier_bounds(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
-                   columns: Sequence[str] | None = None) -> DataFrame:
+                   columns: Sequence[str] | None = None, vp: DataFrame | None = None) -> DataFrame:
     """Per numeric column with more than one non-null value: n, q1, q3, iqr, mean, std, lower, upper."""
-    counts = value_counts(numeric_long(df, columns), ["col_name"], "value")
+    counts = _numeric_counts(df, columns, vp)
     k = F.lit(float(threshold))
     if method == "iqr":
         q = exact_quantiles_from_counts(counts, ["col_name"], "value", [0.25, 0.75])
@@ -145,8 +165,9 @@ def outlier_bounds(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
         lower = F.col("q1") - k * F.col("iqr")
         upper = F.col("q3") + k * F.col("iqr")
     elif method in ("zscore", "deviation"):
-        stats = numeric_long(df, columns).groupBy("col_name").agg(
-            F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+        stats = _moments(counts).select("col_name", "n", "mean", "std") if vp is not None else \
+            numeric_long(df, columns).groupBy("col_name").agg(
+                F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
         stats = stats.select("col_name", "n", F.lit(None).cast("double").alias("q1"),
                              F.lit(None).cast("double").alias("q3"), F.lit(None).cast("double").alias("iqr"),
                              "mean", "std")
@@ -166,10 +187,11 @@ def _is_outlier(method: str, threshold: float) -> Column:
 
 
 def outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
-             columns: Sequence[str] | None = None) -> DataFrame:
-    """Per column n, outlier count and % of non-null values plus the method's bounds."""
-    bounds = outlier_bounds(df, method, threshold, columns)
-    counts = value_counts(numeric_long(df, columns), ["col_name"], "value")
+             columns: Sequence[str] | None = None, vp: DataFrame | None = None) -> DataFrame:
+    """Per column n, outlier count and % of non-null values plus the method's bounds.
+    With a value profile ``vp`` nothing re-reads the table."""
+    bounds = outlier_bounds(df, method, threshold, columns, vp)
+    counts = _numeric_counts(df, columns, vp)
     # bounds has one row per numeric column: its size is bounded by the schema width
     flagged = (counts.join(F.broadcast(bounds.select("col_name", "lower", "upper", "mean", "std")), "col_name")
                .groupBy("col_name")
@@ -225,39 +247,42 @@ def top_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """One row per column with common, numeric, text and datetime statistics."""
+    """One row per column with common, numeric, text and datetime statistics.
+
+    Everything derives from one value profile (one scan, one shuffle): nulls and distinct
+    counts per column, numeric moments and the exact median from the numeric value counts,
+    the top text value and mean length, and the datetime range."""
     schema = df.schema
     cols = df.columns
     num = [c for c in cols if is_numeric(schema[c].dataType)]
     txt = [c for c in cols if is_text(schema[c].dataType)]
     dts = [c for c in cols if is_datetime(schema[c].dataType)]
-    nrows_nulls = nulls_by_column(df).select("col_name", "nulls", F.col("pct").alias("null_pct"))
-    dist = distinct_counts(df, cols)
-    tops = top_values(df, txt).drop("n_distinct") if txt else \
-        df.sparkSession.createDataFrame([], "col_name string, top string, top_freq bigint")
+    vp = value_profile(df)
+    pc = profile_counts(vp).select("col_name", "nulls", "n_distinct",
+                                   (F.col("nulls") / F.col("n_rows") * 100.0).alias("null_pct"))
     kinds = df.sparkSession.createDataFrame(
         [(c, schema[c].dataType.simpleString(), kind_of(schema[c].dataType)) for c in cols],
         "col_name string, type string, kind string")
-    out = kinds.join(nrows_nulls, "col_name", "left").join(dist, "col_name", "left").join(tops, "col_name", "left")
+    out = kinds.join(pc, "col_name", "left")
     if num:
-        nl = numeric_long(df, num)
-        moments = nl.groupBy("col_name").agg(
-            F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"))
-        med = exact_quantiles_from_counts(value_counts(nl, ["col_name"], "value"), ["col_name"], "value", [0.5]) \
-            .select("col_name", F.col("q").alias("median"))
-        out = out.join(moments, "col_name", "left").join(med, "col_name", "left")
+        counts = profile_numeric(vp, num)
+        med = exact_quantiles_from_counts(counts, ["col_name"], "value", [0.5]).select("col_name", F.col("q").alias("median"))
+        out = out.join(_moments(counts).drop("n"), "col_name", "left").join(med, "col_name", "left")
     else:
         out = out.select("*", *[F.lit(None).cast("double").alias(n) for n in ("min", "max", "mean", "std", "median")])
     if txt:
-        tl = long_form(df, [], {c: qcol(c).cast("string") for c in txt})
-        lens = tl.groupBy("col_name").agg(F.avg(F.length("value")).alias("mean_length"))
-        out = out.join(lens, "col_name", "left")
+        tv = vp.where(F.col("col_name").isin(txt) & F.col("value").isNotNull()).select("col_name", F.col("value.s").alias("s"), "w")
+        best = F.min(F.struct((-F.col("w")).alias("nw"), F.col("s").alias("v")))
+        tstats = tv.groupBy("col_name").agg(best.alias("_b"),
+                                            (F.sum(F.col("w") * F.length("s")) / F.sum("w")).alias("mean_length"))
+        out = out.join(tstats.select("col_name", F.col("_b.v").alias("top"), (-F.col("_b.nw")).alias("top_freq"),
+                                     "mean_length"), "col_name", "left")
     else:
-        out = out.withColumn("mean_length", F.lit(None).cast("double"))
+        out = out.select("*", F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("top_freq"),
+                         F.lit(None).cast("double").alias("mean_length"))
     if dts:
-        dl = long_form(df, [], {c: qcol(c).cast("timestamp_ntz") for c in dts})
-        rng = dl.groupBy("col_name").agg(F.min("value").alias("date_min"), F.max("value").alias("date_max"))
+        rng = vp.where(F.col("col_name").isin(dts) & F.col("value").isNotNull()).groupBy("col_name").agg(
+            F.min("value.t").alias("date_min"), F.max("value.t").alias("date_max"))
         days = F.floor((F.unix_micros(F.col("date_max").cast("timestamp"))
                         - F.unix_micros(F.col("date_min").cast("timestamp"))) / F.lit(86400 * 10**6))
         out = out.join(rng.select("*", days.cast("bigint").alias("range_days")), "col_name", "left")
@@ -265,19 +290,17 @@ def column_stats(df: DataFrame) -> DataFrame:
         out = out.select("*", F.lit(None).cast("timestamp_ntz").alias("date_min"),
                          F.lit(None).cast("timestamp_ntz").alias("date_max"),
                          F.lit(None).cast("bigint").alias("range_days"))
-    is_txt = F.col("kind") == "text"
     return out.select(
         "col_name", "type", "kind", "nulls", "null_pct", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
-        "min", "max", "mean", "median", "std",
-        F.when(is_txt, F.col("top")).alias("top"), F.when(is_txt, F.col("top_freq")).alias("top_freq"),
-        "mean_length", "date_min", "date_max", "range_days")
+        "min", "max", "mean", "median", "std", "top", "top_freq", "mean_length", "date_min", "date_max", "range_days")
 
 
 # --------------------------------------------------------------------------- A12, A13
 def quality_score(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """0-100 score = completeness (40) + duplicates (30) + outliers (30) and its grade."""
-    m = basic_metrics(df, approx_distinct)
-    o = outliers(df, "iqr", 1.5).agg(F.avg("outlier_pct").alias("mean_outlier_pct"))
+    vp = None if approx_distinct else value_profile(df)
+    m = basic_metrics(df, approx_distinct, vp)
+    o = outliers(df, "iqr", 1.5, vp=vp).agg(F.avg("outlier_pct").alias("mean_outlier_pct"))
     one = merge_single_rows(m, o)
     s_comp = F.least(F.lit(40.0), F.col("completeness") * 0.4)
     s_dup = F.least(F.lit(30.0), F.lit(30.0) * (F.lit(1.0) - F.col("duplicate_pct") / 100.0))
@@ -531,3 +554,67 @@ def load_validation(df: DataFrame) -> DataFrame:
         F.struct(F.lit("dtype").alias("check"), F.lit(c).alias("col_name"),
                  F.lit(df.schema[c].dataType.simpleString()).alias("value")) for c in cols])))
     return head.unionByName(nb).unionByName(types)
+
+
+# --------------------------------------------------------------------------- one-pass value profile
+VALUE_STRUCT = "struct<l:bigint,d:double,s:string,t:timestamp_ntz,b:boolean>"
+
+
+def _typed_value(name: str, dtype) -> Column:
+    """A column's value as struct<l, d, s, t, b> (only the field of its type set); NULL when
+    the value is missing (NULL or NaN).  Integral values keep 64-bit precision."""
+    from pyspark.sql import types as T
+    c = qcol(name)
+    none = F.lit(None)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        f = dict(l=c.cast("bigint"))
+    elif isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        f = dict(d=clean_value(name, dtype).cast("double"))
+    elif is_datetime(dtype):
+        f = dict(t=c.cast("timestamp_ntz"))
+    elif isinstance(dtype, T.BooleanType):
+        f = dict(b=c)
+    elif is_text(dtype):
+        f = dict(s=c.cast("string"))
+    else:
+        f = dict(s=F.to_json(F.struct(c.alias("v"))))
+    st = F.struct(f.get("l", none).cast("bigint").alias("l"), f.get("d", none).cast("double").alias("d"),
+                  f.get("s", none).cast("string").alias("s"), f.get("t", none).cast("timestamp_ntz").alias("t"),
+                  f.get("b", none).cast("boolean").alias("b"))
+    return F.when(missing(c, dtype), F.lit(None).cast(VALUE_STRUCT)).otherwise(st)
+
+
+def value_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(col_name, value, w): every value of every column with its multiplicity, NULL value =
+    missing — one scan and one map-side-combined shuffle for the whole table.
+
+    Null counts, distinct counts, top values, moments, exact quantiles and outlier counts
+    all derive from this (much smaller) table instead of re-reading the data."""
+    cols = list(columns or df.columns)
+    long = long_form(df, [], {c: _typed_value(c, df.schema[c].dataType) for c in cols})
+    return long.groupBy("col_name", "value").agg(F.count(F.lit(1)).alias("w"))
+
+
+def profile_counts(vp: DataFrame) -> DataFrame:
+    """(col_name, n_rows, nulls, n_distinct) from a value profile."""
+    return vp.groupBy("col_name").agg(F.sum("w").alias("n_rows"),
+                                      F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("w"))), F.lit(0)).alias("nulls"),
+                                      F.count("value").alias("n_distinct"))
+
+
+def profile_numeric(vp: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """(col_name, value double, w) of the numeric columns (non-missing) from a value profile."""
+    v = F.coalesce(F.col("value.l").cast("double"), F.col("value.d"))
+    return vp.where(F.col("col_name").isin(list(numeric)) & F.col("value").isNotNull()) \
+             .select("col_name", v.alias("value"), "w")
+
+
+def _moments(counts: DataFrame) -> DataFrame:
+    """(col_name, n, mean, std ddof 1, min, max) from (col_name, value, w): mean first, then
+    centred squares (two aggregates over the small counts table)."""
+    m = counts.groupBy("col_name").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("mean"),
+                                       F.min("value").alias("min"), F.max("value").alias("max"))
+    dev = counts.join(m.select("col_name", F.col("mean").alias("_m")), "col_name") \
+                .groupBy("col_name").agg(F.sum(F.col("w") * (F.col("value") - F.col("_m")) ** 2).alias("_ss"))
+    return m.join(dev, "col_name").select(
+        "col_name", "n", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1))).alias("std"), "min", "max")

@@ -132,8 +132,10 @@ _DEPENDS: dict[str, list[str]] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import os
     from qualab.sources.files import balanced
-    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(df) if os.environ.get("QUALAB_BALANCE", "0") == "1" else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
