@@ -349,11 +349,14 @@ def quality_findings(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- A14-A25 (EDA)
 def numeric_describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, std, min, 25 %, 50 %, 75 %, max per numeric column (exact quantiles).
-    One scan: moments and quantiles both come from the numeric value counts."""
-    cols = [c for c in (columns or numeric_columns(df)) if is_numeric(df.schema[c].dataType)]
-    counts = profile_numeric(value_profile(df, cols), cols)
-    moments = _moments(counts).select("col_name", F.col("n").alias("count"), "mean", "std", "min", "max")
-    q = exact_quantiles_from_counts(counts, ["col_name"], "value", [0.25, 0.5, 0.75])
+    Moments are one shuffle-free aggregate over the raw values (plain summation, the standard
+    numerics); quantiles come from the map-side-combined value counts."""
+    nl = numeric_long(df, columns)
+    moments = nl.groupBy("col_name").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles_from_counts(value_counts(nl, ["col_name"], "value"), ["col_name"], "value",
+                                    [0.25, 0.5, 0.75])
     qw = q.groupBy("col_name").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
                                      for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
     return moments.join(qw, "col_name", "left").select(
