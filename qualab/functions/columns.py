@@ -82,7 +82,7 @@ def normalize_nan(df: DataFrame) -> DataFrame:
 def as_double(name: str, dtype: T.DataType) -> Column:
     """Numeric value as double with NaN → NULL; datetimes as epoch seconds."""
     if is_datetime(dtype):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double") / 1e6
+        return epoch_seconds(F.col(name)).cast("double")
     return clean_value(name, dtype).cast("double")
 
 
@@ -94,3 +94,12 @@ def as_text(name: str, dtype: T.DataType) -> Column:
 def qcol(name: str) -> Column:
     """Column reference that tolerates dots and spaces in names."""
     return F.col(f"`{name}`")
+
+
+def epoch_seconds(ts: Column) -> Column:
+    """Seconds since 1970-01-01 00:00 of a wall-clock timestamp, independent of the session
+    time zone (days since the epoch plus the time of day; fractions of a second included)."""
+    t = ts.cast("timestamp_ntz")
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t) + \
+        (F.date_format(t, "SSSSSS").cast("long") / F.lit(1e6))

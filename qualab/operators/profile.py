@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qualab.functions.columns import (as_double, as_text, clean_value, datetime_columns, is_datetime,
+from qualab.functions.columns import (as_double, as_text, clean_value, datetime_columns, epoch_seconds, is_datetime,
                                       is_numeric, is_text, kind_of, missing, numeric_columns,
                                       qcol, text_columns)
 from qualab.functions.ranks import exact_quantiles_from_counts, value_counts
@@ -283,8 +283,7 @@ def column_stats(df: DataFrame) -> DataFrame:
     if dts:
         rng = vp.where(F.col("col_name").isin(dts) & F.col("value").isNotNull()).groupBy("col_name").agg(
             F.min("value.t").alias("date_min"), F.max("value.t").alias("date_max"))
-        days = F.floor((F.unix_micros(F.col("date_max").cast("timestamp"))
-                        - F.unix_micros(F.col("date_min").cast("timestamp"))) / F.lit(86400 * 10**6))
+        days = F.floor((epoch_seconds(F.col("date_max")) - epoch_seconds(F.col("date_min"))) / F.lit(86400))
         out = out.join(rng.select("*", days.cast("bigint").alias("range_days")), "col_name", "left")
     else:
         out = out.select("*", F.lit(None).cast("timestamp_ntz").alias("date_min"),

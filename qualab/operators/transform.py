@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qualab.functions.columns import is_datetime, is_numeric, is_text, qcol
+from qualab.functions.columns import epoch_seconds, is_datetime, is_numeric, is_text, qcol
 from qualab.functions.parsing import (BARE_NUMBER, DATE_FORMATS, DATE_OUTPUTS, DATE_PATTERNS,
                                       FALSE_WORDS, FIRST_DECIMAL, FIRST_DIGITS, NUMBER_WITH_UNIT,
                                       NUMERIC_CONVERSIONS, STRICT_NUMBER, TEMPERATURE_WORDS,
@@ -189,7 +189,7 @@ def date_parts(df: DataFrame, column: str, parts: Sequence[str] | None = None) -
         "nombre_dia": F.date_format(d, "EEEE"), "nombre_mes": F.date_format(d, "MMMM"),
         "dia_anio": F.dayofyear(d), "semana": F.weekofyear(d),
         "es_fin_de_semana": F.coalesce(wd >= 5, F.lit(False)),
-        "fecha_epoch": F.unix_seconds(ts.cast("timestamp")),
+        "fecha_epoch": F.floor(epoch_seconds(ts)).cast("bigint"),
     }
     wanted = [p for p in (parts or DATE_PARTS) if p in exprs]
     return df.withColumns({f"{column}_{p}": exprs[p] for p in wanted})

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualab.functions.columns import is_datetime, is_numeric, is_text, missing, qcol
+from qualab.functions.columns import epoch_seconds, is_datetime, is_numeric, is_text, missing, qcol
 from qualab.functions.parsing import (DATE_LIKE_FORMATS, DATE_LIKE_PREFIXES, DATE_NAME_WORDS,
                                       STRICT_NUMBER, format_regex, java_pattern)
 from qualab.functions.shape import long_form
@@ -154,11 +154,11 @@ def date_rules(df: DataFrame, columns: Sequence[str] | None = None, as_of: str =
     exprs = {c: (qcol(c).cast("timestamp_ntz") if is_datetime(df.schema[c].dataType) else default_parse(qcol(c)))
              for c in cols}
     long = long_form(df, [], exprs)
-    micros = F.unix_micros(F.col("value").cast("timestamp"))
+    secs = epoch_seconds(F.col("value"))
     agg = long.groupBy("col_name").agg(
         F.count(F.lit(1)).alias("total"), F.count("value").alias("valid"),
         F.count_distinct("value").alias("n_unique"),
-        F.floor((F.max(micros) - F.min(micros)) / F.lit(86400 * 10**6)).alias("range_days"),
+        F.floor((F.max(secs) - F.min(secs)) / F.lit(86400)).alias("range_days"),
         F.count_if(F.col("value") > F.lit(as_of).cast("timestamp_ntz")).alias("n_future"))
     nulls = F.col("total") - F.col("valid")
     t = F.col("total")
