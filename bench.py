@@ -54,7 +54,7 @@ def headline(spark, sf):
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", int(cpus) * 2 if cpus.isdigit() else 16, app_name="qualab-bench")
+    spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, app_name="qualab-bench")
     # warm-up (not timed): JVM start, class loading and JIT on the smallest tables
     warm = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
