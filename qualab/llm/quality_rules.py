@@ -25,7 +25,7 @@ LEAST_ROWS = 100  #: a group of fewer rows takes the fences of its language, tha
 #: measure: (SQL over the counts, least spread, whether low values fail as well)
 MEASURES = {
     "symbol_share": ("n_symbols / n_words", 0.04, False),
-    "dup_line_share": ("n_dup_lines / n_lines", 0.10, False),
+    "dup_line_share": ("n_dup_lines / n_lines", 0.20, False),
     "repeat_share": ("n_repeat_words / n_words", 0.15, False),
     "word_length": ("word_chars / n_words", 1.0, True),
 }
