@@ -44,6 +44,16 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; the runs lie side by side and none is empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = end - start
+    place = np.arange(len(data)) - np.repeat(start, length)
+    value = (data.astype(np.uint64) + np.uint64(1)) * _power_table(int(length.max()))[place]
+    return mix(np.add.reduceat(value, start) + length.astype(np.uint64))
+
+
 class Words:
     """The words of several texts: ``hash``, byte ``start`` and ``end`` in ``raw`` (the texts, each
     followed by a newline), and ``bounds``: text i has the words bounds[i] to bounds[i+1]."""
@@ -59,12 +69,7 @@ class Words:
         self.bounds = np.searchsorted(self.start, self.offset)
         length = self.end - self.start
         first = np.cumsum(length) - length
-        if len(length):
-            place = np.arange(int(length.sum())) - np.repeat(first, length)
-            value = (self.raw[~white].astype(np.uint64) + np.uint64(1)) * _power_table(int(length.max()))[place]
-            self.hash = mix(np.add.reduceat(value, first) + length.astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = run_hashes(self.raw[~white], first, first + length)
 
     def __len__(self) -> int:
         return len(self.hash)

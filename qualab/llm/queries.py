@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .brown_lm import op1_brown_lm
+from .packing import op3_best_fit_packing
 from .quality_rules import op5_quality_rules
 from .secrets import op8_secret_scan
+from .sentencepiece_codec import op4_sentencepiece
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_secret_scan, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_brown_lm, op3_best_fit_packing, op4_sentencepiece, op5_quality_rules,
+                                   op8_secret_scan, op9_toxicity)}
 ORACLES: dict[str, str] = {}
