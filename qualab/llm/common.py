@@ -145,3 +145,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string")) % F.lit(n)
+
+
+BITS = 1 << 23
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """Packed bits of a fixed number (1 MB) at the hashes of ``ids`` (one long column)."""
+    c = F.col(ids.columns[0])
+    on = np.zeros(BITS, bool)
+    on[ids.where(c.isNotNull()).select(F.pmod(F.xxhash64(c), F.lit(BITS)).cast("int").alias("p")).distinct().toArrow()["p"].to_numpy()] = True
+    return np.packbits(on)
+
+
+def split(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that may have one of the ``ids``, and those that have none.
+
+    Only the first need a join, so most texts stay where they are; a row of the first kind may have none.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
+    names = docs.columns
+    placed = docs.withColumn("_p", F.coalesce(F.pmod(F.xxhash64(key), F.lit(BITS)).cast("int"), F.lit(-1)))
+
+    def some(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            on = np.unpackbits(held.value).astype(bool)
+            for batch in batches:
+                p = batch.column("_p").to_numpy()
+                yield batch.filter(pa.array(((p >= 0) & on[p]) == wanted)).select(names)
+
+        return placed.mapInArrow(run, docs.schema)
+
+    return some(True), some(False)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .brown_lm import op1_brown_lm
+from .ngram_join import op10_ngram_join
 from .packing import op3_best_fit_packing
+from .passages import op7_repeated_passages
 from .quality_rules import op5_quality_rules
 from .secrets import op8_secret_scan
 from .sentencepiece_codec import op4_sentencepiece
 from .toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_brown_lm, op3_best_fit_packing, op4_sentencepiece, op5_quality_rules,
-                                   op8_secret_scan, op9_toxicity)}
+                                   op7_repeated_passages, op8_secret_scan, op9_toxicity, op10_ngram_join)}
 ORACLES: dict[str, str] = {}
