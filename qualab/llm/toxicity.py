@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_modulus: int = 3, held_out_
         max_rows: int = MAX_TRAIN_ROWS) -> ToxicityModel:
     """Learns from the labelled rows whose crc32(doc_id) leaves another remainder than the held-out one.
 
-    At most about ``max_rows`` of them are used (an even choice by a hash of the id).  Rows without a
+    At most ``max_rows`` of them are used (those whose ids have the least hashes).  Rows without a
     label, id or counterpart are not used; without any labelled row every score is 0.5.
     """
     label = (labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("double").alias("_y"))
@@ -126,12 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_modulus: int = 3, held_out_
     n = label.count()
     if n == 0:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    place = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity")), F.lit(1 << 30))
-    if n > max_rows:
-        label = label.where(place < int(max_rows / n * (1 << 30)))
+    place = F.xxhash64(F.col("_id").cast("string"), F.lit("toxicity"))
     shards = max(1, round(min(n, max_rows) / SHARD_ROWS))
+    sample = label.orderBy(place, "_id").limit(max_rows)  # at most max_rows pairs of numbers: a bounded broadcast
     rows = (docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-            .join(label, "_id").select(F.pmod(place, F.lit(shards)).alias("_shard"), "_id", "_text", "_y"))
+            .join(F.broadcast(sample), "_id").select(F.pmod(place, F.lit(shards)).alias("_shard"), "_id", "_text", "_y"))
 
     def learn(part: pa.Table) -> pa.Table:
         part = part.sort_by([("_id", "ascending")])
