@@ -110,8 +110,10 @@ def fences(rows: DataFrame, groups: tuple[str, str] = ("lang", "source")) -> Dat
             out += [(q(0.25) - wide).alias(f"low_{m}{suffix}"), (q(0.75) + wide).alias(f"high_{m}{suffix}")]
         return df.where("n > 0").select(*keys, F.col("n").alias(f"n{suffix}"), *out)
 
-    a, b, c = bounds(own, "", lang, source), bounds(by_lang, "_l", F.col(lang).alias("_l")), bounds(whole, "_w")
-    both = a.join(b, F.col(lang).eqNullSafe(F.col("_l")), "left").join(F.broadcast(c), F.lit(True), "left")  # c: one row
+    a, b = bounds(own, "", lang, source), bounds(by_lang, "_l", F.col(lang).alias("_l"))
+    row = bounds(whole, "_w").first()  # one row, or none
+    c = {f"{side}_{m}_w": F.lit(row[f"{side}_{m}_w"] if row else None).cast("double") for m in MEASURES for side in ("low", "high")}
+    both = a.join(b, F.col(lang).eqNullSafe(F.col("_l")), "left").withColumns(c)
     pick = lambda x: F.when(F.col("n") >= LEAST_ROWS, F.col(x)).when(
         F.col("n_l") >= LEAST_ROWS, F.col(f"{x}_l")).otherwise(F.col(f"{x}_w"))
     return both.select(F.col(lang).alias("_lang"), F.col(source).alias("_source"),

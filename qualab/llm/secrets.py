@@ -63,17 +63,18 @@ CANDIDATE = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.i
 
 def candidates(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` and ``found``: spans (kind, start, end in code points, hash of the value)."""
-    source = docs.select(*columns, F.col("text").alias("_text"))
+    text = "text" if "text" in columns else "_text"
+    source = docs.select(*columns, *([] if text in columns else [F.col("text").alias("_text")]))
     schema = docs.select(*columns, F.expr(
         "cast(null as array<struct<kind:int,start:bigint,end:bigint,value:bigint>>)").alias("found")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, "_text"):
+        for part, texts in chunks(batches, text):
             rows = []
-            for text in texts:
-                found = find(text)
-                if found and not text.isascii():  # continuation bytes begin no code point
-                    points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+            for content in texts:
+                found = find(content)
+                if found and not content.isascii():  # continuation bytes begin no code point
+                    points = np.concatenate([[0], np.cumsum((np.frombuffer(content, np.uint8) & 0xC0) != 0x80)])
                     found = [(k, int(points[s]), int(points[e]), v) for k, s, e, v in found]
                 rows.append([{"kind": k, "start": s, "end": e, "value": xxhash.xxh64_intdigest(v) - (1 << 63)}
                              for k, s, e, v in found])
@@ -95,6 +96,18 @@ def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
+def judge(found: DataFrame, owner: str, repository: str, max_owners: int = MAX_OWNERS) -> DataFrame:
+    """_row, n_live, n_example and the spans to add, for the rows of ``found`` that have candidates."""
+    wide = ownership(found, owner, repository).where(F.col("owners") > max_owners).select(
+        F.col("value").alias("_wide"))
+    one = found.where(F.size("found") > 0).select("_row", F.explode("found").alias("c"))
+    return one.join(wide, F.col("c.value") == F.col("_wide"), "left").groupBy("_row").agg(
+        F.count(F.when(F.col("_wide").isNull(), 1)).alias("n_live"),
+        F.count("_wide").alias("n_example"),
+        F.collect_list(F.when(F.col("_wide").isNull() & (F.col("c.kind") >= 3),
+                              F.struct("c.start", "c.kind", "c.end"))).alias("added"))
+
+
 def live_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
                max_owners: int = MAX_OWNERS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns of every row of ``docs`` with ``base`` and ``added``: arrays of (kind, start, end).
@@ -104,16 +117,8 @@ def live_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id
     the rest.  Null text counts as empty; repeated rows stay rows of their own.
     """
     columns = list(dict.fromkeys([*keep, owner, repository]))
-    found = stored(candidates(docs.select(*columns, "text").withColumn("_row", F.monotonically_increasing_id()),
-                              [*columns, "_row"]), "secrets")
-    wide = ownership(found, owner, repository).where(F.col("owners") > max_owners).select(
-        F.col("value").alias("_wide"))
-    one = found.where(F.size("found") > 0).select("_row", F.explode("found").alias("c"))
-    judged = one.join(wide, F.col("c.value") == F.col("_wide"), "left").groupBy("_row").agg(
-        F.count(F.when(F.col("_wide").isNull(), 1)).alias("n_live"),
-        F.count("_wide").alias("n_example"),
-        F.collect_list(F.when(F.col("_wide").isNull() & (F.col("c.kind") >= 3),
-                              F.struct("c.start", "c.kind", "c.end"))).alias("added"))
+    found = stored(candidates(docs.withColumn("_row", F.monotonically_increasing_id()), [*columns, "_row"]), "secrets")
+    judged = judge(found, owner, repository, max_owners)
     base = F.expr("transform(filter(found, x -> x.kind < 3), x -> struct(x.start, x.kind, x.end))")
     return found.withColumn("base", base).join(judged, "_row", "left").select(
         *keep, "base", F.expr("coalesce(added, filter(base, x -> false))").alias("added"),
@@ -145,17 +150,21 @@ def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secret spans (base and added) are replaced by ``[SECRET]``, n_chars follows."""
     names = docs.columns
-    row = stored(docs.withColumn("_key", F.monotonically_increasing_id()), "secret-docs")
-    spans = live_spans(row, keep=("_key",)).select(
-        "_key", F.sort_array(F.concat("base", "added")).alias("_spans")).where(F.size("_spans") > 0)
+    owner, repository = "source", "doc_id"
+    found = stored(candidates(docs.withColumn("_row", F.monotonically_increasing_id()), [*names, "_row"]), "secret-docs")
+    some = found.where(F.size("found") > 0)  # only these texts are shuffled
+    judged = judge(found, owner, repository).select("_row", "added")
+    base = F.expr("transform(filter(found, x -> x.kind < 3), x -> struct(x.start, x.kind, x.end))")
+    spans = some.join(judged, "_row", "left").withColumn("_spans", F.sort_array(F.concat(base, F.expr(
+        "coalesce(added, cast(array() as array<struct<start:bigint,kind:int,end:bigint>>))"))))
     # overlapping spans leave the text once: each piece of text between spans starts at the largest end so far
     text = F.expr("""aggregate(_spans, struct(cast(0 as bigint) as at, '' as out),
         (s, x) -> struct(greatest(s.at, x.end) as at,
                          case when x.start >= s.at then concat(s.out, substring(text, cast(s.at + 1 as int), cast(x.start - s.at as int)), '[SECRET]')
                               else s.out end as out),
         s -> concat(s.out, substring(text, cast(s.at + 1 as int))))""")
-    done = row.join(spans, "_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text))
+    done = spans.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(text))
     if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(
+        done = done.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(
             F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return done.select(*names)
+    return done.select(*names).union(found.where(F.size("found") == 0).select(*names))
