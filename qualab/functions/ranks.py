@@ -1,17 +1,17 @@
 """Distributed running totals, ranks and exact quantiles.
 
 Spark has no distributed prefix sum: a window without ``partitionBy`` puts every row in one
-task.  The helpers here use the two-phase scheme instead:
+task.  The helpers here use a two-phase scheme instead:
 
-1. range-partition the rows on (group keys, order keys) so each task holds one contiguous
-   slice of every group's order;
-2. inside each (task, group) slice a bounded window computes the local running total and
-   the slice total;
-3. a small table of slice totals (groups × tasks rows) gives each slice its offset.
+1. each row gets a slice number, a monotone function of its order value alone (its magnitude,
+   then its place between the group's least and greatest value), so that any evaluation of
+   the plan cuts a group in the same places;
+2. a window within (group, slice) computes the local running total; slice totals are an
+   aggregate on the same keys;
+3. the small table of slice totals gives each slice its offset.
 
-The work per task is bounded by the slice size, so one huge group (a column with 10^11
-distinct values, a model with billions of scores) is spread over all tasks.  Callers
-pre-aggregate to distinct order values first, so a hot value is a single row.
+The work per task is bounded by the slice size, so one huge group is spread over all tasks.
+Callers pre-aggregate to distinct order values first, so a hot value is a single row.
 """
 
 from __future__ import annotations
@@ -22,45 +22,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+PER_OCTAVE = 16    # slices between a magnitude and its double
+EVEN = 1024        # even slices between a group's least and greatest value
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                   weights: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """Add ``cum_<w>`` (inclusive running sum in ``order`` within ``keys``) and ``tot_<w>``.
+def _magnitude(x: Column) -> Column:
+    """A non-decreasing integer function of ``x``: sign and logarithm of the absolute value."""
+    octave = F.floor(F.least(F.greatest(F.log2(F.abs(x)), F.lit(-1080.0)), F.lit(1080.0)) * PER_OCTAVE) + 20_000
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * octave.cast("int"))
 
-    Rows should be unique on (keys, order); ties get an arbitrary but consistent order.
+
+def _even(x: Column, lo: Column, hi: Column) -> Column:
+    """A non-decreasing integer function of ``x`` within one group."""
+    share = F.nanvl((x - lo) / (hi - lo), F.lit(0.0))
+    return F.when(hi > lo, F.floor(F.least(share, F.lit(1.0)) * EVEN)).otherwise(F.lit(0)).cast("int")
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], by: Column, weights: Sequence[str],
+                   then: Sequence[Column] = ()) -> DataFrame:
+    """Add ``cum_<w>`` (inclusive running sum within ``keys``) and ``tot_<w>``.
+
+    The order is by the number ``by``, ascending, then by the columns ``then``.  Rows should be
+    unique in this order; what ties get is arbitrary but consistent.
     """
     keys = list(keys)
-    n = _partitions(df, num_partitions)
-    part = df.repartitionByRange(n, *[F.col(k) for k in keys], *order) \
-             .withColumn("_slice", F.spark_partition_id())
-    slice_keys = ["_slice", *keys]
-    w_local = Window.partitionBy(*slice_keys).orderBy(*order) \
+    tagged = df.withColumn("_x", by.cast("double"))
+    ends = tagged.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    ends = ends.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "_lo", "_hi")
+    cond = [tagged[k].eqNullSafe(ends[f"_e_{k}"]) for k in keys] or F.lit(True)
+    x = F.col("_x")
+    part = tagged.join(ends, cond, "inner").select(
+        *[tagged[c] for c in tagged.columns], _magnitude(x).alias("_s1"), _even(x, F.col("_lo"), F.col("_hi")).alias("_s2"))
+    slice_keys = [*keys, "_s1", "_s2"]
+    w_local = Window.partitionBy(*slice_keys).orderBy(x.asc(), *then) \
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_slice = Window.partitionBy(*slice_keys)
-    local = part.select(
-        "*",
-        *[F.sum(w).over(w_local).alias(f"_loc_{w}") for w in weights],
-        *[F.sum(w).over(w_slice).alias(f"_blk_{w}") for w in weights],
-    )
-    blocks = local.groupBy(*slice_keys).agg(*[F.first(f"_blk_{w}").alias(f"_blk_{w}") for w in weights])
-    w_prev = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_slice")
-    w_all = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    local = part.select("*", *[F.sum(w).over(w_local).alias(f"_loc_{w}") for w in weights])
+    blocks = part.groupBy(*slice_keys).agg(*[F.sum(w).alias(f"_blk_{w}") for w in weights])
+    w_all = Window.partitionBy(*keys)
+    w_prev = w_all.orderBy("_s1", "_s2").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
-        *slice_keys,
-        *[F.coalesce(F.sum(f"_blk_{w}").over(w_prev.rowsBetween(Window.unboundedPreceding, -1)),
-                     F.lit(0)).alias(f"_off_{w}") for w in weights],
+        *[F.col(k).alias(f"_o_{k}") for k in slice_keys],
+        *[F.coalesce(F.sum(f"_blk_{w}").over(w_prev), F.lit(0)).alias(f"_off_{w}") for w in weights],
         *[F.sum(f"_blk_{w}").over(w_all).alias(f"tot_{w}") for w in weights],
     )
     # NULL group keys are groups too: join null-safely
-    offsets = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in slice_keys],
-                             *[c for c in offsets.columns if c not in slice_keys])
-    cond = [local[k].eqNullSafe(offsets[f"_o_{k}"]) for k in slice_keys]
-    out = local.join(offsets, on=cond, how="inner")
+    out = local.join(offsets, [local[k].eqNullSafe(offsets[f"_o_{k}"]) for k in slice_keys], "inner")
     return out.select(
         *[local[c] for c in df.columns],
         *[(F.col(f"_off_{w}") + F.col(f"_loc_{w}")).alias(f"cum_{w}") for w in weights],
@@ -74,21 +80,19 @@ def value_counts(long_df: DataFrame, keys: Sequence[str], value: str) -> DataFra
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("w")))
 
 
-def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    num_partitions: int | None = None) -> DataFrame:
+def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile`` / SQL ``quantile_cont``).
 
     Returns one row per (keys, p): keys..., ``p``, ``q``, ``n`` (non-null count).
     """
-    return exact_quantiles_from_counts(value_counts(long_df, keys, value), keys, value, probs,
-                                       num_partitions)
+    return exact_quantiles_from_counts(value_counts(long_df, keys, value), keys, value, probs)
 
 
 def exact_quantiles_from_counts(counts: DataFrame, keys: Sequence[str], value: str,
-                                probs: Sequence[float], num_partitions: int | None = None) -> DataFrame:
+                                probs: Sequence[float]) -> DataFrame:
     """As :func:`exact_quantiles` over a pre-aggregated (keys, value, w) table."""
     keys = list(keys)
-    ranked = running_totals(counts, keys, [F.col(value).asc()], ["w"], num_partitions)
+    ranked = running_totals(counts, keys, F.col(value), ["w"])
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     pos = F.col("p") * (F.col("tot_w") - 1)
     first_rank = F.col("cum_w") - F.col("w")          # 0-based rank of the first copy
@@ -111,12 +115,3 @@ def exact_quantiles_from_counts(counts: DataFrame, keys: Sequence[str], value: s
                       (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("q"),
                       F.col("n"))
 
-
-def quantile_columns(long_df: DataFrame, keys: Sequence[str], value: str,
-                     probs: dict[str, float], num_partitions: int | None = None) -> DataFrame:
-    """Exact quantiles pivoted to one row per group: keys..., n, <name> for each named prob."""
-    q = exact_quantiles(long_df, keys, value, list(probs.values()), num_partitions)
-    aggs = [F.first("n").alias("n")]
-    for name, p in probs.items():
-        aggs.append(F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name))
-    return q.groupBy(*keys).agg(*aggs)

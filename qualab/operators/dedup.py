@@ -58,6 +58,8 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str] | None = None, keep: s
         return df.dropDuplicates() if keep != "none" else \
             df.groupBy(*[qcol(c) for c in keys]).agg(F.count(F.lit(1)).alias("_n")) \
               .where(F.col("_n") == 1).drop("_n")
+    if keep != "none" and not order_by:
+        raise ValueError(f"keep={keep!r} needs order_by: a table has no first or last row of its own")
     row = _row_struct(df, keys, order_by)
     pick = F.max(row) if keep == "last" else F.min(row)
     g = df.groupBy(*[qcol(c) for c in keys]).agg(pick.alias("_row"), F.count(F.lit(1)).alias("_n"))
@@ -135,6 +137,8 @@ def merge_duplicates(df: DataFrame, columns: Sequence[str], how: Mapping[str, st
         fn = how.get(c, "first")
         v = qcol(c)
         if fn in ("first", "last"):
+            if not order_by:
+                raise ValueError(f"{fn!r} of {c} needs order_by: a table has no first or last row of its own")
             s = F.when(v.isNotNull(), F.struct(*order, v.alias("_v")))
             simple.append((F.min(s) if fn == "first" else F.max(s))["_v"].alias(c))
         elif fn == "sum":

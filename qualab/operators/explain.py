@@ -18,18 +18,12 @@ from pyspark.sql import functions as F
 
 from qualab.functions.hashing import hash_unit, row_key
 
-# Row limits of the reference's explainer, and the report's top-k.
-EXPLAIN_ALL_UP_TO = 2000
-SAMPLE_SIZE = 1000
-TOP_FEATURES = 15
-
-
-def sample_rows(df: DataFrame, key_cols: Sequence[str], n: int = SAMPLE_SIZE,
-                threshold: int = EXPLAIN_ALL_UP_TO, seed: int = 42) -> DataFrame:
-    """All rows when there are at most ``threshold``, else the ``n`` rows with the smallest
-    md5(seed|key) — a deterministic sample (sampling is the feature here)."""
-    total = df.count()
-    if total <= threshold:
+
+
+def sample_rows(df: DataFrame, key_cols: Sequence[str], n: int | None = None, seed: int = 42) -> DataFrame:
+    """The ``n`` rows with the smallest md5(seed|key) — a deterministic sample of the size
+    that is asked for; without ``n`` every row."""
+    if n is None:
         return df
     return df.withColumn("_h", hash_unit(row_key(key_cols), seed)).orderBy("_h").limit(n).drop("_h")
 
@@ -82,18 +76,19 @@ def permutation_shap(model, df: DataFrame, feature_names: Sequence[str], backgro
     coal = coal.select("_k", "_p", "_t", "_ord", array_to_vector(z).alias(features_col))
     scored = model.transform(coal)
     scored = scored.select("_k", "_p", "_t", "_ord", _score_col(scored).alias("_f"))
-    w = Window.partitionBy("_k", "_p").orderBy("_t")
-    deltas = scored.select("_k", "_p", "_t", "_ord", (F.col("_f") - F.lag("_f").over(w)).alias("_delta")) \
-                   .where(F.col("_t") > 0)
-    feat_idx = F.element_at(F.col("_ord"), F.col("_t"))   # the feature switched on at step t
-    per = deltas.groupBy("_k", feat_idx.alias("_j")).agg(F.avg("_delta").alias("shap"))
+    # f(z_t) counts for the feature that step t switched on, and against the one that comes next
+    t, f = F.col("_t"), F.col("_f")
+    on = F.when(t > 0, F.struct(F.element_at("_ord", F.when(t > 0, t)).alias("_j"), f.alias("_d")))
+    off = F.when(t < d, F.struct(F.element_at("_ord", F.when(t < d, t + 1)).alias("_j"), (-f).alias("_d")))
+    deltas = scored.select("_k", F.inline(F.array_compact(F.array(on, off))))
+    per = deltas.groupBy("_k", "_j").agg((F.sum("_d") / permutations).alias("shap"))
     names = F.array(*[F.lit(n) for n in feature_names])
     vals = x.select("_k", F.posexplode("_x").alias("_j", "value"))
     return per.join(vals, ["_k", "_j"]).select(F.col("_k").alias(key), F.element_at(names, F.col("_j") + 1).alias("feature"),
                                                "value", "shap")
 
 
-def importance(shap: DataFrame, top: int | None = TOP_FEATURES, keys: Sequence[str] = ()) -> DataFrame:
+def importance(shap: DataFrame, top: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Mean |shap| per feature, descending (ties: feature name), top ``top``."""
     agg = shap.groupBy(*keys, "feature").agg(F.avg(F.abs("shap")).alias("importance"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(F.col("importance").desc(), "feature")

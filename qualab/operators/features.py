@@ -161,27 +161,16 @@ def impute_mean(df: DataFrame, fit_df: DataFrame | None = None, columns: Sequenc
 
 
 # --------------------------------------------------------------------------- F1, J1
-def _date_like_columns(df: DataFrame, order_by: Sequence[str] = (), sample: int = 5,
-                       max_invalid: float = 0.3, keep: Sequence[str] = ()) -> list[str]:
-    """Columns F1 expands into date parts: datetime columns, and text columns whose first
-    ``sample`` non-null values all parse as dates with < 30 % of all rows unparsable."""
-    out = []
-    for f in df.schema.fields:
-        if f.name in keep:
-            continue
-        c = qcol(f.name)
-        if is_datetime(f.dataType):
-            out.append(f.name)
-        elif is_text(f.dataType):
-            head = df.where(c.isNotNull())
-            head = head.orderBy(*[qcol(o) for o in order_by]) if order_by else head
-            ok = head.limit(sample).agg(F.count(F.lit(1)).alias("n"), F.count(default_parse(c)).alias("p")).first()
-            if ok["n"] == 0 or ok["p"] < ok["n"]:
-                continue
-            stats = df.agg(F.count(F.lit(1)).alias("n"), F.count(default_parse(c)).alias("p")).first()
-            if (stats["n"] - stats["p"]) < max_invalid * stats["n"]:
-                out.append(f.name)
-    return out
+def _date_like_columns(df: DataFrame, max_invalid: float = 0.3, keep: Sequence[str] = ()) -> list[str]:
+    """Columns F1 expands into date parts: datetime columns, and text columns of which less than
+    ``max_invalid`` of all rows do not parse as dates (one aggregate for all columns)."""
+    fields = [f for f in df.schema.fields if f.name not in keep]
+    texts = [f.name for f in fields if is_text(f.dataType)]
+    good = set()
+    if texts:
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(default_parse(qcol(c))).alias(f"p{i}") for i, c in enumerate(texts)]).first()
+        good = {c for i, c in enumerate(texts) if row[f"p{i}"] and row["n"] - row[f"p{i}"] < max_invalid * row["n"]}
+    return [f.name for f in fields if is_datetime(f.dataType) or f.name in good]
 
 
 def _expand(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -194,21 +183,16 @@ def _expand(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def expand_date_like(df: DataFrame, order_by: Sequence[str] = (), sample: int = 5,
-                     max_invalid: float = 0.3, keep: Sequence[str] = ()) -> DataFrame:
-    """F1 date step: datetime columns → ``_anio, _mes, _dia``; date-like text columns too."""
-    return _expand(df, _date_like_columns(df, order_by, sample, max_invalid, keep))
-
-
-def fit_ml_prep(df: DataFrame, order_by: Sequence[str] = (), keep: Sequence[str] = ()) -> dict:
+def fit_ml_prep(df: DataFrame, keep: Sequence[str] = (), max_categories: int = MAX_CATEGORIES,
+                max_invalid: float = 0.3) -> dict:
     """F1 fitted state from ``df``: the date columns to expand and, per text column, the kept
-    categories (≤ 10 + 'OTROS') and the one-hot categories.  All of it is bounded in size."""
-    dates = _date_like_columns(df, order_by, keep=keep)
+    categories (``max_categories`` + 'OTROS') and the one-hot categories.  All of it is bounded in size."""
+    dates = _date_like_columns(df, max_invalid, keep)
     texts = {}
     for f in df.schema.fields:
         if f.name in keep or f.name in dates or not is_text(f.dataType):
             continue
-        top = top_categories(df, f.name)
+        top = top_categories(df, f.name, max_categories)
         if top is None:
             cats = [r[0] for r in df.where(qcol(f.name).isNotNull()).select(qcol(f.name)).distinct()
                     .orderBy(qcol(f.name)).collect()]
@@ -233,14 +217,14 @@ def apply_ml_prep(df: DataFrame, state: dict, keep: Sequence[str] = ()) -> DataF
     return out.select(*[qcol(c) for c in keep], *[qcol(c).cast("double").alias(c) for c in feats])
 
 
-def prepare_for_ml(df: DataFrame, fit_df: DataFrame | None = None, order_by: Sequence[str] = (),
-                   keep: Sequence[str] = ()) -> DataFrame:
+def prepare_for_ml(df: DataFrame, fit_df: DataFrame | None = None, keep: Sequence[str] = (),
+                   max_categories: int = MAX_CATEGORIES, max_invalid: float = 0.3) -> DataFrame:
     """dates → parts, text → capped one-hot (0/1 ints, the intended behaviour), drop the
     remaining non-numeric columns, ±Inf → NULL, mean imputation then 0.  Categories and means
     are fitted on ``fit_df`` (default ``df``); feature outputs are double; ``keep`` columns are
     carried through unchanged."""
     fit_src = df if fit_df is None else fit_df
-    state = fit_ml_prep(fit_src, order_by, keep)
+    state = fit_ml_prep(fit_src, keep, max_categories, max_invalid)
     out = apply_ml_prep(df, state, keep)
     fit = out if fit_df is None else apply_ml_prep(fit_df, state, keep)
     feats = [c for c in out.columns if c not in keep]

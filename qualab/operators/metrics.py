@@ -176,7 +176,7 @@ def _score_groups(df: DataFrame, keys: Sequence[str], label: str, score: str, po
 
 def _ranked_scores(df: DataFrame, keys: Sequence[str], label: str, score: str, positive: float) -> DataFrame:
     g = _score_groups(df, keys, label, score, positive)
-    return running_totals(g, keys, [F.col("score").desc()], ["pos", "neg"])
+    return running_totals(g, keys, -F.col("score"), ["pos", "neg"])
 
 
 def roc_points(df: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", score: str = "probability",
@@ -313,20 +313,23 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < plow, low).when(p > 1 - plow, high).otherwise(central)
 
 
-def qq_points(df: DataFrame, value: str = "residual", keys: Sequence[str] = KEYS, points: int = 200) -> DataFrame:
-    """Normal Q-Q pairs on a grid of ``points`` Filliben plotting positions
-    (exact empirical quantiles, distributed) and the least-squares line through them."""
-    probs = []
-    for i in range(1, points + 1):
-        if i == points:
-            probs.append(0.5 ** (1.0 / points))
-        elif i == 1:
-            probs.append(1 - 0.5 ** (1.0 / points))
-        else:
-            probs.append((i - 0.3175) / (points + 0.365))
+COPY_CHUNK = 10_000    # ranks of one value that are listed at a time
+
+
+def qq_points(df: DataFrame, value: str = "residual", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Normal Q-Q pairs of every row (Filliben plotting positions of its rank among all n)
+    and the least-squares line through them.  Equal values take neighbouring ranks."""
     counts = value_counts(df.select(*keys, _d(value).alias("v")), keys, "v")
-    q = exact_quantiles_from_counts(counts, keys, "v", probs)
-    pts = q.select(*keys, "p", inverse_normal(F.col("p")).alias("theoretical"), F.col("q").alias("sample"))
+    ranked = running_totals(counts, keys, F.col("v"), ["w"]).withColumn("_first", F.col("cum_w") - F.col("w") + 1)
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("w") - 1) / COPY_CHUNK))).alias("_c")
+    ranked = ranked.select(*keys, "v", "tot_w", "_first", "cum_w", chunk)
+    lo = F.col("_first") + F.col("_c") * COPY_CHUNK
+    rank = F.explode(F.sequence(lo, F.least(lo + COPY_CHUNK - 1, F.col("cum_w")))).alias("rank")
+    n, i = F.col("tot_w").cast("double"), F.col("rank")
+    last = F.pow(F.lit(0.5), 1 / n)
+    p = F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
+    pts = ranked.select(*keys, "v", "tot_w", rank).select(*keys, "rank", p.alias("p"), inverse_normal(p).alias("theoretical"),
+                                                          F.col("v").alias("sample"))
     fit = pts.groupBy(*keys).agg(F.covar_pop("theoretical", "sample").alias("_c"),
                                  F.var_pop("theoretical").alias("_v"), F.avg("theoretical").alias("_mx"),
                                  F.avg("sample").alias("_my"), F.corr("theoretical", "sample").alias("r"))
@@ -353,14 +356,16 @@ def residual_diagnosis(df: DataFrame, keys: Sequence[str] = KEYS, label: str = "
     med = exact_quantiles_from_counts(counts, keys, "e", [0.5]).select(*keys, F.col("q").alias("median"))
     # slice variances: every distinct value covers 0-based ranks [cum − w, cum); split that
     # range over the fixed slice bounds arithmetically (no per-row expansion)
-    ranked = running_totals(counts, keys, [F.col("e").asc()], ["w"])
+    ranked = running_totals(counts, keys, F.col("e"), ["w"])
     n = F.col("tot_w")
     parts = []
     for i in range(RESIDUAL_SLICES):
         lo, hi = _slice_bounds(n, i)
         cnt = F.greatest(F.lit(0), F.least(F.col("cum_w"), hi) - F.greatest(F.col("cum_w") - F.col("w"), lo))
         parts.append(F.struct(F.lit(i).alias("s"), cnt.alias("c")))
-    sl = ranked.select(*keys, "e", F.inline(F.array(*parts))).where(F.col("c") > 0)
+    # sums of squares about the group's mean: residuals far from zero lose no digits
+    centred = ranked.join(mom.select(*keys, F.col("mean").alias("_mu")), list(keys), "left").withColumn("e", F.col("e") - F.col("_mu"))
+    sl = centred.select(*keys, "e", F.inline(F.array(*parts))).where(F.col("c") > 0)
     sv = sl.groupBy(*keys, "s").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("e")).alias("s1"),
                                      F.sum(F.col("c") * F.col("e") * F.col("e")).alias("s2"))
     var = F.greatest(F.col("s2") / F.col("c") - (F.col("s1") / F.col("c")) ** 2, F.lit(0.0))

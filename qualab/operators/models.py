@@ -7,6 +7,7 @@ the driver but only fits, scores and collects per-model metric rows (a handful o
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -36,7 +37,7 @@ REGRESSION_MODELS = ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "Decisi
 # --------------------------------------------------------------------------- data
 def prepare_model_data(df: DataFrame, target: str, problem_type: str, key_cols: Sequence[str],
                        predictors: Sequence[str] | None = None, test_size: float = 0.2, seed: int = SEED,
-                       impute_on: str = "train") -> tuple[DataFrame, dict]:
+                       impute_on: str = "train", max_categories: int = FE.MAX_CATEGORIES) -> tuple[DataFrame, dict]:
     """F1 + F7 + F8 + F9 + assembly → (row_key, features, label, is_test) and the fitted state
     (feature names, scaler, labels).  Imputation means and scaling are fitted on the training
     split (``impute_on='all'`` reproduces the reference's leak)."""
@@ -46,7 +47,7 @@ def prepare_model_data(df: DataFrame, target: str, problem_type: str, key_cols:
     base = keyed.select("row_key", "is_test", qcol(target).alias("_y"), *[qcol(c) for c in preds])
     fit_df = base.where(~F.col("is_test")) if impute_on == "train" else base
     carry = ["row_key", "is_test", "_y"]
-    x_full = FE.prepare_for_ml(base, fit_df, keep=carry)
+    x_full = FE.prepare_for_ml(base, fit_df, keep=carry, max_categories=max_categories)
     feat = [c for c in x_full.columns if c not in carry]
     scaler = FE.fit_scaler(x_full.where(~F.col("is_test")), feat)
     scaled = FE.apply_scaler(x_full, scaler)
@@ -64,6 +65,30 @@ def prepare_model_data(df: DataFrame, target: str, problem_type: str, key_cols:
 
 
 # --------------------------------------------------------------------------- estimators
+class PenalisedRegression:
+    """Least squares with penalties in the units of the label:
+    Σ(y − xw)²/(2n) + l1·|w| + (l2/2)·w², the l2 part divided by n if ``per_row``.
+
+    Spark ML fits the label divided by its standard deviation s and divides the penalty by s:
+    the l1 part keeps its weight, the l2 part ends up divided by s.  The two parts are set so
+    that both come out as asked."""
+
+    def __init__(self, l1: float = 0.0, l2: float = 0.0, per_row: bool = False):
+        self.l1, self.l2, self.per_row = l1, l2, per_row
+
+    def fit(self, df: DataFrame):
+        first = df.select("features").first()
+        # the normal-equation solver (up to 4096 features) takes the population's standard deviation
+        small = first is not None and first["features"].size <= 4096
+        spread = F.stddev_pop if small else F.stddev_samp
+        row = df.agg(spread("label").alias("s"), F.count("label").alias("n")).first()
+        s = row["s"] if row["s"] and math.isfinite(row["s"]) else 1.0
+        l2 = self.l2 * s / (max(row["n"], 1) if self.per_row else 1)
+        total = self.l1 + l2
+        return LinearRegression(regParam=total, elasticNetParam=self.l1 / total, standardization=False,
+                                solver="normal" if small else "l-bfgs", maxIter=1000, tol=1e-10).fit(df)
+
+
 def make_estimator(name: str, problem_type: str, n_train: int, n_classes: int = 2, seed: int = SEED):
     """One estimator of the benchmark with the reference's hyper-parameters mapped to Spark ML.
 
@@ -97,11 +122,11 @@ def make_estimator(name: str, problem_type: str, n_train: int, n_classes: int =
         if name == "LinearRegression":
             return LinearRegression(solver="normal", standardization=False)
         if name == "Ridge":
-            return LinearRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False, solver="normal")
+            return PenalisedRegression(l2=1.0, per_row=True)
         if name == "Lasso":
-            return LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, maxIter=1000)
+            return PenalisedRegression(l1=1.0)
         if name == "ElasticNet":
-            return LinearRegression(regParam=1.0, elasticNetParam=0.5, standardization=False, maxIter=1000)
+            return PenalisedRegression(l1=0.5, l2=0.5)
         if name == "DecisionTree":
             return DecisionTreeRegressor(maxDepth=30, maxBins=64, seed=seed, **tree_speed)
         if name == "RandomForest":

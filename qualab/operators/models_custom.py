@@ -47,10 +47,10 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 
 # =========================================================================== k-NN
 class KNeighbors:
-    """Exact k nearest neighbours (Euclidean).  Classification votes (ties: smallest class),
-    regression averages.  The training set is the model."""
+    """Exact k nearest neighbours (Euclidean; equal distances by row key).  Classification votes
+    (ties: smallest class), regression averages.  The training set is the model."""
 
-    def __init__(self, k: int = 5, problem_type: str = "clasificacion", block_rows: int = 100_000):
+    def __init__(self, k: int = 5, problem_type: str = "clasificacion", block_rows: int = 4096):
         self.k, self.problem_type, self.block_rows = k, problem_type, block_rows
 
     def fit(self, train: DataFrame) -> "KNeighborsModel":
@@ -58,77 +58,76 @@ class KNeighbors:
                                self.block_rows)
 
 
+def _nearest(q: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the rows of its k nearest, by exact distance, then by key."""
+    xn, qn = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    near = qn[:, None] - 2.0 * q @ x.T + xn[None, :]
+    kth = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+    # every row that rounding may have put on the wrong side of the k-th is measured exactly
+    slack = 1e-9 * (qn + xn.max()) + 1e-12
+    out = []
+    for i, row in enumerate(near <= (kth + slack)[:, None]):
+        cand = np.flatnonzero(row)
+        d = ((x[cand] - q[i]) ** 2).sum(axis=1)
+        out.append(cand[np.lexsort((keys[cand], d))[:k]])
+    return out
+
+
 class KNeighborsModel:
-    """Scoring is blocked: the training rows are hash-split into blocks of at most
-    ``block_rows`` rows; each block is broadcast (its size is bounded by construction) to a
-    vectorised per-partition search over the test rows that keeps each test row's local
-    top-k; the per-block candidates (k per test row per block) are merged with a group-by.
-    Exact, with no join of test × train rows."""
+    """Scoring compares blocks with blocks: training and test rows are hash-split into blocks of
+    about ``block_rows`` rows, each pair of blocks is one group of a cogroup, and the k best of
+    each block are merged by an aggregate.  Nothing passes through the driver, no group is larger
+    than two blocks and no training × test row is made.  (Exact search has to compare all rows:
+    the work is the product of both sizes, spread over the pairs of blocks.)"""
 
     def __init__(self, train: DataFrame, k: int, problem_type: str, block_rows: int):
         self.train, self.k, self.problem_type, self.block_rows = train, k, problem_type, block_rows
 
     def candidates(self, df: DataFrame) -> DataFrame:
-        spark = df.sparkSession
+        """(q_key, qx, nb_key, dist, nb_label): the k nearest of every block.  Test rows are told
+        apart by key and features, so rows that share a key keep their own neighbours."""
         k = self.k
         train = self.train.select("row_key", vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
-        n = train.count()
-        blocks = max(1, math.ceil(n / self.block_rows))
-        tb = train.withColumn("_blk", F.pmod(F.xxhash64("row_key"), F.lit(blocks)))
-        test = df.select(F.col("row_key").alias("q_key"), vector_to_array("features").alias("qx")).dropDuplicates(["q_key"])
-        out = None
-        for b in range(blocks):
-            part = tb.where(F.col("_blk") == b).select("row_key", "x", "y").toPandas()
-            if part.empty:
-                continue
-            keys = part["row_key"].to_numpy()
-            xb = np.stack(part["x"].to_numpy()).astype(np.float64)
-            yb = part["y"].to_numpy(dtype=np.float64)
-            bc = spark.sparkContext.broadcast((keys, xb, yb))
-
-            def search(it: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-                kk, X, Y = bc.value
-                xn = (X * X).sum(axis=1)
-                m = min(k, len(kk))
-                extra = min(len(kk), m + 8)
-                for pdf in it:
-                    if pdf.empty:
-                        continue
-                    Q = np.stack(pdf["qx"].to_numpy()).astype(np.float64)
-                    approx = (Q * Q).sum(axis=1)[:, None] - 2.0 * Q @ X.T + xn[None, :]
-                    idx = np.argpartition(approx, extra - 1, axis=1)[:, :extra] if extra < len(kk) else \
-                        np.tile(np.arange(len(kk)), (len(Q), 1))
-                    rows_q, rows_n, rows_d, rows_y = [], [], [], []
-                    for i in range(len(Q)):
-                        cand = idx[i]
-                        d = np.sqrt(((X[cand] - Q[i]) ** 2).sum(axis=1))
-                        order = np.lexsort((kk[cand], d))[:m]
-                        rows_q.extend([pdf["q_key"].iat[i]] * len(order))
-                        rows_n.extend(kk[cand][order])
-                        rows_d.extend(d[order])
-                        rows_y.extend(Y[cand][order])
-                    yield pd.DataFrame({"q_key": rows_q, "nb_key": rows_n, "dist": rows_d, "nb_label": rows_y})
-            part_out = test.mapInPandas(search, "q_key string, nb_key string, dist double, nb_label double")
-            out = part_out if out is None else out.unionByName(part_out)
-        return out
+        test = df.select(F.col("row_key").alias("q_key"), vector_to_array("features").alias("qx")).distinct()
+        nt, nq = (max(1, math.ceil(t.count() / self.block_rows)) for t in (train, test))
+        others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        tb = train.withColumn("_t", F.pmod(F.xxhash64("row_key", "x"), F.lit(nt)).cast("int")).withColumn("_q", others(nq))
+        qb = test.withColumn("_q", F.pmod(F.xxhash64("q_key", "qx"), F.lit(nq)).cast("int")).withColumn("_t", others(nt))
+
+        def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            rows = {"q_key": [], "qx": [], "nb_key": [], "dist": [], "nb_label": []}
+            if len(left) and len(right):
+                x, q = np.stack(right["x"].to_numpy()).astype(float), np.stack(left["qx"].to_numpy()).astype(float)
+                keys, y = right["row_key"].to_numpy(), right["y"].to_numpy(dtype=float)
+                for at in range(0, len(q), 512):
+                    for i, best in enumerate(_nearest(q[at : at + 512], x, keys, k), at):
+                        rows["q_key"] += [left["q_key"].iat[i]] * len(best)
+                        rows["qx"] += [left["qx"].iat[i]] * len(best)
+                        rows["nb_key"] += keys[best].tolist()
+                        rows["dist"] += np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1)).tolist()
+                        rows["nb_label"] += y[best].tolist()
+            return pd.DataFrame(rows)
+
+        return qb.groupBy("_t", "_q").cogroup(tb.groupBy("_t", "_q")).applyInPandas(
+            search, "q_key string, qx array<double>, nb_key string, dist double, nb_label double")
 
     def transform(self, df: DataFrame) -> DataFrame:
         k = self.k
         cand = self.candidates(df)
-        top = cand.groupBy("q_key").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nb_key", "nb_label"))), 1, k).alias("nb"))
+        top = cand.groupBy("q_key", "qx").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nb_key", "nb_label"))), 1, k).alias("nb"))
         labels = F.transform("nb", lambda s: s["nb_label"])
         if self.problem_type == "clasificacion":
-            votes = top.select("q_key", F.explode(labels).alias("c")).groupBy("q_key", "c").agg(F.count(F.lit(1)).alias("v"))
-            best = votes.groupBy("q_key").agg(F.min(F.struct((-F.col("v")).alias("nv"), F.col("c").alias("c"))).alias("b"))
-            share1 = top.select("q_key", (F.size(F.filter(labels, lambda x: x == 1.0)) / F.size(labels)).alias("p1"),
+            votes = top.select("q_key", "qx", F.explode(labels).alias("c")).groupBy("q_key", "qx", "c").agg(F.count(F.lit(1)).alias("v"))
+            best = votes.groupBy("q_key", "qx").agg(F.min(F.struct((-F.col("v")).alias("nv"), F.col("c").alias("c"))).alias("b"))
+            share1 = top.select("q_key", "qx", (F.size(F.filter(labels, lambda x: x == 1.0)) / F.size(labels)).alias("p1"),
                                 F.size(F.array_distinct(labels)).alias("_nd"))
-            pred = best.select("q_key", F.col("b.c").alias("prediction")).join(share1, "q_key")
-            pred = pred.select("q_key", "prediction",
+            pred = best.select("q_key", "qx", F.col("b.c").alias("prediction")).join(share1, ["q_key", "qx"])
+            pred = pred.select("q_key", "qx", "prediction",
                                array_to_vector(F.array(1 - F.col("p1"), F.col("p1"))).alias("probability"))
         else:
-            pred = top.select("q_key", F.aggregate(labels, F.lit(0.0), lambda a, x: a + x).alias("_s"), F.size(labels).alias("_n")) \
-                      .select("q_key", (F.col("_s") / F.col("_n")).alias("prediction"))
-        return df.join(pred, df["row_key"] == pred["q_key"], "left").drop("q_key")
+            pred = top.select("q_key", "qx", F.aggregate(labels, F.lit(0.0), lambda a, x: a + x).alias("_s"), F.size(labels).alias("_n")) \
+                      .select("q_key", "qx", (F.col("_s") / F.col("_n")).alias("prediction"))
+        return df.join(pred, (df["row_key"] == pred["q_key"]) & (vector_to_array(df["features"]) == pred["qx"]), "left").drop("q_key", "qx")
 
     def write(self):
         def save(path, overwrite):

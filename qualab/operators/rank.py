@@ -141,11 +141,9 @@ def report_quality(score: DataFrame, nulls: DataFrame, top: int = 10) -> DataFra
         "n_rows": F.col("n_rows"), "n_columns": F.col("n_columns"), "null_pct": F.format_string("%.2f", "null_pct"),
         "duplicate_rows": F.col("duplicate_rows"), "duplicate_pct": F.format_string("%.2f", "duplicate_pct"),
         "completeness": F.format_string("%.2f", "completeness"), "score": F.format_string("%.2f", "score"), "grade": F.col("grade")})
-    w = Window.orderBy(F.col("pct").desc(), F.col("col_name"))
     topn = nulls.where(F.col("nulls") > 0).orderBy(F.col("pct").desc(), F.col("col_name")).limit(top) \
                 .select(F.lit("quality_nulls").alias("section"), F.col("col_name").alias("item"),
                         F.format_string("%.2f", "pct").alias("value"))
-    del w
     return head.unionByName(topn)
 
 

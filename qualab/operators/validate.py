@@ -179,28 +179,21 @@ def date_rules(df: DataFrame, columns: Sequence[str] | None = None, as_of: str =
     return agg.select("col_name", F.inline(F.filter(rules, lambda x: x.isNotNull())))
 
 
-def training_date_columns(df: DataFrame, order_by: Sequence[str], sample: int = 5) -> DataFrame:
-    """V9: (col_name, is_date): datetime type, or any of the first ``sample`` non-null values
-    (in ``order_by`` order) starts with a date-like pattern.  Each text column is a distributed
-    top-k (no window over a whole column)."""
-    spark = df.sparkSession
-    parts = []
-    for f in df.schema.fields:
-        if f.name in order_by:
-            continue
+def training_date_columns(df: DataFrame, exclude: Sequence[str] = (), share: float = 0.5) -> DataFrame:
+    """V9: (col_name, is_date): datetime type, or at least ``share`` of all non-null values begin
+    with a date-like pattern.  One aggregate over all text columns."""
+    fields = [f for f in df.schema.fields if f.name not in exclude and (is_datetime(f.dataType) or is_text(f.dataType))]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "col_name string, is_date boolean")
+    aggs, rows = [], []
+    for i, f in enumerate(fields):
         if is_datetime(f.dataType):
-            parts.append(spark.range(1).select(F.lit(f.name).alias("col_name"), F.lit(True).alias("is_date")))
-        elif is_text(f.dataType):
-            head = df.where(qcol(f.name).isNotNull()).orderBy(*[qcol(o) for o in order_by]).limit(sample)
-            parts.append(head.agg(F.coalesce(F.max(qcol(f.name).rlike("^(?:" + TRAINING_DATE_REGEX + ")")),
-                                             F.lit(False)).alias("is_date"))
-                         .select(F.lit(f.name).alias("col_name"), "is_date"))
-    if not parts:
-        return spark.createDataFrame([], "col_name string, is_date boolean")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            rows.append(F.struct(F.lit(f.name).alias("col_name"), F.lit(True).alias("is_date")))
+        else:
+            c = qcol(f.name)
+            aggs.append(F.avg(c.rlike("^(?:" + TRAINING_DATE_REGEX + ")").cast("double")).alias(f"s{i}"))
+            rows.append(F.struct(F.lit(f.name).alias("col_name"), F.coalesce(F.col(f"s{i}") >= share, F.lit(False)).alias("is_date")))
+    return df.agg(F.count(F.lit(1)).alias("_n"), *aggs).select(F.inline(F.array(*rows)))
 
 
 def problem_type(df: DataFrame, target: str) -> DataFrame:

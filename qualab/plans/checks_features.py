@@ -135,3 +135,39 @@ def j1(spark, sf):
     out = FE.append_columns(df, {"net": F.col("l_extendedprice") * (1 - F.col("l_discount")),
                                  "returned": F.col("l_returnflag") == "R"})
     return out.select("l_orderkey", "net", "returned")
+
+
+# --------------------------------------------------------------------------- P3, P4, F4, F6
+@check("p3_candidate_targets", sql="""
+SELECT 'regresion' AS problem_type, c AS col_name, (SELECT count(*) FROM orders) AS n
+FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice')) AS t(c)
+UNION ALL
+SELECT 'clasificacion', c, (SELECT count(*) FROM orders)
+FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) AS t(c)""")
+def p3(spark, sf):
+    df = table(spark, sf, "orders")
+    names = [(kind, c) for kind in ("regresion", "clasificacion") for c in FE.candidate_targets(df, kind)]
+    rows = F.array(*[F.struct(F.lit(k).alias("problem_type"), F.lit(c).alias("col_name")) for k, c in names])
+    return df.agg(F.count(F.lit(1)).alias("n")).select(F.inline(rows), "n")
+
+
+@check("p4_align_columns", round_cols=["c_acctbal"], sql="""
+SELECT c_acctbal, CAST(NULL AS DOUBLE) AS c_extra, c_custkey FROM customer""")
+def p4(spark, sf):
+    return FE.align_columns(table(spark, sf, "customer"), ["c_acctbal", "c_extra", "c_custkey"])[0]
+
+
+@check("f4_numeric_only", round_cols=["value"], sql="SELECT event_id, user_id, value FROM events")
+def f4(spark, sf):
+    return FE.numeric_only(table(spark, sf, "events"))
+
+
+@check("f6_finite_or_null", round_cols=["x", "y"], sql="""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN l_tax / l_discount END AS x,
+       CASE WHEN l_tax > 0 THEN l_extendedprice END AS y FROM lineitem""")
+def f6(spark, sf):
+    li = table(spark, sf, "lineitem")
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    x = F.when(F.col("l_discount") > 0, F.col("l_tax") / F.col("l_discount")).otherwise(F.when(F.col("l_tax") > 0.04, inf).otherwise(-inf))
+    y = F.when(F.col("l_tax") > 0, F.col("l_extendedprice")).otherwise(nan)
+    return FE.finite_or_null(li.select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y")))

@@ -201,6 +201,15 @@ def e9(spark, sf):
     return M.residuals(table(spark, sf, "pred_reg"))
 
 
+@check("e10_qq_ranks", fixtures=["pred_reg"], round_cols=["p", "sample"], sql=f"""
+SELECT {K}, i AS rank, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n)
+                            ELSE (i - 0.3175) / (n + 0.365) END AS p, e AS sample
+FROM (SELECT {K}, label - prediction AS e, row_number() OVER (PARTITION BY {K} ORDER BY label - prediction) AS i,
+             CAST(count(*) OVER (PARTITION BY {K}) AS DOUBLE) AS n FROM pred_reg WHERE label - prediction IS NOT NULL) AS r""")
+def e10r(spark, sf):
+    return M.qq_points(M.residuals(table(spark, sf, "pred_reg"))).select(*M.KEYS, "rank", "p", "sample")
+
+
 @check("e10_qq_points")
 def e10(spark, sf):
     return M.qq_points(M.residuals(table(spark, sf, "pred_reg")))

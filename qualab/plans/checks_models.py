@@ -204,6 +204,42 @@ def m9x(spark, sf):
     return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
 
 
+SQL_ONE = """WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v,
+                  avg(l_extendedprice) AS my, avg(l_quantity) AS mx FROM lineitem),
+     w AS (SELECT my, mx, {} AS slope FROM s)
+SELECT slope, my - slope * mx AS intercept FROM w"""
+
+
+def _one_predictor(name: str):
+    def run(spark, sf):
+        li = table(spark, sf, "lineitem").select(F.col("l_quantity"), F.col("l_extendedprice").alias("label"))
+        li = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li)
+        m = MO.make_estimator(name, "regresion", li.count()).fit(li)
+        return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.intercept), 3))], "slope double, intercept double")
+    return run
+
+
+# the minimum of the objective in closed form: soft threshold of the covariance over variance plus the l2 weight
+for _name, _id, _slope in [("Ridge", "m10", "c / (v + 1 / n)"), ("Lasso", "m11", "sign(c) * greatest(abs(c) - 1, 0) / v"),
+                           ("ElasticNet", "m12", "sign(c) * greatest(abs(c) - 0.5, 0) / (v + 0.5)")]:
+    check(f"{_id}_{_name.lower()}_coefficients", sql=f"SELECT round(slope, 4) AS slope, round(intercept, 3) AS intercept FROM ({SQL_ONE.format(_slope)}) AS q",
+          round_cols=["slope", "intercept"])(_one_predictor(_name))
+
+
+_RIDGE2 = """WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, var_pop(l_quantity) AS a, var_pop(l_tax) AS d, covar_pop(l_quantity, l_tax) AS b,
+                  covar_pop(l_extendedprice, l_quantity) AS p, covar_pop(l_extendedprice, l_tax) AS q FROM lineitem)
+SELECT round(((d + 1 / n) * p - b * q) / ((a + 1 / n) * (d + 1 / n) - b * b), 4) AS w_quantity,
+       round(((a + 1 / n) * q - b * p) / ((a + 1 / n) * (d + 1 / n) - b * b), 4) AS w_tax FROM s"""
+
+
+@check("m10_ridge_two_predictors", sql=_RIDGE2, round_cols=["w_quantity", "w_tax"])
+def m10x(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_tax", F.col("l_extendedprice").alias("label"))
+    li = VectorAssembler(inputCols=["l_quantity", "l_tax"], outputCol="features").transform(li)
+    m = MO.make_estimator("Ridge", "regresion", li.count()).fit(li)
+    return spark.createDataFrame([tuple(round(float(w), 4) for w in m.coefficients)], "w_quantity double, w_tax double")
+
+
 @check("m7_gaussian_nb_parameters", round_cols=["mean", "variance"], sql="""
 WITH l AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS label, l_quantity, l_discount, l_tax FROM lineitem),
      s AS (SELECT label, 'l_quantity' AS feature, avg(l_quantity) AS mean, var_pop(l_quantity) AS v FROM l GROUP BY label
@@ -297,9 +333,9 @@ def o4(spark, sf):
 @check("x3_sample_rows", round_cols=["o_totalprice"], sql="""
 SELECT o_orderkey, o_totalprice FROM orders
 ORDER BY CAST(('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0
-LIMIT CASE WHEN (SELECT count(*) FROM orders) <= 2000 THEN (SELECT count(*) FROM orders) ELSE 1000 END""")
+LIMIT 1000""")
 def x3(spark, sf):
-    return X.sample_rows(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    return X.sample_rows(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], n=1000)
 
 
 @check("x4_beeswarm", round_cols=["shap", "value", "value_scaled"], sql=f"""
@@ -318,9 +354,10 @@ def x4(spark, sf):
 def x1p(spark, sf):
     docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
     data, state = MO.prepare_model_data(docs.drop("toxic"), "quality", "clasificacion", ["doc_id"])
-    model = MO.make_estimator("RandomForest", "clasificacion", 300, 2).fit(data.where(~F.col("is_test")))
+    train = data.where(~F.col("is_test"))
+    model = MO.make_estimator("RandomForest", "clasificacion", train.count(), 2).fit(train)
     return X.permutation_shap(model, data.where(F.col("is_test")), state["features"], data.where(~F.col("is_test")),
-                              permutations=8)
+                              permutations=32)
 
 
 @check("v13_artefacts_available")
@@ -333,8 +370,7 @@ def v13(spark, sf):
 @check("c11_analyze_model")
 def c11(spark, sf):
     data = _docs_data(spark, sf)
-    out = C.analyze_model(data, lambda: NaiveBayes(modelType="gaussian"), "clasificacion", "run_c11", "GaussianNB",
-                          k=3, sizes=[0.5, 1.0])
+    out = C.analyze_model(data, lambda: NaiveBayes(modelType="gaussian"), "clasificacion", "run_c11", "GaussianNB")
     return out["diagnosis"]
 
 

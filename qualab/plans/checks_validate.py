@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from qualab.functions.parsing import DATE_LIKE_FORMATS, DATE_LIKE_PREFIXES, STRICT_NUMBER
+from pyspark.sql import functions as F
+
 from qualab.operators import validate as V
 from qualab.plans.fixtures import table
 from qualab.plans.registry import check, sql_union
@@ -132,8 +134,8 @@ def v8e(spark, sf):
 
 
 @check("v9_training_date_columns", fixtures=["text_dates"], sql=sql_union([f"""
-SELECT '{c}' AS col_name, coalesce(max(regexp_matches({c}, '^(?:{V.TRAINING_DATE_REGEX})')), false) AS is_date
-FROM (SELECT {c} FROM text_dates WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 5) AS h""" for c in TD_COLS]))
+SELECT '{c}' AS col_name, coalesce(avg(CASE WHEN regexp_matches({c}, '^(?:{V.TRAINING_DATE_REGEX})') THEN 1.0 ELSE 0.0 END) >= 0.5, false) AS is_date
+FROM text_dates WHERE {c} IS NOT NULL""" for c in TD_COLS]))
 def v9(spark, sf):
     return V.training_date_columns(table(spark, sf, "text_dates"), ["o_orderkey"])
 
@@ -168,3 +170,14 @@ SELECT 'l_returnflag', count(DISTINCT l_returnflag), true FROM lineitem""")
 def v11(spark, sf):
     df = table(spark, sf, "lineitem")
     return V.categorical_for_plots(df, "l_tax").unionByName(V.categorical_for_plots(df, "l_returnflag"))
+
+
+@check("v7_date_candidates", sql="""
+SELECT 'l_shipdate' AS col_name, count(*) AS n FROM lineitem UNION ALL SELECT 'o_orderdate', count(*) FROM orders""")
+def v7(spark, sf):
+    out = []
+    for t in ("lineitem", "orders"):
+        df = table(spark, sf, t)
+        rows = F.array(*[F.struct(F.lit(c).alias("col_name")) for c in V.date_candidates(df)])
+        out.append(df.agg(F.count(F.lit(1)).alias("n")).select(F.inline(rows), "n"))
+    return out[0].unionByName(out[1])

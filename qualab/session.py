@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_scratch: dict[str, str] = {}    # by application, for local sessions without the setting
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "qualab") -> SparkSession:
@@ -36,15 +39,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, set as the context's checkpoint folder.
 
-    A cluster names a shared (distributed) folder there and it is used as is.  Only when
-    the setting is unset (local tests) a scratch folder is created.
+    Where the setting is missing, a local session (tests, one machine) gets a scratch folder, once;
+    on a cluster that is an error, as executors do not share the driver's disk.
     """
+    context = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="qualab-ckpt-", dir=os.environ.get("QUALAB_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = _scratch.get(context.applicationId)
+        if conf_dir is None:
+            conf_dir = _scratch[context.applicationId] = tempfile.mkdtemp(prefix="qualab-ckpt-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(conf_dir)
     return conf_dir

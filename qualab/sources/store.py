@@ -31,7 +31,7 @@ REPORT_SCHEMA = ("report_id string, name string, kind string, created_at timesta
 
 
 def _now() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
 class Store:
@@ -90,11 +90,11 @@ class Store:
         return ds_id
 
     def datasets(self, user_id: str | None = None) -> DataFrame:
-        """Live catalog rows (latest event per id is not a delete), newest first."""
+        """Live catalog rows, newest first.  An id is given once, so a delete event ends it
+        whatever the clock says."""
         events = self.table("catalog_datasets", DATASET_SCHEMA)
-        latest = events.groupBy("id").agg(F.max_by(F.struct(*events.columns), F.col("created_at")).alias("e")) \
-                       .select("e.*")
-        live = latest.where(F.col("op") == "add").drop("op")
+        gone = events.where(F.col("op") == "delete").select("id")
+        live = events.where(F.col("op") == "add").drop("op").join(gone, "id", "left_anti")
         if user_id is not None:
             live = live.where(F.col("user_id") == user_id)
         return live.orderBy(F.col("created_at").desc(), F.col("id"))
@@ -199,7 +199,7 @@ def latest(df: DataFrame, order_col: str = "created_at", user_id: str | None = N
     """H2 / H4 / H6 / H7: newest ``n`` rows, optionally for one user (top-k, no full sort)."""
     if user_id is not None:
         df = df.where(F.col("user_id") == user_id)
-    return df.orderBy(F.col(order_col).desc(), *[F.col(c) for c in df.columns if c != order_col][:1]).limit(n)
+    return df.orderBy(F.col(order_col).desc(), *[F.col(c) for c in df.columns if c != order_col]).limit(n)
 
 
 def main_metric_rows(runs: DataFrame, run_metrics: DataFrame) -> DataFrame:
