@@ -165,13 +165,13 @@ def split(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFra
     """
     held = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
     names = docs.columns
-    placed = docs.withColumn("_p", F.coalesce(F.pmod(F.xxhash64(key), F.lit(BITS)).cast("int"), F.lit(-1)))
+    placed = docs.withColumn("_qualab_p", F.coalesce(F.pmod(F.xxhash64(key), F.lit(BITS)).cast("int"), F.lit(-1)))
 
     def some(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = np.unpackbits(held.value).astype(bool)
             for batch in batches:
-                p = batch.column("_p").to_numpy()
+                p = batch.column("_qualab_p").to_numpy()
                 yield batch.filter(pa.array(((p >= 0) & on[p]) == wanted)).select(names)
 
         return placed.mapInArrow(run, docs.schema)

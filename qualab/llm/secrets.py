@@ -151,20 +151,29 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secret spans (base and added) are replaced by ``[SECRET]``, n_chars follows."""
     names = docs.columns
     owner, repository = "source", "doc_id"
-    found = stored(candidates(docs.withColumn("_row", F.monotonically_increasing_id()), [*names, "_row"]), "secret-docs")
+    rest = [F.col(c) for c in names if c != "text"]  # kept in one column, so that no name can clash
+    row = docs.select(F.struct(*rest).alias("doc"), owner, repository, "text", F.monotonically_increasing_id().alias("_row"))
+    found = stored(candidates(row, row.columns), "secret-docs")
     some = found.where(F.size("found") > 0)  # only these texts are shuffled
     judged = judge(found, owner, repository).select("_row", "added")
     base = F.expr("transform(filter(found, x -> x.kind < 3), x -> struct(x.start, x.kind, x.end))")
-    spans = some.join(judged, "_row", "left").withColumn("_spans", F.sort_array(F.concat(base, F.expr(
+    spans = some.join(judged, "_row", "left").withColumn("spans", F.sort_array(F.concat(base, F.expr(
         "coalesce(added, cast(array() as array<struct<start:bigint,kind:int,end:bigint>>))"))))
     # overlapping spans leave the text once: each piece of text between spans starts at the largest end so far
-    text = F.expr("""aggregate(_spans, struct(cast(0 as bigint) as at, '' as out),
+    text = F.expr("""aggregate(spans, struct(cast(0 as bigint) as at, '' as out),
         (s, x) -> struct(greatest(s.at, x.end) as at,
                          case when x.start >= s.at then concat(s.out, substring(text, cast(s.at + 1 as int), cast(x.start - s.at as int)), '[SECRET]')
                               else s.out end as out),
         s -> concat(s.out, substring(text, cast(s.at + 1 as int))))""")
-    done = spans.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(text))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return done.select(*names).union(found.where(F.size("found") == 0).select(*names))
+    done = spans.withColumn("changed", F.size("spans") > 0).withColumn("text", F.when(F.col("changed"), text).otherwise(F.col("text")))
+    done = done.select("doc", "text", "changed").union(found.where(F.size("found") == 0).select("doc", "text", F.lit(False)))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        old = F.col("doc")[name]
+        if name == "n_chars":
+            old = F.when(F.col("changed"), F.length("text").cast(docs.schema[name].dataType)).otherwise(old)
+        return old.alias(name)
+
+    return done.select(*(column(c) for c in names))

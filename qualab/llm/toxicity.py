@@ -151,12 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_modulus: int = 3, held_out_
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` (any columns) with ``_tox`` double: the probability of label 1; null text counts as empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumn("_tox", F.lit(0.0)).schema
+    schema = docs.withColumn("_qualab_tox", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.scores(texts))],
-                                             names=[*part.schema.names, "_tox"])
+                                             names=[*part.schema.names, "_qualab_tox"])
 
     return docs.mapInArrow(run, schema)
 
@@ -170,7 +170,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     model = fit(docs, labels)
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
-        F.col("_tox").alias("score"), F.when(F.col("_tox") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+        F.col("_qualab_tox").alias("score"), F.when(F.col("_qualab_tox") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -179,4 +179,4 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not predicted toxic; the model learns from ``docs`` itself."""
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("_tox") < THRESHOLD).drop("_tox")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("_qualab_tox") < THRESHOLD).drop("_qualab_tox")
