@@ -19,7 +19,9 @@ from pyspark.sql import functions as F  # noqa: E402
 from qualab.operators import dedup as D  # noqa: E402
 from qualab.operators import metrics as M  # noqa: E402
 from qualab.operators import profile as P  # noqa: E402
-from qualab.operators import transform as X  # noqa: E402
+from qualab.operators import explain as X  # noqa: E402
+from qualab.operators import models as MO  # noqa: E402
+from qualab.operators import transform as TR  # noqa: E402
 from qualab.operators import validate as V  # noqa: E402
 from qualab.operators import crossval as C  # noqa: E402
 from qualab.plans import runs_fixture as RF  # noqa: E402
@@ -27,6 +29,27 @@ from qualab.plans.fixtures import table  # noqa: E402
 from qualab.session import build_session  # noqa: E402
 
 
+def model_data(spark, sf):
+    """Regression over labelled documents: length from language, source and labels."""
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
+    return MO.prepare_model_data(docs, "n_chars", "regresion", ["doc_id"])[0]
+
+
+def fit(spark, sf, name):
+    data = model_data(spark, sf)
+    train = data.where(~F.col("is_test"))
+    model = MO.make_estimator(name, "regresion", train.count()).fit(train)
+    return MO.predictions_of(model, data.where(F.col("is_test")), "bench", name)
+
+
+def shap(spark, sf):
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
+    data, state = MO.prepare_model_data(docs, "n_chars", "regresion", ["doc_id"])
+    train = data.where(~F.col("is_test"))
+    model = MO.make_estimator("LinearRegression", "regresion", 1).fit(train)
+    return X.permutation_shap(model, data.where(F.col("is_test")), state["features"], train, permutations=8)
+
+
 def headline(spark, sf):
     li = lambda: table(spark, sf, "lineitem")
     do = lambda: table(spark, sf, "dirty_orders")
@@ -41,12 +64,18 @@ def headline(spark, sf):
         "d6_merge_duplicates": lambda: D.merge_duplicates(table(spark, sf, "dup_null_keys"), ["grp", "prio"],
                                                           {"o_totalprice": "median", "o_orderstatus": "mode"},
                                                           order_by=["o_orderkey"]),
-        "t10_dates_mixed": lambda: X.standardize_dates(table(spark, sf, "text_dates").select("o_orderkey", "d_mixed"),
+        "t10_dates_mixed": lambda: TR.standardize_dates(table(spark, sf, "text_dates").select("o_orderkey", "d_mixed"),
                                                        "d_mixed", "ISO"),
         "v4_v5_text_suggestions": lambda: V.text_type_suggestions(table(spark, sf, "text_dates")),
         "e2_classification_report": lambda: M.classification_report(table(spark, sf, "pred_binary")),
         "e5_roc_points": lambda: M.roc_points(table(spark, sf, "pred_binary")),
         "e15_residual_diagnosis": lambda: M.residual_diagnosis(table(spark, sf, "pred_reg")),
+        "m9_fit_linear_regression": lambda: fit(spark, sf, "LinearRegression"),
+        "m17_knn_regression": lambda: fit(spark, sf, "KNeighbors"),
+        "c11_cross_validation": lambda: C.analyze_model(
+            model_data(spark, sf), lambda: MO.make_estimator("LinearRegression", "regresion", 1), "regresion", "bench",
+            "LinearRegression", sizes=[0.5, 1.0])["summary"],
+        "x1_permutation_shap": lambda: shap(spark, sf),
         "c2_cv_summary": lambda: C.cv_summary(RF.fold_scores(spark, sf)),
     }
 
