@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, LinearRegression
@@ -144,26 +145,39 @@ class KNeighborsModel:
 
 
 # =========================================================================== AdaBoost
-def _checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _next_round(old: DataFrame, new: DataFrame, cut: bool) -> DataFrame:
+    """``new`` computed once, from the persisted ``old``, which is then released; ``cut`` ends the lineage."""
+    new = new.persist(StorageLevel.MEMORY_AND_DISK)
+    if cut:
+        ensure_checkpoint_dir(new.sparkSession)
+        kept = new.checkpoint(eager=True)
+        new.unpersist()
+        new = kept
+    else:
+        new.count()
+    old.unpersist()
+    return new
 
 
 class AdaBoostSamme:
     """M8: SAMME boosting of depth-1 trees fitted with row weights (``weightCol``).  The weight
     update is a projection; its normaliser follows from the same aggregate that gives the
-    error.  Lineage is cut with a reliable checkpoint every few rounds."""
+    error.  Each round's weights are persisted until the next round has read them; lineage is
+    cut with a reliable checkpoint every few rounds.  ``max_classes`` bounds the class list that
+    every model row carries; more raise an error."""
 
-    def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, seed: int = 42, checkpoint_every: int = 10):
+    def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, seed: int = 42, checkpoint_every: int = 10,
+                 max_classes: int = 1000):
         self.n, self.lr, self.seed, self.every = n_estimators, learning_rate, seed, checkpoint_every
+        self.max_classes = max_classes
 
     def fit(self, df: DataFrame) -> "AdaBoostSammeModel":
-        classes = [r[0] for r in df.select("label").distinct().orderBy("label").limit(1001).collect()]
-        if len(classes) > 1000:
-            raise ValueError("too many classes for boosting")
+        classes = [r[0] for r in df.select("label").distinct().orderBy("label").limit(self.max_classes + 1).collect()]
+        if len(classes) > self.max_classes:
+            raise ValueError(f"more than max_classes={self.max_classes} classes")
         K = len(classes)
         n = df.count()
-        data = df.select("features", "label", F.lit(1.0 / n).alias("w"))
+        data = df.select("features", "label", F.lit(1.0 / n).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
         stumps, alphas = [], []
         for m in range(self.n):
             stump = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=self.seed).fit(data)
@@ -184,10 +198,10 @@ class AdaBoostSamme:
             stumps.append(stump)
             alphas.append(alpha)
             new_total = agg["W"] * ((1 - err) + err * math.exp(alpha))
-            data = scored.select("features", "label",
-                                 (F.col("w") * F.exp(F.lit(alpha) * F.col("miss")) / F.lit(new_total)).alias("w"))
-            if (m + 1) % self.every == 0:
-                data = _checkpointed(data)
+            data = _next_round(data, scored.select(
+                "features", "label", (F.col("w") * F.exp(F.lit(alpha) * F.col("miss")) / F.lit(new_total)).alias("w")),
+                (m + 1) % self.every == 0)
+        data.unpersist()
         return AdaBoostSammeModel(stumps, alphas, classes)
 
 
@@ -239,7 +253,7 @@ class AdaBoostR2:
 
     def fit(self, df: DataFrame) -> "AdaBoostR2Model":
         n = df.count()
-        data = df.select("features", "label", F.lit(1.0 / n).alias("w"))
+        data = df.select("features", "label", F.lit(1.0 / n).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
         trees, weights = [], []
         for m in range(self.n):
             tree = DecisionTreeRegressor(maxDepth=3, weightCol="w", seed=self.seed).fit(data)
@@ -264,9 +278,8 @@ class AdaBoostR2:
             upd = F.col("w") * F.pow(F.lit(beta), (F.lit(1.0) - loss) * F.lit(self.lr))
             new = scored.select("features", "label", upd.alias("w"))
             tot = new.agg(F.sum("w")).first()[0]
-            data = new.select("features", "label", (F.col("w") / F.lit(tot)).alias("w"))
-            if (m + 1) % self.every == 0:
-                data = _checkpointed(data)
+            data = _next_round(data, new.select("features", "label", (F.col("w") / F.lit(tot)).alias("w")), (m + 1) % self.every == 0)
+        data.unpersist()
         return AdaBoostR2Model(trees, weights)
 
 
