@@ -101,14 +101,14 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
-           limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows with their texts, about ``limit`` bytes of text at a time, so that memory follows neither
+           limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows with their texts, about ``limit`` bytes of text and at most ``rows`` at a time, so that memory follows neither
     the batch size nor the number of long texts (one text is never split)."""
     for batch in batches:
         size = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(text).cast(pa.binary()))])
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(size, size[at] + limit, side="right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(size, size[at] + limit, side="right")) - 1))
             part = batch.slice(at, to - at)
             yield part, byte_texts(part.column(text))
             at = to

@@ -7,17 +7,18 @@ among the first few of each in this order, so only these go to the join.
 
 Links of different sets are found in two rounds, which together test each pair that could join two groups:
 
-1. in the list of each prefix shingle every set is paired with one of the list, which links large groups
-   of near copies with as many pairs as members;
+1. every set is paired with the least of the sets that begin the lists of its prefix shingles, which links
+   large groups of near copies with as many pairs as members;
 2. pairs within a list whose sets are still in different components, with the asymmetric prefixes of the
    longer and the shorter set.
 
 Each pair passes the length filter, the positional filter (what can follow the shared shingle) and the
-suffix filter (a bound of the difference from counts of hash ranges), and is verified once, exactly.
+suffix filter (the sets are cut at fixed hashes, the counts of the parts bound how much they can share), and is verified once, exactly.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,20 @@ from .common import Words, chunks, mix, shingle_hashes, stored, table
 from .components import components
 
 SIZE = 5
-BUCKETS = 1 << 20  #: hash buckets whose counts order the shingles
-COUNT_BLOCK = 1 << 14
-RANGES = 16  #: hash ranges of the suffix filter
+BUCKETS = 1 << 22  #: hash buckets whose counts order the shingles
+COUNT_BLOCK = 1 << 16
+RANGE_SHINGLES = 8  #: the suffix filter has a hash range for about so many shingles of a set
 LIST_ROWS = 8192  #: lists of hot shingles are cut into parts of about so many rows
-_ID = np.uint64((1 << 56) - 1)
+_ID = np.uint64((1 << 48) - 1)  #: shingles are known by 48 bits; texts of a chunk by 10, orders by 6
+_ROWS = 1024
 
 
-def text_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, 56-bit shingle hash), distinct within each text, in the order of texts and hashes."""
+def text_shingles(words: Words, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, order and 48-bit hash) of the shingles, distinct within each text and sorted.
+
+    ``level`` has the order of each hash bucket (0 to 63; without it all are 0).  Text, order and hash are
+    packed into one number, whose sorting is fast; there are at most _ROWS texts.
+    """
     text, h = words.text_of, words.hash
     whole = np.flatnonzero(text[SIZE - 1 :] == text[: len(text) - SIZE + 1]) if len(text) >= SIZE else np.zeros(0, np.int64)
     keys, rows = [shingle_hashes(h, SIZE)[whole]], [text[whole]]
@@ -45,44 +51,59 @@ def text_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
         own = h[words.bounds[i] : words.bounds[i + 1]]
         keys.append(shingle_hashes(own, len(own)))
         rows.append(np.array([i]))
-    rows, keys = np.concatenate(rows), np.concatenate(keys) & _ID
-    order = np.lexsort((keys, rows))
-    rows, keys = rows[order], keys[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
-    return rows[new], keys[new]
+    keys = np.concatenate(keys) & _ID
+    packed = np.concatenate(rows).astype(np.uint64) << np.uint64(54) | keys
+    if level is not None:
+        packed |= level[_bucket(keys)] << np.uint64(48)
+    packed.sort()
+    new = np.ones(len(packed), bool)
+    new[1:] = packed[1:] != packed[:-1]
+    packed = packed[new]
+    return (packed >> np.uint64(54)).astype(np.int64), packed & np.uint64((1 << 54) - 1)
+
+
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return ((keys & _ID) >> np.uint64(26)).astype(np.int64)
 
 
 def _set_ids(rows: np.ndarray, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of shingles and hash of each text's set, and where its shingles begin."""
     n = np.bincount(rows, minlength=size)
     first = np.concatenate([[0], np.cumsum(n)])
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(keys + np.uint64(1)), dtype=np.uint64)])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix((keys & _ID) + np.uint64(1)), dtype=np.uint64)])
     return n, mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)), first
 
 
+def _range_bits(n: np.ndarray) -> np.ndarray:
+    """log2 of the number of hash ranges of a set of n shingles."""
+    return np.maximum(2, np.ceil(np.log2(np.maximum(n, 1) / RANGE_SHINGLES))).astype(np.int64)
+
+
 def _digests(docs: DataFrame) -> DataFrame:
     """A row (doc_id, n, sid, ranges) of each text; and rows (block, counts) of shingle counts by bucket."""
-    schema = docs.select("doc_id").schema.simpleString()[7:-1] + ", n long, sid long, ranges array<int>, block int, counts binary"
+    schema = docs.select("doc_id").schema.simpleString()[7:-1] + ", n long, sid long, ranges binary, block int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, id_type = np.zeros(BUCKETS, np.int64), pa.int64()
-        for part, texts in chunks(batches):
+        count, id_type = np.zeros(BUCKETS, np.uint32), pa.int64()
+        for part, texts in chunks(batches, rows=_ROWS):
             rows, keys = text_shingles(Words(texts))
-            count += np.bincount((keys >> np.uint64(36)).astype(np.int64), minlength=BUCKETS)
-            n, sid, _ = _set_ids(rows, keys, len(texts))
-            cells = np.bincount(rows * RANGES + (keys & np.uint64(RANGES - 1)).astype(np.int64), minlength=len(texts) * RANGES)
+            np.add.at(count, _bucket(keys), 1)
+            n, sid, first = _set_ids(rows, keys, len(texts))
+            bits = _range_bits(n)
+            start = np.concatenate([[0], np.cumsum(1 << bits)])
+            cell = start[rows] + ((keys & _ID) >> (np.uint64(48) - bits[rows].astype(np.uint64))).astype(np.int64)
+            cells = np.minimum(np.bincount(cell, minlength=start[-1]), 65535).astype("<u2")
             ids = part.column("doc_id")
             id_type, k = ids.type, len(texts)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n, pa.int64()), pa.array(sid.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * RANGES, pa.int32()), pa.array(cells.astype(np.int32))),
+                 pa.array([cells[a:b].tobytes() for a, b in zip(start, start[1:])], pa.binary()),
                  pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n", "sid", "ranges", "block", "counts"])
         blocks = [i for i in range(BUCKETS // COUNT_BLOCK) if count[i * COUNT_BLOCK : (i + 1) * COUNT_BLOCK].any()]
         k = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())),
-             pa.array(blocks, pa.int32()), pa.array([count[i * COUNT_BLOCK : (i + 1) * COUNT_BLOCK].tobytes() for i in blocks], pa.binary())],
+            [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(blocks, pa.int32()),
+             pa.array([zlib.compress(count[i * COUNT_BLOCK : (i + 1) * COUNT_BLOCK].tobytes(), 1) for i in blocks], pa.binary())],
             names=["doc_id", "n", "sid", "ranges", "block", "counts"])
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, schema), "ngram-digests")
@@ -94,44 +115,43 @@ def _bucket_counts(digests: DataFrame) -> np.ndarray:
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(COUNT_BLOCK, np.int64)
         for x in part["counts"]:
-            total += np.frombuffer(x.as_buffer(), np.int64)
-        return pa.table({"block": part["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            data = np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+            total += data if len(data) == COUNT_BLOCK else data.view(np.int64)
+        return pa.table({"block": part["block"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    # a block is 128 kB from each task: sums of at most 64 of them at a time
+    # sums first within 64 parts of the tasks, then over the parts
     rows = digests.where("block is not null").select("block", "counts")
     parts = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(64)))
     for keys in (["block", "_part"], ["block"]):
         parts = parts.groupBy(*keys).applyInArrow(add, "block int, counts binary")
         parts = parts.withColumn("_part", F.lit(0)) if keys == ["block"] else parts
     out = np.zeros(BUCKETS, np.int64)
-    for row in parts.select("block", "counts").toLocalIterator():
-        out[row["block"] * COUNT_BLOCK : (row["block"] + 1) * COUNT_BLOCK] = np.frombuffer(row["counts"], np.int64)
+    for row in parts.select("block", "counts").toArrow().to_pylist():
+        out[row["block"] * COUNT_BLOCK : (row["block"] + 1) * COUNT_BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return out
 
 
 def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """shingle (order and hash), part, sid, n, pos of the prefix of each text's set."""
-    # the order by count needs no more than its logarithm, in quarters
-    level = np.minimum(4 * np.log2(np.maximum(counts, 1)), 127).astype(np.uint64)
+    # a bucket holds many rare shingles; what it has beyond their usual number and its spread is a frequent one's
     usual = float(np.median(counts))
+    excess = (counts - usual) / (3 * max(1.0, usual**0.5))
+    level = np.where(excess > 1, np.minimum(1 + 4 * np.log2(np.maximum(excess, 1)), 63), 0).astype(np.uint64)
     parts = np.clip((counts - 2 * usual) / LIST_ROWS, 1, 1 << 14).astype(np.int64)
     held = docs.sparkSession.sparkContext.broadcast((level, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, parts = held.value
-        for _, texts in chunks(batches):
-            rows, keys = text_shingles(Words(texts))
+        for _, texts in chunks(batches, rows=_ROWS):
+            rows, keys = text_shingles(Words(texts), level)
             n, sid, first = _set_ids(rows, keys, len(texts))
-            bucket = (keys >> np.uint64(36)).astype(np.int64)
-            ordered = level[bucket] << np.uint64(56) | keys
-            order = np.lexsort((ordered, rows))
             pos = np.arange(len(rows)) - first[rows]
-            use = pos < (n - -(-3 * n // 4) + 1)[rows]
-            r, o = rows[use], order[use]
-            cut = parts[bucket[o]]  # 1: one list, as part -1
+            use = np.flatnonzero(pos < (n - -(-3 * n // 4) + 1)[rows])
+            r, s = rows[use], keys[use]
+            cut = parts[_bucket(s)]  # 1: one list, as part -1
             part = np.where(cut > 1, (sid[r] % cut.astype(np.uint64)).astype(np.int32), -1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ordered[o].view(np.int64)), pa.array(part), pa.array(sid[r].view(np.int64)),
+                [pa.array(s.view(np.int64)), pa.array(part), pa.array(sid[r].view(np.int64)),
                  pa.array(n[r].astype(np.int32)), pa.array(pos[use].astype(np.int32))], names=["s", "part", "sid", "n", "pos"])
 
     return docs.select("text").mapInArrow(run, "s long, part int, sid long, n int, pos int")
@@ -181,15 +201,29 @@ def _possible(n1, pos1, n2, pos2):
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * F.least(n1 - pos1, n2 - pos2) >= need)
 
 
+def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets may be similar enough by the counts of their hash ranges.
+
+    |x| + |y| - 2 * overlap is at least what the ranges differ by, and the overlap must be 3 (|x| + |y|) / 7.
+    """
+    for batch in batches:
+        nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (a, b) in enumerate(zip(batch.column("rx"), batch.column("ry"))):
+            a, b = (np.frombuffer(v.as_buffer(), "<u2").astype(np.int64) for v in (a, b))
+            size = min(len(a), len(b))
+            differ = np.abs(a.reshape(size, -1).sum(1) - b.reshape(size, -1).sum(1)).sum()
+            keep[i] = 7 * differ <= nx[i] + ny[i]
+        yield batch.select(["x", "y", "nx", "ny"]).filter(pa.array(keep))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, digests: DataFrame, name: str) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough."""
     ranges = digests.where("n > 0").groupBy("sid").agg(F.min(F.struct("n", "ranges")).alias("r"))
     a = ranges.select(F.col("sid").alias("x"), F.col("r.n").alias("nx"), F.col("r.ranges").alias("rx"))
     b = ranges.select(F.col("sid").alias("y"), F.col("r.n").alias("ny"), F.col("r.ranges").alias("ry"))
-    differ = F.expr("aggregate(zip_with(rx, ry, (p, q) -> abs(p - q)), 0, (s, v) -> s + v)")
-    # |x| + |y| - 2 * overlap is at least what the ranges differ by; the overlap must be 3 (|x| + |y|) / 7
-    left = stored(pairs.join(a, "x").join(b, "y").where(7 * differ <= F.col("nx") + F.col("ny"))
-                  .select("x", "y", "nx", "ny"), f"{name}-pairs")
+    joined = pairs.join(a, "x").join(b, "y").where((4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny")))
+    left = stored(joined.mapInArrow(_suffix_filter, "x long, y long, nx long, ny long"), f"{name}-pairs")
     wanted = left.select(F.col("x").alias("sid")).union(left.select("y")).distinct()
     sets = stored(_sets(docs, wanted), f"{name}-sets")
     sx = sets.select(F.col("sid").alias("x"), F.col("set").alias("set_x"))
@@ -212,7 +246,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.unpackbits(held.value).astype(bool)
         done: set[int] = set()  # equal sets of a task leave it once
-        for _, texts in chunks(batches):
+        for _, texts in chunks(batches, rows=_ROWS):
             rows, keys = text_shingles(Words(texts))
             n, sid, first = _set_ids(rows, keys, len(texts))
             use = []
@@ -234,7 +268,8 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     digests = _digests(docs)
     lists = stored(_lists(_postings(docs, _bucket_counts(digests))), "ngram-lists")
     possible = _possible(F.col("n"), F.col("pos"), F.col("cn"), F.col("cpos"))
-    star = lists.where((F.col("sid") != F.col("c")) & possible).select("sid", "c")
+    # each set with the least of the sets that begin its lists: as many pairs as sets
+    star = lists.where((F.col("sid") != F.col("c")) & possible).groupBy("sid").agg(F.min("c").alias("c"))
     heads = lists.where("cut").select("s", F.col("c").alias("sid"), F.col("cn").alias("n"), F.col("cpos").alias("pos")).distinct()
     first = heads.groupBy("s").agg(F.min(F.struct("sid", "n", "pos")).alias("h"))
     of_parts = heads.join(first, "s").where((F.col("sid") != F.col("h.sid")) & _possible(
