@@ -9,8 +9,9 @@ Links of different sets are found in two rounds, which together test each pair t
 
 1. every set is paired with the least of the sets that begin the lists of its prefix shingles, which links
    large groups of near copies with as many pairs as members;
-2. pairs within a list whose sets are still in different components, with the asymmetric prefixes of the
-   longer and the shorter set.
+   three more rounds pair each set with a random one of another component in one of its lists;
+2. all pairs within a list whose sets are still in different components, with the asymmetric prefixes of
+   the longer and the shorter set.
 
 Each pair passes the length filter, the positional filter (what can follow the shared shingle) and the
 suffix filter (the sets are cut at fixed hashes, the counts of the parts bound how much they can share), and is verified once, exactly.
@@ -33,6 +34,7 @@ SIZE = 5
 BUCKETS = 1 << 22  #: hash buckets whose counts order the shingles
 COUNT_BLOCK = 1 << 16
 RANGE_SHINGLES = 8  #: the suffix filter has a hash range for about so many shingles of a set
+ROUNDS = 3  #: rounds of one random pair a set, before all pairs
 LIST_ROWS = 8192  #: lists of hot shingles are cut into parts of about so many rows
 _ID = np.uint64((1 << 48) - 1)  #: shingles are known by 48 bits; texts of a chunk by 10, orders by 6
 _ROWS = 1024
@@ -217,15 +219,13 @@ def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["x", "y", "nx", "ny"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, digests: DataFrame, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, digests: DataFrame, name: str) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough."""
     ranges = digests.where("n > 0").groupBy("sid").agg(F.min(F.struct("n", "ranges")).alias("r"))
     a = ranges.select(F.col("sid").alias("x"), F.col("r.n").alias("nx"), F.col("r.ranges").alias("rx"))
     b = ranges.select(F.col("sid").alias("y"), F.col("r.n").alias("ny"), F.col("r.ranges").alias("ry"))
     joined = pairs.join(a, "x").join(b, "y").where((4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny")))
     left = stored(joined.mapInArrow(_suffix_filter, "x long, y long, nx long, ny long"), f"{name}-pairs")
-    wanted = left.select(F.col("x").alias("sid")).union(left.select("y")).distinct()
-    sets = stored(_sets(docs, wanted), f"{name}-sets")
     sx = sets.select(F.col("sid").alias("x"), F.col("set").alias("set_x"))
     sy = sets.select(F.col("sid").alias("y"), F.col("set").alias("set_y"))
     common = F.size(F.array_intersect("set_x", "set_y"))
@@ -275,23 +275,40 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_parts = heads.join(first, "s").where((F.col("sid") != F.col("h.sid")) & _possible(
         F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos"))).select("sid", F.col("h.sid"))
     ordered = lambda df, a, b: df.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
-    tried = stored(ordered(star.union(of_parts), "sid", "c"), "ngram-star")
-    links = stored(_verified(tried, docs, digests, "ngram-star"), "ngram-links")
-
-    group = components(links, "ngram-groups").select(F.col("node").alias("sid"), "component")
-    rows = lists.join(group, "sid", "left").withColumn("g", F.coalesce("component", "sid")).select("s", "sid", "n", "pos", "g")
-    mixed = rows.groupBy("s").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("s")
-    rows = stored(rows.join(mixed, "s"), "ngram-mixed")
-    groups = rows.select("s", "g").distinct()
-    meet = groups.join(groups.select("s", F.col("g").alias("g2")), "s").where("g < g2")
-    one = meet.join(rows, ["s", "g"])
-    two = rows.select("s", F.col("g").alias("g2"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    short = F.least("n", "n2")
-    short_pos = F.when(F.col("n") < F.col("n2"), F.col("pos")).when(F.col("n") > F.col("n2"), F.col("pos2")).otherwise(F.greatest("pos", "pos2"))
-    rest = one.join(two, ["s", "g2"]).where(
-        _possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")) & (short_pos < short - F.ceil(6 * short / 7) + 1))
+    sets = stored(_sets(docs, lists.select("sid").distinct()), "ngram-sets")
+    tried = stored(ordered(star.union(of_parts), "sid", "c"), "ngram-tried")
+    links = stored(_verified(tried, sets, digests, "ngram-star"), "ngram-links")
+
+    def mixed(name: str) -> DataFrame:
+        """The rows of lists that still have sets of different components, with the component (g)."""
+        group = components(links, "ngram-groups").select(F.col("node").alias("sid"), "component")
+        rows = lists.join(group, "sid", "left").withColumn("g", F.coalesce("component", "sid")).select("s", "sid", "n", "pos", "g")
+        some = rows.groupBy("s").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("s")
+        return stored(rows.join(some, "s"), name)
+
+    for turn in range(ROUNDS):
+        # each set with a set of another component, taken at random (by hash) from one of its lists
+        rows = mixed("ngram-mixed")
+        pick = F.xxhash64("sid", F.lit(turn))
+        other = rows.groupBy("s").agg(F.min(F.struct(pick.alias("h"), "sid", "n", "pos", "g")).alias("o"))
+        pairs = rows.join(other, "s").where((F.col("g") != F.col("o.g")) & _possible(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+        pairs = pairs.groupBy("sid").agg(F.min(F.struct("o.h", "o.sid")).alias("o")).select("sid", F.col("o.sid").alias("c"))
+        new = stored(ordered(pairs, "sid", "c").join(tried, ["x", "y"], "left_anti"), "ngram-new")
+        tried = tried.union(new)
+        links = links.union(stored(_verified(new, sets, digests, "ngram-turn"), "ngram-links"))
+    rows = mixed("ngram-rest")
+    # groups of a list meet only if their lengths and the places of the shingle allow any pair
+    groups = rows.groupBy("s", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    others = groups.select("s", *(F.col(c).alias(f"{c}2") for c in ("g", "lo", "hi", "rest")))
+    meet = groups.join(others, "s").where(
+        "g <> g2 and 4 * hi >= 3 * lo2 and 4 * hi2 >= 3 * lo and 7 * least(rest, rest2) >= 3 * (lo + lo2)").select("s", "g", "g2")
+    # the shorter set with its short prefix, the longer one with its long prefix
+    short = rows.where("pos < n - ceil(6 * n / 7) + 1")
+    long = rows.select("s", F.col("g").alias("g2"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    rest = meet.join(short, ["s", "g"]).join(long, ["s", "g2"]).where(
+        (F.col("n") <= F.col("n2")) & _possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
     new = ordered(rest, "sid", "sid2").join(tried, ["x", "y"], "left_anti")
-    more = stored(_verified(new, docs, digests, "ngram-rest"), "ngram-links")
+    more = stored(_verified(new, sets, digests, "ngram-rest"), "ngram-links")
     return digests.where("block is null").select("doc_id", "n", "sid"), components(links.union(more), "ngram-groups")
 
 
