@@ -15,6 +15,7 @@ give other pieces than SentencePiece itself.  Texts never leave their partition:
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from .common import chunks, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of SentencePiece: an unknown character scores the least piece's less this
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000  #: words of a generation; two are held
 LONGEST_CACHED = 64
 
 
@@ -42,7 +43,6 @@ class Codec:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], unknown: int, kind: str = "bpe"):
         self.pieces, self.byte_ids, self.unknown, self.kind = pieces, byte_ids, unknown, kind
-        self.longest = max((len(p) for p in pieces), default=1)
         self.text = {i: p for p, (i, _) in pieces.items()}
         self.least = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.bytes = {i: p.replace(MARK, " ").encode() for i, p in self.text.items()} | {
@@ -51,8 +51,17 @@ class Codec:
         assert not any(MARK in p.lstrip(MARK) for p in pieces), "a piece has a mark inside"
         self.word = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if split_lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.apart: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # pieces by their characters from the last to the first, so that the pieces that end a prefix are
+        # found without trying all lengths; those that merging never makes are left out
+        self.endings: dict = {}
+        for p in pieces:
+            if len(p) > 1 and (kind != "bpe" or self.merged(p) == [p]):
+                node = self.endings
+                for c in reversed(p):
+                    node = node.setdefault(c, {})
+                node[""] = p
 
     @classmethod
     def load(cls, model_file: str, kind: str = "bpe") -> Codec:
@@ -84,25 +93,24 @@ class Codec:
             out = self.apart[a, b] = self.merged(a + b) == [a, b]
         return out
 
-    def _is_whole(self, a: str) -> bool:
-        out = self.whole.get(a)
-        if out is None:
-            out = self.whole[a] = self.merged(a) == [a]
-        return out
-
     def _entry(self, word: str, i: int, table: list) -> tuple[float, str]:
         """(score, last piece) of the prefix of i characters, from the entries of shorter prefixes."""
+        ends, node = [], self.endings
+        for k in range(i - 1, -1, -1):
+            node = node.get(word[k])
+            if node is None:
+                break
+            if "" in node:
+                ends.append(node[""])
         if self.kind == "bpe":
-            for n in range(min(i, self.longest), 1, -1):
-                piece = word[i - n : i]
-                if piece in self.pieces and self._is_whole(piece) and (
-                        i == n or self._stay_apart(table[i - n][1], piece)):
+            for piece in reversed(ends):
+                n = len(piece)
+                if i == n or self._stay_apart(table[i - n][1], piece):
                     return 0.0, piece
             return 0.0, word[i - 1]
         best = (table[i - 1][0] + self.pieces.get(word[i - 1], (0, self.least))[1], word[i - 1])
-        for n in range(2, min(i, self.longest) + 1):
-            piece = word[i - n : i]
-            if piece in self.pieces and (score := table[i - n][0] + self.pieces[piece][1]) > best[0]:
+        for piece in ends:
+            if (score := table[i - len(piece)][0] + self.pieces[piece][1]) > best[0]:
                 best = (score, piece)
         return best
 
@@ -126,7 +134,7 @@ class Codec:
             yield word, out[::-1]
             before = word
 
-    def _ids(self, pieces: list[str]) -> np.ndarray:
+    def _ids(self, pieces: list[str]) -> bytes:
         out: list[int] = []
         for p in pieces:
             if p in self.pieces:
@@ -135,18 +143,22 @@ class Codec:
                 out += [self.byte_ids[b] for b in p.encode()]
             else:
                 out.append(self.unknown)
-        return np.array(out, np.int32)
+        return array("i", out).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.cache) > CACHED_WORDS:
-            self.cache = {}
-        ids = self.cache
-        for word, pieces in self.segment(set().union(*split) - ids.keys()):
+            self.cache, self.older = {}, self.cache
+        ids, older = self.cache, self.older
+        new = set().union(*split) - ids.keys()
+        known = new & older.keys()
+        ids.update((w, older[w]) for w in known)
+        for word, pieces in self.segment(new - known):
             ids[word] = self._ids(pieces)
-        out = [np.concatenate([ids[w] for w in words]) if words else np.zeros(0, np.int32) for words in split]
-        for word in {w for words in split for w in words if len(w) > LONGEST_CACHED}:
-            del ids[word]
+        out = [np.frombuffer(b"".join([ids[w] for w in words]), np.int32) for words in split]
+        for word in new:
+            if len(word) > LONGEST_CACHED:
+                del ids[word]
         return out
 
     def decode(self, ids: list[int]) -> str:
