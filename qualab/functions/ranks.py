@@ -32,14 +32,14 @@ def _magnitude(x: Column) -> Column:
     return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * octave.cast("int"))
 
 
-def _even(x: Column, lo: Column, hi: Column) -> Column:
+def _even(x: Column, lo: Column, hi: Column, slices: int) -> Column:
     """A non-decreasing integer function of ``x`` within one group."""
     share = F.nanvl((x - lo) / (hi - lo), F.lit(0.0))
-    return F.when(hi > lo, F.floor(F.least(share, F.lit(1.0)) * EVEN)).otherwise(F.lit(0)).cast("int")
+    return F.when(hi > lo, F.floor(F.least(share, F.lit(1.0)) * slices)).otherwise(F.lit(0)).cast("int")
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], by: Column, weights: Sequence[str],
-                   then: Sequence[Column] = ()) -> DataFrame:
+                   then: Sequence[Column] = (), slices: int = EVEN) -> DataFrame:
     """Add ``cum_<w>`` (inclusive running sum within ``keys``) and ``tot_<w>``.
 
     The order is by the number ``by``, ascending, then by the columns ``then``.  Rows should be
@@ -52,7 +52,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], by: Column, weights: Sequ
     cond = [tagged[k].eqNullSafe(ends[f"_e_{k}"]) for k in keys] or F.lit(True)
     x = F.col("_x")
     part = tagged.join(ends, cond, "inner").select(
-        *[tagged[c] for c in tagged.columns], _magnitude(x).alias("_s1"), _even(x, F.col("_lo"), F.col("_hi")).alias("_s2"))
+        *[tagged[c] for c in tagged.columns], _magnitude(x).alias("_s1"), _even(x, F.col("_lo"), F.col("_hi"), slices).alias("_s2"))
     slice_keys = [*keys, "_s1", "_s2"]
     w_local = Window.partitionBy(*slice_keys).orderBy(x.asc(), *then) \
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -80,19 +80,20 @@ def value_counts(long_df: DataFrame, keys: Sequence[str], value: str) -> DataFra
             .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("w")))
 
 
-def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    slices: int = EVEN) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile`` / SQL ``quantile_cont``).
 
     Returns one row per (keys, p): keys..., ``p``, ``q``, ``n`` (non-null count).
     """
-    return exact_quantiles_from_counts(value_counts(long_df, keys, value), keys, value, probs)
+    return exact_quantiles_from_counts(value_counts(long_df, keys, value), keys, value, probs, slices)
 
 
 def exact_quantiles_from_counts(counts: DataFrame, keys: Sequence[str], value: str,
-                                probs: Sequence[float]) -> DataFrame:
+                                probs: Sequence[float], slices: int = EVEN) -> DataFrame:
     """As :func:`exact_quantiles` over a pre-aggregated (keys, value, w) table."""
     keys = list(keys)
-    ranked = running_totals(counts, keys, F.col(value), ["w"])
+    ranked = running_totals(counts, keys, F.col(value), ["w"], slices=slices)
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     pos = F.col("p") * (F.col("tot_w") - 1)
     first_rank = F.col("cum_w") - F.col("w")          # 0-based rank of the first copy

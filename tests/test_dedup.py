@@ -36,7 +36,7 @@ def test_merge_first_non_null(spark):
     assert out[(1, "x")]["v"] == 10.0 and out[(1, "x")]["o"] == 3
     assert out[(None, "z")]["v"] == 1.0                # NULL keys are a group (drop_null_keys=False)
     assert (None, "z") not in {(r["k"], r["g"]) for r in
-                               D.merge_duplicates(df, ["k", "g"], drop_null_keys=True).collect()}
+                               D.merge_duplicates(df, ["k", "g"], order_by=["o"], drop_null_keys=True).collect()}
 
 
 def test_merge_median_mode(spark):

@@ -14,7 +14,7 @@ def test_running_totals_match_cumsum(spark):
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 500), "v": rng.permutation(500).astype(float),
                         "w": rng.integers(1, 5, 500)})
     df = spark.createDataFrame(pdf)
-    out = running_totals(df, ["g"], [F.col("v").asc()], ["w"], num_partitions=7).toPandas()
+    out = running_totals(df, ["g"], F.col("v"), ["w"], slices=7).toPandas()
     exp = pdf.sort_values(["g", "v"]).assign(cum=lambda d: d.groupby("g")["w"].cumsum())
     got = out.sort_values(["g", "v"])
     assert list(got["cum_w"]) == list(exp["cum"])
@@ -23,7 +23,7 @@ def test_running_totals_match_cumsum(spark):
 
 def test_running_totals_null_group(spark):
     df = spark.createDataFrame([(None, 1.0, 1), (None, 2.0, 2), ("a", 1.0, 5)], "g string, v double, w long")
-    out = {(r["g"], r["v"]): r["cum_w"] for r in running_totals(df, ["g"], [F.col("v")], ["w"], 3).collect()}
+    out = {(r["g"], r["v"]): r["cum_w"] for r in running_totals(df, ["g"], F.col("v"), ["w"], slices=3).collect()}
     assert out == {(None, 1.0): 1, (None, 2.0): 3, ("a", 1.0): 5}
 
 
