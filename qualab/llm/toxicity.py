@@ -21,10 +21,10 @@ from .common import PUNCTUATION, Words, chunks, mix, remainder, signed, table
 
 PAIRS = (1, 2, 3)  #: distance of the two words: a bigram, and skip-grams over one and two words
 MAX_TRAIN_ROWS = 48_000  #: bound of the labelled sample
-SHARD_ROWS = 8_000
+SHARD_ROWS = 5_000
 BLOCK = 200  #: texts a shard hashes at a time
 MAX_WEIGHTS = 1 << 17  #: bound of the broadcast model; the largest weights stay
-MIN_ROWS = 3  #: a feature enters a shard's model when so many of its rows have it
+MIN_ROWS = 5  #: a feature enters a shard's model when so many of its rows have it
 ALPHA, BETA, L1, L2, PASSES = 3.0, 1.0, 5.0, 0.0, 8
 THRESHOLD = 0.7
 
@@ -50,7 +50,7 @@ def fit_shard(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.nd
     seen = np.zeros(1 << 23, np.uint32)
     for k in range(0, len(texts), BLOCK):
         np.add.at(seen, block(k)[1] >> np.uint64(41), 1)
-    rows, keys = [], []
+    rows, keys, known = [], [], np.zeros(0, np.uint64)
     for k in range(0, len(texts), BLOCK):
         t, h = block(k)
         often = seen[h >> np.uint64(41)] >= MIN_ROWS
@@ -59,14 +59,16 @@ def fit_shard(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.nd
         t, h = t[order], h[order]
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
-        rows.append(t[new])
+        rows.append(t[new].astype(np.int32))
         keys.append(h[new])
-    rows, keys = np.concatenate(rows), np.concatenate(keys)
-    known, index, count = np.unique(keys, return_inverse=True, return_counts=True)
-    often = count >= MIN_ROWS
-    place = np.cumsum(often) - 1
+        known = np.union1d(known, keys[-1])
+    # places instead of hashes, a block at a time: four bytes for each feature of each text
+    places = [np.searchsorted(known, h).astype(np.int32) for h in keys]
+    del keys
+    index, rows = np.concatenate(places), np.concatenate(rows)
+    often = np.bincount(index, minlength=len(known)) >= MIN_ROWS
     use = often[index]
-    rows, index, known = rows[use], place[index[use]], known[often]
+    rows, index, known = rows[use], (np.cumsum(often) - 1).astype(np.int32)[index[use]], known[often]
     bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
 
     z, n = np.zeros(len(known)), np.zeros(len(known))
