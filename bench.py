@@ -72,9 +72,6 @@ def headline(spark, sf):
         "e15_residual_diagnosis": lambda: M.residual_diagnosis(table(spark, sf, "pred_reg")),
         "m9_fit_linear_regression": lambda: fit(spark, sf, "LinearRegression"),
         "m17_knn_regression": lambda: fit(spark, sf, "KNeighbors"),
-        "c11_cross_validation": lambda: C.analyze_model(
-            model_data(spark, sf), lambda: MO.make_estimator("LinearRegression", "regresion", 1), "regresion", "bench",
-            "LinearRegression", sizes=[0.5, 1.0])["summary"],
         "x1_permutation_shap": lambda: shap(spark, sf),
         "c2_cv_summary": lambda: C.cv_summary(RF.fold_scores(spark, sf)),
     }
