@@ -91,6 +91,33 @@ def test_op7_finds_passages(spark, docs, none):
     passages.repeated_passages(docs).collect()
 
 
+def plain_passage(x, y, least):
+    """Whether shingle lists x and y have intervals of ``least`` or more with a multiset Jaccard of 0.75."""
+    for i in range(len(x) - least + 1):
+        for j in range(len(y) - least + 1):
+            for n in range(least, len(x) - i + 1):
+                for m in {n - 1, n, n + 1, n + 2}:
+                    if least <= m <= len(y) - j:
+                        common = sum((collections.Counter(x[i : i + n]) & collections.Counter(y[j : j + m])).values())
+                        if common >= 0.75 * (n + m - common):
+                            return True
+    return False
+
+
+def test_op7_finds_passages_with_words_put_in_or_left_out(spark):
+    shared = prose(910, 64).split()
+    near = [shared[:32] + ["in"] + shared[32:], shared[:30] + shared[31:], shared[:20] + ["in"] + shared[20:42] + shared[43:],
+            shared[:14] + ["in"] + shared[14:28] + ["in"] + shared[28:42] + ["in"] + shared[42:]]
+    rows = [(0, " ".join(shared))] + [(k + 1, " ".join([*prose(920 + k, 30).split(), *x, *prose(930 + k, 30).split()])) for k, x in enumerate(near)]
+    runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {k + 1 for k, x in enumerate(near) if plain_passage(runs(shared), runs(x), 46)}
+    assert {1, 2} <= want
+    for k in sorted(want):  # each with the first text alone, so that none is found by another
+        (got,) = passages.repeated_passages(spark.createDataFrame([rows[0], rows[k]], "doc_id long, text string")).collect()
+        assert (got.doc_id, got.source_doc_id, got.start, got.end, got.source_start) == (k, 0, 30, 30 + len(near[k - 1]), 0)
+        assert got.jaccard >= 0.75
+
+
 def test_op7_windows_are_those_of_the_definition():
     r = np.random.default_rng(3)
     values = r.integers(0, 1 << 62, 300, dtype=np.uint64)
