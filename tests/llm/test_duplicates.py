@@ -118,6 +118,19 @@ def test_op7_finds_passages_with_words_put_in_or_left_out(spark):
         assert got.jaccard >= 0.75
 
 
+@pytest.mark.parametrize("limit", [4_000_000, 1])
+def test_op7_finds_every_copy_under_any_partitioning(spark, monkeypatch, limit):
+    chunks = passages.chunks
+    monkeypatch.setattr(passages, "chunks", lambda batches: chunks(batches, limit=limit))  # 1: each text is a chunk
+    shared = prose(940, 60).strip()
+    twice = " ".join([prose(941, 30), shared, prose(942, 40), shared, prose(943, 30)])
+    rows = [(1, prose(944, 50) + " " + shared), (2, twice), (3, shared + " " + prose(945, 20) + " " + shared)]
+    for parts in ([rows], [rows[:1], rows[1:]], [[r] for r in rows], [rows[1:], rows[:1]]):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda x: x), "doc_id long, text string")
+        got = {(r.doc_id, r.start, r.end) for r in passages.repeated_passages(df).collect()}
+        assert got == {(2, 30, 90), (2, 130, 190), (3, 0, 60), (3, 80, 140)}
+
+
 def test_op7_windows_are_those_of_the_definition():
     r = np.random.default_rng(3)
     values = r.integers(0, 1 << 62, 300, dtype=np.uint64)
