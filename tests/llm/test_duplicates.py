@@ -131,6 +131,23 @@ def test_op7_finds_every_copy_under_any_partitioning(spark, monkeypatch, limit):
         assert got == {(2, 30, 90), (2, 130, 190), (3, 0, 60), (3, 80, 140)}
 
 
+@pytest.mark.parametrize("where", [[5], [12], [25], [37], [24, 25], [1, 48]])
+def test_op7_keys_meet_at_the_least_length_and_similarity(where):
+    n, r, texts = 400, np.random.default_rng(5), []
+    words = lambda k: [f"w{x}" for x in r.integers(0, 100_000, k)]
+    for _ in range(n):
+        near = list(shared := words(50))
+        for i in where:
+            near[i] = f"edit{r.integers(0, 1 << 40)}"
+        texts += [" ".join(words(30) + x + words(30)).encode() for x in (shared, near)]
+    key, doc, c, left, right = passages._window_rows(texts, np.arange(2 * n), 50, passages.FUNCTIONS)
+    met = set()
+    for i in np.flatnonzero((key[1:] == key[:-1]) & (doc[1:] == doc[:-1] + 1) & (doc[1:] % 2 == 1)):
+        if min(c[i] - left[i], c[i + 1] - left[i + 1]) + min(right[i] - c[i], right[i + 1] - c[i + 1]) + 1 >= 46:
+            met.add(doc[i])
+    assert len(met) >= 0.99 * n
+
+
 def test_op7_windows_are_those_of_the_definition():
     r = np.random.default_rng(3)
     values = r.integers(0, 1 << 62, 300, dtype=np.uint64)
