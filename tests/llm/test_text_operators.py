@@ -125,6 +125,19 @@ def test_op2_edges(docs, none, labels):
     assert all(r.kept for r in kneser_ney.quality_classifier(docs, labels.limit(0)).collect())
 
 
+def test_op2_bounds_are_arguments_and_dealt_to_languages(spark, monkeypatch):
+    assert (kneser_ney.TRAIN_DOCS, kneser_ney.TRAIN_TOKENS) == (6_000, 4_000_000)
+    rows = [(i, ("en" if i < 1000 else "de") + " word" * 20, "en" if i < 1000 else "de") for i in range(1020)]
+    df, used, fit = spark.createDataFrame(rows, "doc_id long, text string, lang string"), [], kneser_ney.fit
+    marks = spark.createDataFrame([(i, 1) for i in range(1020)], "doc_id long, quality int")
+    monkeypatch.setattr(kneser_ney, "fit", lambda t: used.append([r.text[:2] for r in t.collect()]) or fit(t))
+    for docs, tokens in ((60, 1 << 30), (1 << 30, 1_000), (1 << 30, 1 << 30)):
+        kneser_ney.quality_classifier(df, marks, train_docs=docs, train_tokens=tokens)
+    for langs in used:
+        assert langs.count("de") >= 8  # of 14 that LEARN leaves
+    assert len(used[0]) <= 60 and len(used[1]) <= 80 and len(used[2]) >= 600
+
+
 def test_op3_pieces_are_whole_and_fit(docs, none):
     from tokenizers import Tokenizer
 
