@@ -3,11 +3,13 @@
 Spark has no distributed prefix sum: a window without ``partitionBy`` puts every row in one
 task.  The helpers here use a two-phase scheme instead:
 
-1. each row gets a slice number, a monotone function of its order value alone (its magnitude,
-   then its place between the group's least and greatest value), so that any evaluation of
-   the plan cuts a group in the same places;
+1. each group is cut into slices at split points taken from its own values.  The points come
+   from a sketch that any evaluation of the plan fills alike: values fall into slots by hash,
+   each slot keeps the value of the least hash (an aggregate, combined map-side), and every
+   n-th of the kept values, sorted, is a split point.  Slices hold about equally many rows
+   whatever the distribution (outliers, clusters far from zero, several magnitudes);
 2. a window within (group, slice) computes the local running total; slice totals are an
-   aggregate on the same keys;
+   aggregate on the same keys, without a further exchange;
 3. the small table of slice totals gives each slice its offset.
 
 The work per task is bounded by the slice size, so one huge group is spread over all tasks.
@@ -18,60 +20,66 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-PER_OCTAVE = 16    # slices between a magnitude and its double
-EVEN = 1024        # even slices between a group's least and greatest value
+LEAST_SLICES = 64      # slices of a group, at least; else two per shuffle partition
+MOST_SLICES = 1 << 14
+SLOTS_PER_SLICE = 32   # sketch size: the largest slice stays below twice the mean
 
 
-def _magnitude(x: Column) -> Column:
-    """A non-decreasing integer function of ``x``: sign and logarithm of the absolute value."""
-    octave = F.floor(F.least(F.greatest(F.log2(F.abs(x)), F.lit(-1080.0)), F.lit(1080.0)) * PER_OCTAVE) + 20_000
-    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * octave.cast("int"))
+def default_slices(spark: SparkSession) -> int:
+    """Two slices per shuffle partition, between fixed bounds."""
+    return min(MOST_SLICES, max(LEAST_SLICES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _even(x: Column, lo: Column, hi: Column, slices: int) -> Column:
-    """A non-decreasing integer function of ``x`` within one group."""
-    share = F.nanvl((x - lo) / (hi - lo), F.lit(0.0))
-    return F.when(hi > lo, F.floor(F.least(share, F.lit(1.0)) * slices)).otherwise(F.lit(0)).cast("int")
+def split_points(df: DataFrame, group: str, x: str, slices: int) -> DataFrame:
+    """(group, points): at most ``slices - 1`` ascending values of ``x`` that cut each group into even parts.
+
+    A function of the set of values alone: neither partitioning nor the order of merging matters."""
+    slots = slices * SLOTS_PER_SLICE
+    seen = df.where(F.col(x).isNotNull())
+    kept = seen.groupBy(group, F.pmod(F.xxhash64(x), F.lit(slots)).alias("_slot")).agg(
+        F.min(F.struct(F.xxhash64(F.lit(slots), F.col(x)).alias("h"), F.col(x).alias("x"))).alias("_kept"))
+    some = kept.groupBy(group).agg(F.sort_array(F.collect_list("_kept.x")).alias("_all"))
+    nth = F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: F.get("_all", F.floor(i * F.size("_all") / slices).cast("int")))
+    return some.select(group, F.array_distinct(nth).alias("points"))
+
+
+def slice_of(points: Column, x: Column, slices: int) -> Column:
+    """How many of the ascending ``points`` are at most ``x``: binary search, 0 for a NULL."""
+    steps = F.array(*[F.lit(1 << k) for k in range((slices - 1).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) <= x, at + step).otherwise(at))
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], by: Column, weights: Sequence[str],
-                   then: Sequence[Column] = (), slices: int = EVEN) -> DataFrame:
+                   then: Sequence[Column] = (), slices: int | None = None) -> DataFrame:
     """Add ``cum_<w>`` (inclusive running sum within ``keys``) and ``tot_<w>``.
 
     The order is by the number ``by``, ascending, then by the columns ``then``.  Rows should be
-    unique in this order; what ties get is arbitrary but consistent.
+    unique in this order; what ties get is arbitrary but consistent.  NULL keys are groups.
     """
-    keys = list(keys)
-    tagged = df.withColumn("_x", by.cast("double"))
-    ends = tagged.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    ends = ends.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "_lo", "_hi")
-    cond = [tagged[k].eqNullSafe(ends[f"_e_{k}"]) for k in keys] or F.lit(True)
-    x = F.col("_x")
-    part = tagged.join(ends, cond, "inner").select(
-        *[tagged[c] for c in tagged.columns], _magnitude(x).alias("_s1"), _even(x, F.col("_lo"), F.col("_hi"), slices).alias("_s2"))
-    slice_keys = [*keys, "_s1", "_s2"]
-    w_local = Window.partitionBy(*slice_keys).orderBy(x.asc(), *then) \
-                    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = part.select("*", *[F.sum(w).over(w_local).alias(f"_loc_{w}") for w in weights])
-    blocks = part.groupBy(*slice_keys).agg(*[F.sum(w).alias(f"_blk_{w}") for w in weights])
-    w_all = Window.partitionBy(*keys)
-    w_prev = w_all.orderBy("_s1", "_s2").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        *[F.col(k).alias(f"_o_{k}") for k in slice_keys],
-        *[F.coalesce(F.sum(f"_blk_{w}").over(w_prev), F.lit(0)).alias(f"_off_{w}") for w in weights],
-        *[F.sum(f"_blk_{w}").over(w_all).alias(f"tot_{w}") for w in weights],
-    )
-    # NULL group keys are groups too: join null-safely
-    out = local.join(offsets, [local[k].eqNullSafe(offsets[f"_o_{k}"]) for k in slice_keys], "inner")
-    return out.select(
-        *[local[c] for c in df.columns],
+    slices = slices or default_slices(df.sparkSession)
+    # one struct as group: NULL fields compare as equal, so windows and joins share one partitioning
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    tagged = df.withColumn("_x", by.cast("double") + F.lit(0.0)).withColumn("_g", group)
+    points = split_points(tagged.select("_g", "_x"), "_g", "_x", slices)
+    part = tagged.join(points if keys else F.broadcast(points), "_g", "left") \
+                 .withColumn("_s", slice_of(F.col("points"), F.col("_x"), slices)).drop("points")
+    within = Window.partitionBy("_g", "_s").orderBy(F.col("_x").asc(), *then)
+    local = part.select("*", *[F.sum(w).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"_loc_{w}")
+                               for w in weights])
+    of_group = Window.partitionBy("_g")
+    before = of_group.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.groupBy("_g", "_s").agg(*[F.sum(w).alias(f"_blk_{w}") for w in weights]).select(
+        "_g", "_s",
+        *[F.coalesce(F.sum(f"_blk_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
+        *[F.sum(f"_blk_{w}").over(of_group).alias(f"tot_{w}") for w in weights])
+    return local.join(offsets, ["_g", "_s"]).select(
+        *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_off_{w}") + F.col(f"_loc_{w}")).alias(f"cum_{w}") for w in weights],
-        *[F.col(f"tot_{w}") for w in weights],
-    )
+        *[F.col(f"tot_{w}") for w in weights])
 
 
 def value_counts(long_df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -81,7 +89,7 @@ def value_counts(long_df: DataFrame, keys: Sequence[str], value: str) -> DataFra
 
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    slices: int = EVEN) -> DataFrame:
+                    slices: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile`` / SQL ``quantile_cont``).
 
     Returns one row per (keys, p): keys..., ``p``, ``q``, ``n`` (non-null count).
@@ -90,7 +98,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs:
 
 
 def exact_quantiles_from_counts(counts: DataFrame, keys: Sequence[str], value: str,
-                                probs: Sequence[float], slices: int = EVEN) -> DataFrame:
+                                probs: Sequence[float], slices: int | None = None) -> DataFrame:
     """As :func:`exact_quantiles` over a pre-aggregated (keys, value, w) table."""
     keys = list(keys)
     ranked = running_totals(counts, keys, F.col(value), ["w"], slices=slices)
@@ -100,11 +108,12 @@ def exact_quantiles_from_counts(counts: DataFrame, keys: Sequence[str], value: s
     last_rank = F.col("cum_w") - 1
     lo = F.floor(pos)
     hi = F.ceil(pos)
-    rows = (ranked.select(*keys, value, "w", "cum_w", "tot_w", F.explode(probs_arr).alias("p"))
+    # only the rows around a wanted rank leave the scan of the ranks
+    near = F.filter(probs_arr, lambda p: (F.ceil(p * (F.col("tot_w") - 1)) >= first_rank) & (F.floor(p * (F.col("tot_w") - 1)) <= last_rank))
+    rows = (ranked.select(*keys, value, "w", "cum_w", "tot_w", F.explode(near).alias("p"))
             .select(*keys, value, "p", "tot_w", pos.alias("pos"),
                     ((lo >= first_rank) & (lo <= last_rank)).alias("has_lo"),
-                    ((hi >= first_rank) & (hi <= last_rank)).alias("has_hi"))
-            .where(F.col("has_lo") | F.col("has_hi")))
+                    ((hi >= first_rank) & (hi <= last_rank)).alias("has_hi")))
     agg = rows.groupBy(*keys, "p").agg(
         F.min(F.when(F.col("has_lo"), F.col(value))).alias("v_lo"),
         F.min(F.when(F.col("has_hi"), F.col(value))).alias("v_hi"),
