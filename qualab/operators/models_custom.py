@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -47,101 +48,235 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 
 
 # =========================================================================== k-NN
+MAX_PIVOTS = 1024
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """An array<double> column without nulls as rows x dimensions."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _squared(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and a bound of each row's rounding error."""
+    xn, qn = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    return qn[:, None] - 2.0 * q @ x.T + xn[None, :], (1e-12 * (qn + xn.max()) + 1e-300)[:, None]
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, order: np.ndarray, k: int, at_most: np.ndarray | None = None):
+    """(query, row, distance) of each query's k nearest rows of ``x`` by distance, then by ``order``;
+    only those within ``at_most`` where it is given."""
+    near, slack = _squared(q, x)
+    limit = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + 2 * slack[:, 0]
+    if at_most is not None:
+        limit = np.minimum(limit, at_most ** 2 * (1 + 1e-12) + 2 * slack[:, 0])
+    # every row that rounding may have put on the wrong side of the k-th is measured by differences
+    i, j = np.nonzero(near <= limit[:, None])
+    step = max(1, (1 << 22) // q.shape[1]) if q.shape[1] else len(i) or 1
+    d = np.concatenate([np.sqrt(((x[j[a : a + step]] - q[i[a : a + step]]) ** 2).sum(axis=1)) for a in range(0, len(i), step)] or [np.zeros(0)])
+    best = np.lexsort((order[j], d, i))
+    i, j, d = i[best], j[best], d[best]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], d[keep]
+
+
 class KNeighbors:
     """Exact k nearest neighbours (Euclidean; equal distances by row key).  Classification votes
-    (ties: smallest class), regression averages.  The training set is the model."""
+    (ties: smallest class), regression averages.  The training set is the model.
+
+    ``fit`` takes up to ``MAX_PIVOTS`` training vectors (about the root of their number, those of the
+    least hash) as pivots and measures the cells around them: rows, least and greatest distance."""
 
     def __init__(self, k: int = 5, problem_type: str = "clasificacion", block_rows: int = 4096):
         self.k, self.problem_type, self.block_rows = k, problem_type, block_rows
 
     def fit(self, train: DataFrame) -> "KNeighborsModel":
-        return KNeighborsModel(train.select("row_key", "features", "label"), self.k, self.problem_type,
-                               self.block_rows)
-
-
-def _nearest(q: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the rows of its k nearest, by exact distance, then by key."""
-    xn, qn = (x * x).sum(axis=1), (q * q).sum(axis=1)
-    near = qn[:, None] - 2.0 * q @ x.T + xn[None, :]
-    kth = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-    # every row that rounding may have put on the wrong side of the k-th is measured exactly
-    slack = 1e-9 * (qn + xn.max()) + 1e-12
-    out = []
-    for i, row in enumerate(near <= (kth + slack)[:, None]):
-        cand = np.flatnonzero(row)
-        d = ((x[cand] - q[i]) ** 2).sum(axis=1)
-        out.append(cand[np.lexsort((keys[cand], d))[:k]])
-    return out
+        rows = train.select("row_key", "features", "label")
+        x = rows.select(vector_to_array("features").alias("x"))
+        count = rows.count()
+        pivots = min(MAX_PIVOTS, max(1, round(count ** 0.5)))
+        chosen = x.distinct().orderBy(F.xxhash64("x"), "x").limit(pivots).toArrow()["x"]
+        model = KNeighborsModel(rows, self.k, self.problem_type, self.block_rows,
+                                _matrix(chosen) if len(chosen) else np.zeros((0, 0)))
+        return model.measure()
 
 
 class KNeighborsModel:
-    """Scoring compares blocks with blocks: training and test rows are hash-split into blocks of
-    about ``block_rows`` rows, each pair of blocks is one group of a cogroup, and the k best of
-    each block are merged by an aggregate.  Nothing passes through the driver, no group is larger
-    than two blocks and no training × test row is made.  (Exact search has to compare all rows:
-    the work is the product of both sizes, spread over the pairs of blocks.)"""
-
-    def __init__(self, train: DataFrame, k: int, problem_type: str, block_rows: int):
+    """Scoring sends each query first to the cell of its nearest pivot, whose k best give a radius,
+    then to those cells alone that can hold a row within it: by the triangle inequality with the
+    cell's least and greatest distance, and by the plane halfway between the two pivots.  A training
+    row is in one cell.  Large cells are cut into blocks of ``block_rows`` rows, and many queries of
+    a cell into blocks of as many, so that no group is larger than two blocks and no training x test
+    row is made; nothing but the pivots passes through the driver."""
+
+    def __init__(self, train: DataFrame, k: int, problem_type: str, block_rows: int, pivots: np.ndarray,
+                 cells: np.ndarray | None = None):
         self.train, self.k, self.problem_type, self.block_rows = train, k, problem_type, block_rows
+        self.pivots, self.cells = pivots, cells      # cells: rows, least, greatest distance of each pivot
+
+    # ---------------------------------------------------------------- cells
+    def _with_cell(self, rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` with the nearest pivot (``cell``) of the array column and the distance ``r`` to it."""
+        held = rows.sparkSession.sparkContext.broadcast(self.pivots)
+        names = rows.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots, order = held.value, np.arange(len(held.value))
+            for batch in batches:
+                x = _matrix(batch.column(column))
+                found = [_nearest(x[a : a + 1024], pivots, order, 1) for a in range(0, len(x), 1024)]
+                cell = np.concatenate([j for _, j, _ in found] or [np.zeros(0, int)]).astype(np.int32)
+                r = np.concatenate([d for *_, d in found] or [np.zeros(0)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(r)], names=[*names, "cell", "r"])
+
+        return rows.mapInArrow(run, rows.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("r")).schema)
+
+    def _train_cells(self) -> DataFrame:
+        return self._with_cell(self.train.select(
+            "row_key", vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y")), "x")
+
+    def measure(self) -> "KNeighborsModel":
+        self.cells = np.zeros((len(self.pivots), 3))
+        if len(self.pivots):
+            rows = self._train_cells().groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+            for r in rows.collect():                 # one row per pivot
+                self.cells[r["cell"]] = r["n"], r["lo"], r["hi"]
+        return self
+
+    def _queries(self, df: DataFrame) -> DataFrame:
+        """Distinct test rows: 128 hashed bits of key and features (so rows that share a key keep their own
+        neighbours), and the features."""
+        q = df.select(*self._query_id(df), vector_to_array("features").alias("qx"))
+        return q.dropDuplicates(["q1", "q2"])
 
-    def candidates(self, df: DataFrame) -> DataFrame:
-        """(q_key, qx, nb_key, dist, nb_label): the k nearest of every block.  Test rows are told
-        apart by key and features, so rows that share a key keep their own neighbours."""
-        k = self.k
-        train = self.train.select("row_key", vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
-        test = df.select(F.col("row_key").alias("q_key"), vector_to_array("features").alias("qx")).distinct()
-        nt, nq = (max(1, math.ceil(t.count() / self.block_rows)) for t in (train, test))
-        others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        tb = train.withColumn("_t", F.pmod(F.xxhash64("row_key", "x"), F.lit(nt)).cast("int")).withColumn("_q", others(nq))
-        qb = test.withColumn("_q", F.pmod(F.xxhash64("q_key", "qx"), F.lit(nq)).cast("int")).withColumn("_t", others(nt))
-
-        def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            rows = {"q_key": [], "qx": [], "nb_key": [], "dist": [], "nb_label": []}
-            if len(left) and len(right):
-                x, q = np.stack(right["x"].to_numpy()).astype(float), np.stack(left["qx"].to_numpy()).astype(float)
-                keys, y = right["row_key"].to_numpy(), right["y"].to_numpy(dtype=float)
-                for at in range(0, len(q), 512):
-                    for i, best in enumerate(_nearest(q[at : at + 512], x, keys, k), at):
-                        rows["q_key"] += [left["q_key"].iat[i]] * len(best)
-                        rows["qx"] += [left["qx"].iat[i]] * len(best)
-                        rows["nb_key"] += keys[best].tolist()
-                        rows["dist"] += np.sqrt(((x[best] - q[i]) ** 2).sum(axis=1)).tolist()
-                        rows["nb_label"] += y[best].tolist()
-            return pd.DataFrame(rows)
-
-        return qb.groupBy("_t", "_q").cogroup(tb.groupBy("_t", "_q")).applyInPandas(
-            search, "q_key string, qx array<double>, nb_key string, dist double, nb_label double")
+    @staticmethod
+    def _query_id(df: DataFrame) -> list:
+        x = vector_to_array(df["features"])
+        return [F.xxhash64(df["row_key"], x).alias("q1"), F.xxhash64(F.lit(1), df["row_key"], x).alias("q2")]
+
+    # ---------------------------------------------------------------- search
+    def _search(self, sent: DataFrame) -> DataFrame:
+        """The k best within ``radius`` of every block of the cells that the queries are sent to:
+        (q1, q2, block, dist, nb_key, nb_label)."""
+        k, width = self.k, self.block_rows
+        blocks = [max(1, math.ceil(n / width)) for n in self.cells[:, 0]]
+        asked = {r["cell"]: math.ceil(r["n"] / width) for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        parts = F.array(*[F.lit(asked.get(c, 0)) for c in range(len(blocks))])     # blocks of queries of each cell
+        cut = F.array(*[F.lit(b) for b in blocks])
+        of_cell = lambda a: F.get(a, F.col("cell"))
+        left = sent.withColumn("part", F.pmod(F.xxhash64("q1", "q2"), of_cell(parts)).cast("int")) \
+                   .withColumn("block", F.explode(F.sequence(F.lit(0), of_cell(cut) - 1)))
+        right = self._train_cells().where(of_cell(parts) > 0) \
+                    .withColumn("block", F.pmod(F.xxhash64("row_key", "x"), of_cell(cut)).cast("int")) \
+                    .withColumn("part", F.explode(F.sequence(F.lit(0), of_cell(parts) - 1)))
+
+        def search(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
+            none = pa.array([], pa.int64())
+            if not queries.num_rows or not rows.num_rows:
+                return pa.table({"q1": none, "q2": none, "block": none.cast(pa.int32()), "dist": none.cast(pa.float64()),
+                                 "nb_key": none.cast(pa.string()), "nb_label": none.cast(pa.float64())})
+            x, q = _matrix(rows["x"]), _matrix(queries["qx"])
+            order = np.argsort(np.argsort(np.array(rows["row_key"].to_pylist(), dtype=object), kind="stable"), kind="stable")
+            radius = queries["radius"].to_numpy()
+            found = [(i + a, j, d) for a in range(0, len(q), 512)
+                     for i, j, d in (_nearest(q[a : a + 512], x, order, k, radius[a : a + 512]),)]
+            i, j, d = (np.concatenate(c) for c in zip(*found))
+            return pa.table({"q1": queries["q1"].take(i), "q2": queries["q2"].take(i),
+                             "block": pa.array(np.full(len(i), key[2].as_py(), np.int32)), "dist": d,
+                             "nb_key": rows["row_key"].take(j), "nb_label": rows["y"].take(j)})
+
+        return left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInArrow(
+            search, "q1 long, q2 long, block int, dist double, nb_key string, nb_label double")
+
+    def _best(self, found: DataFrame) -> DataFrame:
+        """(q1, q2, nb): the k best of all blocks; of groups of blocks first where a cell has many."""
+        top = lambda c: F.slice(F.array_sort(c), 1, self.k)
+        one = F.struct("dist", "nb_key", "nb_label")
+        if self.cells[:, 0].max() > 256 * self.block_rows:
+            part = found.groupBy("q1", "q2", F.pmod("block", F.lit(256))).agg(top(F.collect_list(one)).alias("nb"))
+            return part.groupBy("q1", "q2").agg(top(F.flatten(F.collect_list("nb"))).alias("nb"))
+        return found.groupBy("q1", "q2").agg(top(F.collect_list(one)).alias("nb"))
+
+    def routes(self, near: DataFrame) -> DataFrame:
+        """(q1, q2, qx, radius, cell): the cells beyond its own that each query (with ``cell`` and the ``radius``
+        its own cell gave, or NULL) has to visit."""
+        held = near.sparkSession.sparkContext.broadcast((self.pivots, self.cells, self.k))
+        names = ["q1", "q2", "qx"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pivots, cells, k = held.value
+            n, lo, hi = cells.T
+            between = np.sqrt(np.maximum(_squared(pivots, pivots)[0], 0))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                q, home = _matrix(batch.column("qx")), batch.column("cell").to_numpy()
+                d2, slack = _squared(q, pivots)
+                far, close = np.sqrt(np.maximum(d2 + slack, 0)), np.sqrt(np.maximum(d2 - slack, 0))
+                # without k rows at home: cells by their farthest row, until they hold k rows
+                reach = np.sort(far + hi, axis=1)
+                held_rows = np.cumsum(n[np.argsort(far + hi, axis=1)], axis=1)
+                enough = np.minimum((held_rows < k).sum(axis=1), len(n) - 1)
+                radius = np.minimum(batch.column("radius").fill_null(np.inf).to_numpy(), reach[np.arange(len(q)), enough])
+                radius[held_rows[:, -1] < k] = np.inf
+                own = d2[np.arange(len(q)), home][:, None]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = (d2 - own - 2 * slack) / (2 * between[home])
+                plane[~np.isfinite(plane)] = -np.inf
+                least = np.maximum(np.maximum(close - hi, lo - far), plane)
+                visit = (least <= (radius * (1 + 1e-9))[:, None]) & (n > 0)
+                visit[np.arange(len(q)), home] = False
+                i, j = np.nonzero(visit)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(i)) for c in names), pa.array(radius[i]),
+                                                  pa.array(j.astype(np.int32))], names=[*names, "radius", "cell"])
+
+        return near.mapInArrow(run, "q1 long, q2 long, qx array<double>, radius double, cell int")
+
+    def nearest(self, df: DataFrame) -> DataFrame:
+        """(q1, q2, nb): the k nearest training rows (dist, nb_key, nb_label) of every distinct test row."""
+        ensure_checkpoint_dir(df.sparkSession)
+        queries = self._with_cell(self._queries(df), "qx").drop("r")
+        home = self._search(queries.withColumn("radius", F.lit(float("inf")))).checkpoint()  # ends the lineage: read twice
+        kth = self._best(home).select(F.col("q1").alias("_q1"), F.col("q2").alias("_q2"),
+                                      F.get("nb", F.lit(self.k - 1))["dist"].alias("radius"))
+        near = queries.join(kth, (F.col("q1") == F.col("_q1")) & (F.col("q2") == F.col("_q2")), "left").drop("_q1", "_q2")
+        beyond = self._search(self.routes(near).checkpoint())
+        return self._best(home.unionByName(beyond))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        k = self.k
-        cand = self.candidates(df)
-        top = cand.groupBy("q_key", "qx").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nb_key", "nb_label"))), 1, k).alias("nb"))
+        if not len(self.pivots):
+            nothing = df.withColumn("prediction", F.lit(None).cast("double"))
+            return nothing if self.problem_type != "clasificacion" else nothing.withColumn(
+                "probability", array_to_vector(F.array(F.lit(0.0), F.lit(0.0))))
         labels = F.transform("nb", lambda s: s["nb_label"])
+        top = self.nearest(df).select("q1", "q2", labels.alias("_l"))
         if self.problem_type == "clasificacion":
-            votes = top.select("q_key", "qx", F.explode(labels).alias("c")).groupBy("q_key", "qx", "c").agg(F.count(F.lit(1)).alias("v"))
-            best = votes.groupBy("q_key", "qx").agg(F.min(F.struct((-F.col("v")).alias("nv"), F.col("c").alias("c"))).alias("b"))
-            share1 = top.select("q_key", "qx", (F.size(F.filter(labels, lambda x: x == 1.0)) / F.size(labels)).alias("p1"),
-                                F.size(F.array_distinct(labels)).alias("_nd"))
-            pred = best.select("q_key", "qx", F.col("b.c").alias("prediction")).join(share1, ["q_key", "qx"])
-            pred = pred.select("q_key", "qx", "prediction",
-                               array_to_vector(F.array(1 - F.col("p1"), F.col("p1"))).alias("probability"))
+            # most votes, ties to the smallest class
+            classes = F.array_sort(F.array_distinct("_l"))
+            votes = F.transform(classes, lambda c: F.struct((-F.size(F.filter("_l", lambda x: x == c))).alias("v"), c.alias("c")))
+            p1 = F.size(F.filter("_l", lambda x: x == 1.0)) / F.size("_l")
+            pred = top.select("q1", "q2", F.array_min(votes)["c"].alias("prediction"),
+                              array_to_vector(F.array(1 - p1, p1)).alias("probability"))
         else:
-            pred = top.select("q_key", "qx", F.aggregate(labels, F.lit(0.0), lambda a, x: a + x).alias("_s"), F.size(labels).alias("_n")) \
-                      .select("q_key", "qx", (F.col("_s") / F.col("_n")).alias("prediction"))
-        return df.join(pred, (df["row_key"] == pred["q_key"]) & (vector_to_array(df["features"]) == pred["qx"]), "left").drop("q_key", "qx")
+            pred = top.select("q1", "q2", (F.aggregate("_l", F.lit(0.0), lambda a, x: a + x) / F.size("_l")).alias("prediction"))
+        q1, q2 = self._query_id(df)
+        return df.withColumn("_q1", q1).withColumn("_q2", q2).join(
+            pred, (F.col("_q1") == F.col("q1")) & (F.col("_q2") == F.col("q2")), "left").drop("_q1", "_q2", "q1", "q2")
 
     def write(self):
         def save(path, overwrite):
             self.train.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/train")
             _write_json(self.train.sparkSession, f"{path}/meta",
-                        {"k": self.k, "problem_type": self.problem_type, "block_rows": self.block_rows}, overwrite)
+                        {"k": self.k, "problem_type": self.problem_type, "block_rows": self.block_rows,
+                         "pivots": self.pivots.tolist(), "cells": self.cells.tolist()}, overwrite)
         return _Writer(save)
 
     @classmethod
     def load(cls, path: str) -> "KNeighborsModel":
         spark = SparkSession.getActiveSession()
         meta = _read_json(spark, f"{path}/meta")
-        return cls(spark.read.parquet(f"{path}/train"), meta["k"], meta["problem_type"], meta["block_rows"])
+        return cls(spark.read.parquet(f"{path}/train"), meta["k"], meta["problem_type"], meta["block_rows"],
+                   np.array(meta["pivots"], dtype=float), np.array(meta["cells"], dtype=float))
 
 
 # =========================================================================== AdaBoost

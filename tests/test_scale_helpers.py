@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from qualab.functions.ranks import running_totals
+from qualab.functions.ranks import running_totals, slice_of, split_points
 from qualab.operators import crossval as C
 from qualab.operators import dedup as D
 from qualab.operators import metrics as M
@@ -123,3 +123,101 @@ def test_slice_variances_keep_their_digits_far_from_zero(spark):
     df = spark.createDataFrame([("r", "m", float(x), 0.0) for x in e], "run_id string, model string, label double, prediction double")
     parts = [e[i * 200 : (i + 1) * 200].var() for i in range(5)]
     assert abs(M.residual_diagnosis(df).first()["variance_ratio"] / (max(parts) / min(parts)) - 1) < 1e-6
+
+
+def test_slices_stay_even_whatever_the_values(spark, reuse):
+    """A cluster far from zero with one wild value, several magnitudes, two clusters: no slice above 2 / S of the rows."""
+    n, slices = 400_000, 64
+    unit = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    df = spark.range(0, n, 1, 8).select(F.inline(F.array(
+        F.struct(F.lit("cluster").alias("k"), F.when(F.col("id") == 7, 1e15).otherwise(1.7e9 + unit * 1e6).alias("v")),
+        F.struct(F.lit("magnitudes").alias("k"), F.exp(unit * 400 - 200).alias("v")),
+        F.struct(F.lit("two").alias("k"), F.when(F.col("id") % 2 == 0, 1e9 + unit).otherwise(-5e3 - unit * 1e-3).alias("v")),
+        F.struct(F.lit(None).cast("string").alias("k"), F.col("id").cast("double").alias("v")))))
+    df = df.withColumn("_g", F.struct("k"))
+    points = split_points(df, "_g", "v", slices)
+    sizes = df.join(points, "_g").groupBy("k", slice_of(F.col("points"), F.col("v"), slices).alias("s")).count().toPandas()
+    assert len(sizes) >= 4 * (slices - 2) and sizes["count"].max() <= 2 * n / slices
+    other = split_points(df.repartition(5, "v"), "_g", "v", slices)        # the same points from any partitioning
+    assert sorted(map(str, points.collect())) == sorted(map(str, other.collect()))
+    ranks = running_totals(df.withColumn("w", F.lit(1)), ["k"], F.col("v"), ["w"], then=[F.col("k")])
+    ends = ranks.groupBy("k").agg(F.min("cum_w"), F.max("cum_w"), F.count("*"), F.max("tot_w")).collect()
+    assert all(tuple(r)[1:] == (1, n, n, n) for r in ends) and len(ends) == 4
+
+
+@pytest.mark.parametrize("points,x,want", [([], 3.0, 0), ([1.0], 0.5, 0), ([1.0], 1.0, 1), ([1.0, 2.0, 4.0], 3.9, 2),
+                                           ([float(i) for i in range(63)], 62.5, 63), ([1.0, 2.0], None, 0)])
+def test_slice_of_is_a_binary_search(spark, points, x, want):
+    df = spark.createDataFrame([(points, x)], "p array<double>, x double")
+    assert df.select(slice_of(F.col("p"), F.col("x"), 64)).first()[0] == want
+
+
+def knn_brute(train, test, k):
+    """{(key, x): [(distance, key of neighbour)]}"""
+    out = {}
+    for qk, q, _ in test:
+        d = sorted((float(np.sqrt(((np.array(x) - np.array(q)) ** 2).sum())), key) for key, x, _ in train)
+        out[qk, tuple(q)] = d[:k]
+    return out
+
+
+def knn_rows(spark, rows):
+    return spark.createDataFrame(rows, "row_key string, x array<double>, label double") \
+                .select("row_key", array_to_vector("x").alias("features"), "label")
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uniform", "one_hot", "line"])
+def test_knn_equals_brute_force(spark, kind):
+    rng = np.random.default_rng(4)
+    if kind == "clustered":
+        centers = rng.normal(size=(12, 8)) * 10
+        draw = lambda n: centers[rng.integers(0, 12, n)] + rng.normal(size=(n, 8)) * 0.3
+    elif kind == "uniform":
+        draw = lambda n: rng.random((n, 6))
+    elif kind == "one_hot":
+        draw = lambda n: np.eye(5)[rng.integers(0, 5, n)]
+    else:
+        draw = lambda n: np.round(rng.lognormal(0, 2, (n, 1)), 1) + 1e6
+    train = [(f"t{i:04d}", [float(v) for v in x], float(i % 3)) for i, x in enumerate(draw(700))]
+    test = [(f"q{i}", [float(v) for v in x], float(i % 3)) for i, x in enumerate(draw(120))] + [("q0", train[5][1], 0.0)]
+    model = MC.KNeighbors(k=5, block_rows=64).fit(knn_rows(spark, train))
+    want = knn_brute(train, test, 5)
+    asked = knn_rows(spark, test)
+    ids = asked.select("row_key", "features", *MC.KNeighborsModel._query_id(asked))
+    got = ids.join(model.nearest(asked), ["q1", "q2"]).collect()
+    assert len(got) == len(test)
+    for r in got:
+        assert [n["nb_key"] for n in r["nb"]] == [key for _, key in want[r["row_key"], tuple(r["features"].toArray())]], r["row_key"]
+
+
+def test_knn_visits_few_cells_of_clustered_vectors(spark, sf):
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("row_key"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+        F.col("label").cast("double").alias("label"))
+    centers = spark.createDataFrame([(c, [float(v) for v in np.random.default_rng(c).normal(size=16) * 5]) for c in range(30)], "c int, m array<double>")
+    noise = F.array(*[F.randn(i) * 0.2 for i in range(16)])
+    many = spark.range(6000).withColumn("c", (F.col("id") % 30).cast("int")).join(centers, "c").select(
+        F.col("id").cast("string").alias("row_key"), array_to_vector(F.zip_with("m", noise, lambda a, b: a + b)).alias("features"),
+        (F.col("c") % 2).cast("double").alias("label")).cache()
+    for data, share in ((emb, 1.0), (many, 0.05)):
+        model = MC.KNeighbors(k=5, block_rows=64).fit(data)
+        queries = model._with_cell(model._queries(data), "qx").drop("r")
+        home = model._search(queries.withColumn("radius", F.lit(float("inf"))))
+        kth = model._best(home).select("q1", "q2", F.get("nb", F.lit(4))["dist"].alias("radius"))
+        visits = model.routes(queries.join(kth, ["q1", "q2"], "left")).count()
+        assert visits <= share * len(model.pivots) * queries.count()
+
+
+def test_knn_keeps_cells_across_save_and_load(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(f"{i}", [float(v) for v in rng.normal(size=3)], float(i % 2)) for i in range(200)]
+    model = MC.KNeighbors(k=3, block_rows=32).fit(knn_rows(spark, rows))
+    model.write().overwrite().save(f"{tmp_path}/m")
+    back = MC.KNeighborsModel.load(f"{tmp_path}/m")
+    a, b = (sorted((r["row_key"], r["prediction"]) for r in m.transform(knn_rows(spark, rows[:40])).collect()) for m in (model, back))
+    assert a == b and len(a) == 40
+
+
+def test_knn_without_training_rows_predicts_null(spark):
+    model = MC.KNeighbors(k=3).fit(knn_rows(spark, []))
+    assert [r["prediction"] for r in model.transform(knn_rows(spark, [("a", [1.0], 0.0)])).collect()] == [None]
