@@ -170,9 +170,9 @@ class Chunk:
         first = np.cumsum(size) - size
         done, scored, step = 0, 0, 2 * best.k
         while done < len(ranked) and bound[ranked[done]] >= best.floor:
-            # the next masks, of about `step` documents; those below the floor are left out
+            # the next masks, of at most `step` documents unless one has more; those below the floor are left out
             ahead = np.cumsum(size[ranked[done:]])
-            to = done + int(np.searchsorted(ahead, step)) + 1
+            to = done + max(1, int(np.searchsorted(ahead, step, side="right")))
             take = ranked[done:to]
             take = take[bound[take] >= best.floor]
             chosen = np.sort(np.concatenate([members[first[g] : first[g] + size[g]] for g in take]))
