@@ -1,10 +1,10 @@
 """Sharding by proportional stratified interleaving: every shard has the mixture of the whole.
 
 Rows are shuffled within their source (by a seeded hash of the id), ranked there, and all rows are put in
-the order of their fractional rank ``(rank + phase) / rows of the source``; the phase is a seeded number of
-the source in [0, 1), so that many small sources do not fall on the same places.  Cutting this order into
-equal runs gives shards whose row counts differ by one at most (law ``rows``) and in which each source has
-its share of the rows, give or take two.
+the order of their fractional rank ``(rank + phase) / rows of the source``.  The phase spreads sources of
+equal size evenly over [0, 1): the j-th of m, in a seeded order, has (j + 1/2) / m, so that many small
+sources interleave too.  Cutting this order into equal runs gives shards whose row counts differ by one at
+most (law ``rows``) and in which each source has its share of the rows, give or take a few.
 
 No task sees a whole source: ranks come from buckets of the hash, places from slices of the fractional rank,
 and small tables of counts give each bucket and slice its offset.  A bucket that repeated ids make large is
@@ -39,6 +39,28 @@ def hash_60(seed: int, value: Column) -> Column:
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def _offsets(rows: DataFrame, group: str, cells: list[str]) -> DataFrame:
+    """group, cells, size (rows of the group) and before (rows of the group's earlier cells)."""
+    within = Window.partitionBy(group)
+    return rows.groupBy(group, *cells).agg(F.count("*").alias("in_cell")).select(
+        group, *cells, F.sum("in_cell").over(within).alias("size"),
+        (F.sum("in_cell").over(within.orderBy(*cells)) - F.col("in_cell")).alias("before"))
+
+
+def _ranked(rows: DataFrame, cell: list[str], order: list[str], offsets: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``offsets`` and ``rank`` (from 0) within the group, by cell, then ``order``."""
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1
+    return rows.withColumn("nth", nth).join(offsets, cell).withColumn("rank", F.col("before") + F.col("nth")).drop("nth", "before")
+
+
+def _phases(rows: DataFrame, seed: int, bits: int) -> DataFrame:
+    """stratum, phase: the place of each stratum among those of its size."""
+    strata = rows.groupBy("stratum").agg(F.count("*").alias("rows")).withColumn("hash", hash_60(seed, F.col("stratum")))
+    strata = strata.withColumn("bucket", F.shiftright("hash", HASH_BITS - bits))
+    ranked = _ranked(strata, ["rows", "bucket"], ["hash", "stratum"], _offsets(strata, "rows", ["bucket"]))
+    return ranked.select("stratum", ((F.col("rank").cast("double") + 0.5) / F.col("size").cast("double")).alias("phase"))
+
+
 def interleave(docs: DataFrame, columns: Sequence[str] | None = None, shards: int = SHARDS, stratum: str = "source",
                key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """row (a struct of ``columns``, all if None), stratum_rank, shard (0 to shards - 1) and slot (gapless from 0 in
@@ -56,15 +78,10 @@ def interleave(docs: DataFrame, columns: Sequence[str] | None = None, shards: in
         "part", F.when(F.col("held").isNull(), F.lit(0)).otherwise(
             F.expr(f"pmod(xxhash64({seed}, id), held div {BUCKET_ROWS} + 1)")).cast("long"))
 
-    place = ["stratum", "bucket", "part"]
-    in_stratum = Window.partitionBy("stratum")
-    offsets = rows.groupBy(*place).agg(F.count("*").alias("held")).select(
-        *place, F.sum("held").over(in_stratum).alias("size"),
-        (F.sum("held").over(in_stratum.orderBy("bucket", "part")) - F.col("held")).alias("before"))
-    ranked = rows.drop("held").withColumn(
-        "nth", F.row_number().over(Window.partitionBy(*place).orderBy("hash", "id")) - 1).join(offsets, place)
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth")).withColumn(
-        "fraction", (F.col("rank").cast("double") + hash_60(seed, F.col("stratum")) / F.lit(float(1 << HASH_BITS))) / F.col("size").cast("double"))
+    cell = ["stratum", "bucket", "part"]
+    offsets = _offsets(rows, "stratum", cell[1:]).join(_phases(rows, seed, bits), "stratum")
+    ranked = _ranked(rows.drop("held"), cell, ["hash", "id"], offsets)
+    ranked = ranked.withColumn("fraction", (F.col("rank").cast("double") + F.col("phase")) / F.col("size").cast("double"))
     ranked = ranked.withColumn("slice", F.least(F.floor(F.col("fraction") * F.lit(1 << bits)), F.lit((1 << bits) - 1)))
 
     slices = ranked.groupBy("slice").agg(F.count("*").alias("held")).select(
@@ -116,10 +133,11 @@ def _hash_sql(value: str) -> str:
 OP11_SQL = f"""
 WITH {CRC_TABLE},
 docs AS (SELECT *, coalesce('=' || source, '-') AS stratum, {_hash_sql('doc_id')} AS h FROM documents),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h) - 1 AS stratum_rank,
-    count(*) OVER (PARTITION BY stratum) AS n, count(*) OVER () AS total FROM docs),
-placed AS (SELECT *, row_number() OVER (ORDER BY (stratum_rank::DOUBLE + {_hash_sql('stratum')}::DOUBLE / {float(1 << HASH_BITS)!r}::DOUBLE)
-    / n::DOUBLE, stratum, stratum_rank) - 1 AS place FROM ranked),
+strata AS (SELECT stratum, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM docs GROUP BY stratum),
+phases AS (SELECT *, (row_number() OVER (PARTITION BY n ORDER BY {_hash_sql('stratum')}) - 1)::DOUBLE AS j, count(*) OVER (PARTITION BY n) AS m FROM strata),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h) - 1 AS stratum_rank FROM docs JOIN phases USING (stratum)),
+placed AS (SELECT *, row_number() OVER (ORDER BY (stratum_rank::DOUBLE + (j + 0.5::DOUBLE) / m::DOUBLE) / n::DOUBLE, stratum, stratum_rank) - 1 AS place
+    FROM ranked),
 cut AS (SELECT *, ((place * {SHARDS}) // total)::INT AS shard FROM placed)
 SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32, 'rows' AS law, shard,
     place - (shard::BIGINT * total + {SHARDS - 1}) // {SHARDS} AS slot, NULL::INT AS grown_shard, source, stratum_rank
