@@ -88,6 +88,22 @@ def permutation_shap(model, df: DataFrame, feature_names: Sequence[str], backgro
                                                "value", "shap")
 
 
+def explain(model, df: DataFrame, feature_names: Sequence[str], background: DataFrame, background_rows: int = 100,
+            permutations: int = 32, key: str = "row_key", features_col: str = "features", seed: int = 42) -> DataFrame:
+    """X1, by what the model is: exact values against a background table for trees, forests and boosted trees
+    (:func:`qualab.operators.trees.tree_shap`), the closed form for linear models, permutations for any other.
+    (key, feature, value, shap), for trees with ``base``."""
+    from qualab.operators import trees
+
+    kind = type(model).__name__
+    if hasattr(model, "ensemble") or any(t in kind for t in ("DecisionTree", "RandomForest", "GBT")):
+        return trees.tree_shap(model, df, feature_names, background, background_rows, None, key, features_col, seed)
+    if kind == "LinearRegressionModel":
+        columns = lambda t: t.select(key, *[vector_to_array(features_col)[j].alias(n) for j, n in enumerate(feature_names)])
+        return linear_shap(columns(df), dict(zip(feature_names, map(float, model.coefficients))), columns(background), key)
+    return permutation_shap(model, df, feature_names, background, permutations, key, features_col, seed)
+
+
 def importance(shap: DataFrame, top: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Mean |shap| per feature, descending (ties: feature name), top ``top``."""
     agg = shap.groupBy(*keys, "feature").agg(F.avg(F.abs("shap")).alias("importance"))

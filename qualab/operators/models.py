@@ -13,11 +13,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +24,13 @@ from qualab.functions.columns import is_numeric, is_text, qcol
 from qualab.functions.hashing import row_key
 from qualab.operators import features as FE
 from qualab.operators import metrics as M
+from qualab.functions.pool import PARALLELISM
+from qualab.operators.kernel import KernelSVC, KernelSVR
+from qualab.operators.scores import class_scores
+from qualab.operators.trees import DeepTrees
 
 SEED = 42
+MAX_CLASSES = 1000       # classes that a benchmark's scores are listed for
 # Model names of the benchmark, in the reference's order.
 CLASSIFICATION_MODELS = ["LogisticRegression", "DecisionTree", "RandomForest", "GradientBoosting", "SVC",
                          "KNeighbors", "GaussianNB", "AdaBoost"]
@@ -97,21 +101,18 @@ def make_estimator(name: str, problem_type: str, n_train: int, n_classes: int =
     objectives of the reference's library."""
     from qualab.operators import models_custom as MC
     n = max(n_train, 1)
-    # deep trees: cache node ids (lineage cut every 10 levels in the shared checkpoint folder)
-    # and give level-wise training a larger aggregation budget; the fitted model is unchanged
-    tree_speed = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
     if problem_type == "clasificacion":
         if name == "LogisticRegression":
             return LogisticRegression(maxIter=1000, regParam=1.0 / n, elasticNetParam=0.0, standardization=False)
         if name == "DecisionTree":
-            return DecisionTreeClassifier(maxDepth=30, maxBins=64, seed=seed, **tree_speed)
+            return DeepTrees(problem_type, seed=seed)
         if name == "RandomForest":
-            return RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=seed, **tree_speed)
+            return DeepTrees(problem_type, trees=100, features="sqrt", bootstrap=True, seed=seed)
         if name == "GradientBoosting":
             gbt = GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
         if name == "SVC":
-            return MC.RandomFeatureSVM(seed=seed)
+            return KernelSVC()
         if name == "KNeighbors":
             return MC.KNeighbors(k=5, problem_type=problem_type)
         if name == "GaussianNB":
@@ -128,13 +129,13 @@ def make_estimator(name: str, problem_type: str, n_train: int, n_classes: int =
         if name == "ElasticNet":
             return PenalisedRegression(l1=0.5, l2=0.5)
         if name == "DecisionTree":
-            return DecisionTreeRegressor(maxDepth=30, maxBins=64, seed=seed, **tree_speed)
+            return DeepTrees(problem_type, seed=seed)
         if name == "RandomForest":
-            return RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=30, seed=seed, **tree_speed)
+            return DeepTrees(problem_type, trees=100, bootstrap=True, seed=seed)
         if name == "GradientBoosting":
             return GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=3, seed=seed)
         if name == "SVR":
-            return MC.RandomFeatureSVR(seed=seed)
+            return KernelSVR()
         if name == "KNeighbors":
             return MC.KNeighbors(k=5, problem_type=problem_type)
         if name == "AdaBoost":
@@ -175,16 +176,23 @@ class BenchmarkResult:
     failures: list = field(default_factory=list)
     timings: dict = field(default_factory=dict)
     ranking: list = field(default_factory=list)
+    data: DataFrame | None = None
 
     @property
     def best_model(self):
         return self.ranking[0][0] if self.ranking else None
 
+    def release(self) -> None:
+        """Drops the prepared data from memory."""
+        if self.data is not None:
+            self.data.unpersist()
+
 
 def train_one(name: str, est, data: DataFrame, run_id: str, problem_type: str, cv_folds: int = 5,
-              seed: int = SEED) -> tuple:
+              seed: int = SEED, parallelism: int = PARALLELISM) -> tuple:
     """Fit on the training split, time it, predict the test split, compute the metrics and
-    the k-fold CV mean/std on the training split; a failure is returned, not raised."""
+    the k-fold CV mean/std on the training split (``parallelism`` folds at once; of the folds that
+    have a score); a failure is returned, not raised."""
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
     try:
@@ -193,28 +201,31 @@ def train_one(name: str, est, data: DataFrame, run_id: str, problem_type: str, c
         secs = time.time() - t0
         preds = predictions_of(model, test, run_id, name)
         if problem_type == "clasificacion":
-            rep = M.classification_metrics(preds)
-            auc = M.roc_auc(preds.where(F.col("probability").isNotNull())) if "probability" in preds.columns else None
-            rows = rep.join(auc, ["run_id", "model"], "left") if auc is not None else rep
+            classes = [float(r[0]) for r in data.select("label").distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()]
+            if len(classes) > MAX_CLASSES:
+                raise ValueError(f"more than {MAX_CLASSES} classes")
+            if len(classes) > 2:                  # one-vs-rest, macro
+                auc = M.multiclass_auc(class_scores(model, test, run_id, name, classes, train)) \
+                       .select("run_id", "model", F.col("macro_auc").alias("auc"))
+            else:
+                auc = M.roc_auc(preds.where(F.col("probability").isNotNull()))
+            rows = M.classification_metrics(preds).join(auc, ["run_id", "model"], "left")
         else:
             rows = M.regression_metrics(preds)
         metric_row = rows.first().asDict()
-        cv = []
+        metric_row.pop("run_id", None)
+        metric_row.pop("model", None)
         if cv_folds and cv_folds > 1:
-            from qualab.operators.crossval import assign_folds
+            from qualab.operators.crossval import assign_folds, cv_scores, mean_and_std
             folds = assign_folds(train, ["row_key"], cv_folds,
                                  label="label" if problem_type == "clasificacion" else None, seed=seed)
             folds = folds.persist(StorageLevel.MEMORY_AND_DISK)
-            for f in range(cv_folds):
-                m_f = est.fit(folds.where(F.col("fold") != f))
-                cv.append(score_of(predictions_of(m_f, folds.where(F.col("fold") == f), run_id, name), problem_type))
-            folds.unpersist()
-        metric_row.pop("run_id", None)
-        metric_row.pop("model", None)
-        if cv:
-            mean = sum(cv) / len(cv)
-            metric_row["cv_mean"] = mean
-            metric_row["cv_std"] = (sum((c - mean) ** 2 for c in cv) / len(cv)) ** 0.5
+            score = lambda tr, te: score_of(predictions_of(est.fit(tr), te, run_id, name), problem_type)
+            try:
+                cv = cv_scores(folds, score, cv_folds, parallelism=parallelism)
+            finally:
+                folds.unpersist()
+            metric_row["cv_mean"], metric_row["cv_std"] = mean_and_std([s for _, s in cv])
         metric_row["train_seconds"] = secs
         return model, preds, metric_row, None
     except Exception as e:  # noqa: BLE001 - M19 records failures
@@ -224,14 +235,15 @@ def train_one(name: str, est, data: DataFrame, run_id: str, problem_type: str, c
 
 
 def benchmark(data: DataFrame, problem_type: str, run_id: str, models: Sequence[str] | None = None,
-              cv_folds: int = 5, seed: int = SEED) -> BenchmarkResult:
+              cv_folds: int = 5, seed: int = SEED, parallelism: int = PARALLELISM) -> BenchmarkResult:
     """Train every model of the problem type on the persisted prepared data, sort by
-    accuracy / r2 (descending), and return the long metrics, predictions and failures."""
+    accuracy / r2 (descending), and return the long metrics, predictions and failures.  The
+    predictions are lazy and read ``data`` again: call ``release()`` once they have been used."""
     spark = data.sparkSession
     names = list(models or (CLASSIFICATION_MODELS if problem_type == "clasificacion" else REGRESSION_MODELS))
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     stats = data.agg(F.count_if(~F.col("is_test")).alias("n"), F.countDistinct("label").alias("k")).first()
-    res = BenchmarkResult(run_id, problem_type, None, None)
+    res = BenchmarkResult(run_id, problem_type, None, None, data=data)
     metric_rows, pred_frames = [], []
     for name in names:
         try:
@@ -239,7 +251,7 @@ def benchmark(data: DataFrame, problem_type: str, run_id: str, models: Sequence[
         except Exception as e:  # noqa: BLE001
             res.failures.append((name, str(e)))
             continue
-        model, preds, row, err = train_one(name, est, data, run_id, problem_type, cv_folds, seed)
+        model, preds, row, err = train_one(name, est, data, run_id, problem_type, cv_folds, seed, parallelism)
         if err:
             res.failures.append((name, err))
             continue
@@ -277,7 +289,9 @@ def load_model(path: str, kind: str):
     import pyspark.ml.classification as C
     import pyspark.ml.regression as R
     from qualab.operators import models_custom as MC
-    for mod in (C, R, MC):
+    from qualab.operators import kernel as K
+    from qualab.operators import trees as TR
+    for mod in (C, R, MC, TR, K):
         cls = getattr(mod, kind, None)
         if cls is not None:
             return cls.load(path)

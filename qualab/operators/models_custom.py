@@ -1,5 +1,4 @@
-"""Models Spark ML lacks, built from Spark jobs: exact k-NN (M6, M17), AdaBoost SAMME (M8) and
-R2 (M18), and kernel machines approximated with random Fourier features (M5, M16).
+"""Models Spark ML lacks, built from Spark jobs: exact k-NN (M6, M17), AdaBoost SAMME (M8) and R2.
 
 They follow the Spark ML shape (``fit(df) -> model``, ``model.transform(df)``,
 ``model.write().overwrite().save(path)``, ``Cls.load(path)``) and read ``features`` (vector),
@@ -13,15 +12,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, LinearSVC, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qualab.functions.arrow import matrix
 from qualab.session import ensure_checkpoint_dir
 
 
@@ -51,12 +50,6 @@ def _read_json(spark: SparkSession, path: str) -> dict:
 MAX_PIVOTS = 1024
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """An array<double> column without nulls as rows x dimensions."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def _squared(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances by one matrix product, and a bound of each row's rounding error."""
     xn, qn = (x * x).sum(axis=1), (q * q).sum(axis=1)
@@ -87,17 +80,22 @@ class KNeighbors:
     ``fit`` takes up to ``MAX_PIVOTS`` training vectors (about the root of their number, those of the
     least hash) as pivots and measures the cells around them: rows, least and greatest distance."""
 
-    def __init__(self, k: int = 5, problem_type: str = "clasificacion", block_rows: int = 4096):
-        self.k, self.problem_type, self.block_rows = k, problem_type, block_rows
+    def __init__(self, k: int = 5, problem_type: str = "clasificacion", block_rows: int = 4096, max_classes: int = 1000):
+        self.k, self.problem_type, self.block_rows, self.max_classes = k, problem_type, block_rows, max_classes
 
     def fit(self, train: DataFrame) -> "KNeighborsModel":
         rows = train.select("row_key", "features", "label")
         x = rows.select(vector_to_array("features").alias("x"))
         count = rows.count()
+        classes = None
+        if self.problem_type == "clasificacion":
+            classes = [r[0] for r in rows.select(F.col("label").cast("double")).distinct().orderBy("label").limit(self.max_classes + 1).collect()]
+            if len(classes) > self.max_classes:
+                raise ValueError(f"more than max_classes={self.max_classes} classes")
         pivots = min(MAX_PIVOTS, max(1, round(count ** 0.5)))
         chosen = x.distinct().orderBy(F.xxhash64("x"), "x").limit(pivots).toArrow()["x"]
         model = KNeighborsModel(rows, self.k, self.problem_type, self.block_rows,
-                                _matrix(chosen) if len(chosen) else np.zeros((0, 0)))
+                                matrix(chosen) if len(chosen) else np.zeros((0, 0)), classes=classes)
         return model.measure()
 
 
@@ -110,8 +108,9 @@ class KNeighborsModel:
     row is made; nothing but the pivots passes through the driver."""
 
     def __init__(self, train: DataFrame, k: int, problem_type: str, block_rows: int, pivots: np.ndarray,
-                 cells: np.ndarray | None = None):
+                 cells: np.ndarray | None = None, classes: list[float] | None = None):
         self.train, self.k, self.problem_type, self.block_rows = train, k, problem_type, block_rows
+        self.classes = classes                       # of a classifier, in order
         self.pivots, self.cells = pivots, cells      # cells: rows, least, greatest distance of each pivot
 
     # ---------------------------------------------------------------- cells
@@ -123,7 +122,7 @@ class KNeighborsModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivots, order = held.value, np.arange(len(held.value))
             for batch in batches:
-                x = _matrix(batch.column(column))
+                x = matrix(batch.column(column))
                 found = [_nearest(x[a : a + 1024], pivots, order, 1) for a in range(0, len(x), 1024)]
                 cell = np.concatenate([j for _, j, _ in found] or [np.zeros(0, int)]).astype(np.int32)
                 r = np.concatenate([d for *_, d in found] or [np.zeros(0)])
@@ -175,7 +174,7 @@ class KNeighborsModel:
             if not queries.num_rows or not rows.num_rows:
                 return pa.table({"q1": none, "q2": none, "block": none.cast(pa.int32()), "dist": none.cast(pa.float64()),
                                  "nb_key": none.cast(pa.string()), "nb_label": none.cast(pa.float64())})
-            x, q = _matrix(rows["x"]), _matrix(queries["qx"])
+            x, q = matrix(rows["x"]), matrix(queries["qx"])
             order = np.argsort(np.argsort(np.array(rows["row_key"].to_pylist(), dtype=object), kind="stable"), kind="stable")
             radius = queries["radius"].to_numpy()
             found = [(i + a, j, d) for a in range(0, len(q), 512)
@@ -210,7 +209,7 @@ class KNeighborsModel:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                q, home = _matrix(batch.column("qx")), batch.column("cell").to_numpy()
+                q, home = matrix(batch.column("qx")), batch.column("cell").to_numpy()
                 d2, slack = _squared(q, pivots)
                 far, close = np.sqrt(np.maximum(d2 + slack, 0)), np.sqrt(np.maximum(d2 - slack, 0))
                 # without k rows at home: cells by their farthest row, until they hold k rows
@@ -252,11 +251,10 @@ class KNeighborsModel:
         top = self.nearest(df).select("q1", "q2", labels.alias("_l"))
         if self.problem_type == "clasificacion":
             # most votes, ties to the smallest class
-            classes = F.array_sort(F.array_distinct("_l"))
-            votes = F.transform(classes, lambda c: F.struct((-F.size(F.filter("_l", lambda x: x == c))).alias("v"), c.alias("c")))
-            p1 = F.size(F.filter("_l", lambda x: x == 1.0)) / F.size("_l")
-            pred = top.select("q1", "q2", F.array_min(votes)["c"].alias("prediction"),
-                              array_to_vector(F.array(1 - p1, p1)).alias("probability"))
+            seen = F.array_sort(F.array_distinct("_l"))
+            votes = F.transform(seen, lambda c: F.struct((-F.size(F.filter("_l", lambda x: x == c))).alias("v"), c.alias("c")))
+            share = F.transform(F.array(*[F.lit(c) for c in self.classes]), lambda c: F.size(F.filter("_l", lambda x: x == c)) / F.size("_l"))
+            pred = top.select("q1", "q2", F.array_min(votes)["c"].alias("prediction"), array_to_vector(share).alias("probability"))
         else:
             pred = top.select("q1", "q2", (F.aggregate("_l", F.lit(0.0), lambda a, x: a + x) / F.size("_l")).alias("prediction"))
         q1, q2 = self._query_id(df)
@@ -268,7 +266,7 @@ class KNeighborsModel:
             self.train.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/train")
             _write_json(self.train.sparkSession, f"{path}/meta",
                         {"k": self.k, "problem_type": self.problem_type, "block_rows": self.block_rows,
-                         "pivots": self.pivots.tolist(), "cells": self.cells.tolist()}, overwrite)
+                         "pivots": self.pivots.tolist(), "cells": self.cells.tolist(), "classes": self.classes}, overwrite)
         return _Writer(save)
 
     @classmethod
@@ -276,7 +274,7 @@ class KNeighborsModel:
         spark = SparkSession.getActiveSession()
         meta = _read_json(spark, f"{path}/meta")
         return cls(spark.read.parquet(f"{path}/train"), meta["k"], meta["problem_type"], meta["block_rows"],
-                   np.array(meta["pivots"], dtype=float), np.array(meta["cells"], dtype=float))
+                   np.array(meta["pivots"], dtype=float), np.array(meta["cells"], dtype=float), meta["classes"])
 
 
 # =========================================================================== AdaBoost
@@ -450,105 +448,3 @@ class AdaBoostR2Model:
         meta = _read_json(SparkSession.getActiveSession(), f"{path}/meta")
         return cls([DecisionTreeRegressionModel.load(f"{path}/tree_{i}") for i in range(len(meta["weights"]))],
                    meta["weights"])
-
-
-# =========================================================================== random Fourier features
-class _RFF:
-    """z(x) = √(2/D)·cos(Wx + b), W ~ N(0, 2γ), b ~ U(0, 2π): an explicit feature map whose inner
-    product approximates the RBF kernel exp(−γ‖x−y‖²); γ = 1/(d·Var(X)) ('scale')."""
-
-    def __init__(self, W: np.ndarray, b: np.ndarray):
-        self.W, self.b = W, b
-
-    @staticmethod
-    def fit(df: DataFrame, components: int, seed: int) -> "_RFF":
-        a = vector_to_array("features")
-        st = df.select(F.aggregate(a, F.lit(0.0), lambda s, x: s + x).alias("s"),
-                       F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x).alias("ss"), F.size(a).alias("d")) \
-               .agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("d").alias("n"), F.max("d").alias("d")).first()
-        var = st["ss"] / st["n"] - (st["s"] / st["n"]) ** 2
-        d = int(st["d"])
-        gamma = 1.0 / (d * var) if var > 0 else 1.0
-        rng = np.random.default_rng(seed)
-        W = rng.normal(0.0, math.sqrt(2 * gamma), size=(components, d))
-        b = rng.uniform(0, 2 * math.pi, size=components)
-        return _RFF(W, b)
-
-    def transform(self, df: DataFrame, out: str = "rff") -> DataFrame:
-        W, b = self.W, self.b
-        scale = math.sqrt(2.0 / W.shape[0])
-
-        @F.pandas_udf("array<double>")
-        def feat(x: pd.Series) -> pd.Series:
-            X = np.stack(x.to_numpy()).astype(np.float64)
-            Z = scale * np.cos(X @ W.T + b)
-            return pd.Series(list(Z))
-        return df.withColumn(out, array_to_vector(feat(vector_to_array("features"))))
-
-
-class RandomFeatureSVM:
-    """M5 (approximation): RBF-kernel SVM ≈ linear SVM (hinge, regParam 1/n) on random Fourier
-    features; one-vs-rest for more than two classes; probability = softmax of the margins."""
-
-    def __init__(self, components: int = 100, seed: int = 42):
-        self.components, self.seed = components, seed
-
-    def fit(self, df: DataFrame) -> "RandomFeatureSVMModel":
-        rff = _RFF.fit(df, self.components, self.seed)
-        z = rff.transform(df)
-        n = z.count()
-        k = z.select("label").distinct().count()
-        svc = LinearSVC(featuresCol="rff", regParam=1.0 / max(n, 1), maxIter=100)
-        model = (svc if k <= 2 else OneVsRest(classifier=svc, featuresCol="rff")).fit(z)
-        return RandomFeatureSVMModel(rff, model)
-
-
-class RandomFeatureSVMModel:
-    def __init__(self, rff: _RFF, model):
-        self.rff, self.model = rff, model
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self.rff.transform(df))
-        raw = vector_to_array("rawPrediction")
-        mx = F.array_max(raw)
-        ex = F.transform(raw, lambda r: F.exp(r - mx))
-        tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-        return out.withColumn("probability", array_to_vector(F.transform(ex, lambda e: e / tot))).drop("rff")
-
-
-def _rff_save(model, path: str, overwrite: bool) -> None:
-    (model.model.write().overwrite() if overwrite else model.model.write()).save(f"{path}/linear")
-    _write_json(SparkSession.getActiveSession(), f"{path}/meta",
-                {"W": model.rff.W.tolist(), "b": model.rff.b.tolist(), "kind": type(model.model).__name__}, overwrite)
-
-
-def _rff_load(path: str):
-    import pyspark.ml.classification as C
-    import pyspark.ml.regression as R
-    meta = _read_json(SparkSession.getActiveSession(), f"{path}/meta")
-    cls = getattr(C, meta["kind"], None) or getattr(R, meta["kind"])
-    return _RFF(np.array(meta["W"]), np.array(meta["b"])), cls.load(f"{path}/linear")
-
-
-RandomFeatureSVMModel.write = lambda self: _Writer(lambda path, ow: _rff_save(self, path, ow))
-RandomFeatureSVMModel.load = classmethod(lambda cls, path: cls(*_rff_load(path)))
-
-
-class RandomFeatureSVR:
-    """M16 (approximation): ε-insensitive RBF SVR ≈ Huber-loss linear regression on random
-    Fourier features."""
-
-    def __init__(self, components: int = 100, seed: int = 42):
-        self.components, self.seed = components, seed
-
-    def fit(self, df: DataFrame) -> "RandomFeatureSVRModel":
-        rff = _RFF.fit(df, self.components, self.seed)
-        z = rff.transform(df)
-        n = z.count()
-        lr = LinearRegression(featuresCol="rff", loss="huber", regParam=1.0 / max(n, 1), maxIter=100)
-        return RandomFeatureSVRModel(rff, lr.fit(z))
-
-
-class RandomFeatureSVRModel(RandomFeatureSVMModel):
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self.rff.transform(df)).drop("rff")
