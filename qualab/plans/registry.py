@@ -58,7 +58,7 @@ def _load_all() -> None:
     # importing the check modules fills REGISTRY
     from qualab.plans import (checks_profile, checks_clean, checks_transform,  # noqa: F401
                               checks_validate, checks_features, checks_metrics, checks_runs,
-                              checks_models)
+                              checks_models, checks_trained)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
