@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualab.functions.columns import qcol
+from qualab.functions.hashing import group_sizes
 from qualab.functions.ranks import exact_quantiles_from_counts, value_counts
 
 
@@ -97,7 +98,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None,
 def duplicate_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """D1 headline: duplicate count, % of rows, number of groups, largest group."""
     keys = _subset(df, columns)
-    g = df.groupBy(*[qcol(c) for c in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    g = group_sizes(df, keys)
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
                  F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_rows"),
                  F.count_if(F.col("_n") > 1).cast("bigint").alias("n_groups"),
@@ -109,7 +110,7 @@ def duplicate_report(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def reduction_stats(df: DataFrame, columns: Sequence[str] | None = None, keep: str = "first") -> DataFrame:
     """Rows before, after, removed and % removed for a drop_duplicates call (one aggregate)."""
     keys = _subset(df, columns)
-    g = df.groupBy(*[qcol(c) for c in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    g = group_sizes(df, keys)
     after = F.count_if(F.col("_n") == 1) if keep == "none" else F.count(F.lit(1))
     s = g.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("before"), after.cast("bigint").alias("after"))
     return s.select("before", "after", (F.col("before") - F.col("after")).alias("removed"),

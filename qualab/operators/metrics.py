@@ -438,3 +438,22 @@ def run_metrics_long(classification: DataFrame | None = None, regression: DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --------------------------------------------------------------------------- E12
+def distributions(df: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(keys, series, value): real and predicted values as one long table."""
+    return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(s).alias("series"), _d(c).alias("value"))
+                                               for s, c in (("label", label), ("prediction", prediction))])))
+
+
+def distribution_histograms(df: DataFrame, keys: Sequence[str] = KEYS, bins: int = 30) -> DataFrame:
+    """(keys, series, bin, lower, upper, count) of real and predicted values, every model at once."""
+    from qualab.operators.profile import grouped_histogram
+    return grouped_histogram(distributions(df, keys), "value", [*keys, "series"], bins)
+
+
+def distribution_densities(df: DataFrame, keys: Sequence[str] = KEYS, gridsize: int = 200) -> DataFrame:
+    """(keys, series, i, x, density) of real and predicted values, every model at once."""
+    from qualab.operators.profile import density
+    return density(distributions(df, keys), "value", gridsize, keys=[*keys, "series"])

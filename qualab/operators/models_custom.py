@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
@@ -376,21 +377,47 @@ class AdaBoostSammeModel:
         return cls(stumps, meta["alphas"], meta["classes"])
 
 
+def poisson_draws(uniform: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The Poisson count of each uniform number in [0, 1) at its rate, by its distribution function; a rate above 500
+    is taken as 500 units and a sure rest."""
+    sure = np.floor(np.maximum(rate - 500.0, 0.0))
+    rate = rate - sure
+    count, term = np.zeros(len(rate), np.int64), np.exp(-rate)
+    total = term.copy()
+    while (more := uniform >= total).any() and count.max(initial=0) < 2000:
+        count[more] += 1
+        term = np.where(more, term * rate / np.maximum(count, 1), term)
+        total = np.where(more, total + term, total)
+    return count + sure.astype(np.int64)
+
+
 class AdaBoostR2:
-    """AdaBoost.R2 (linear loss) with depth-3 regression trees fitted on row weights
-    (the reference resamples by weight; weights are the distributed equivalent).  The
-    prediction is the weighted median of the trees, computed per row with array functions."""
+    """AdaBoost.R2 (linear loss) with depth-3 regression trees, each grown on rows drawn by weight: row i is taken
+    Poisson(n·w_i) times, from a hash of its key and the round, so draws are the same on any partitioning.  Errors and
+    weights are those of all rows.  The prediction is the weighted median of the trees, per row with array functions."""
 
     def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, seed: int = 42, checkpoint_every: int = 10):
         self.n, self.lr, self.seed, self.every = n_estimators, learning_rate, seed, checkpoint_every
 
+    def draws(self, data: DataFrame, n: int, turn: int) -> DataFrame:
+        """``data`` with ``times``: how often each row is drawn in round ``turn``."""
+
+        @F.pandas_udf("long")
+        def drawn(h: pd.Series, w: pd.Series) -> pd.Series:
+            uniform = (h.to_numpy().astype(np.uint64) >> np.uint64(11)) / float(1 << 53)
+            return pd.Series(poisson_draws(uniform, w.to_numpy() * n))
+
+        return data.withColumn("times", drawn(F.xxhash64(F.lit(self.seed), F.lit(turn), "key"), "w"))
+
     def fit(self, df: DataFrame) -> "AdaBoostR2Model":
         n = df.count()
-        data = df.select("features", "label", F.lit(1.0 / n).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+        key = F.col("row_key") if "row_key" in df.columns else F.xxhash64(vector_to_array("features"), F.col("label"))
+        data = df.select(key.alias("key"), "features", "label", F.lit(1.0 / max(n, 1)).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
         trees, weights = [], []
         for m in range(self.n):
-            tree = DecisionTreeRegressor(maxDepth=3, weightCol="w", seed=self.seed).fit(data)
-            scored = tree.transform(data).select("features", "label", "w",
+            drawn = self.draws(data, n, m).where("times > 0").withColumn("times", F.col("times").cast("double"))
+            tree = DecisionTreeRegressor(maxDepth=3, weightCol="times", seed=self.seed).fit(drawn)
+            scored = tree.transform(data).select("key", "features", "label", "w",
                                                  F.abs(F.col("label") - F.col("prediction")).alias("err"))
             mx = scored.agg(F.max("err")).first()[0]
             if mx is None or mx <= 0:
@@ -409,9 +436,9 @@ class AdaBoostR2:
             trees.append(tree)
             weights.append(self.lr * math.log(1 / beta))
             upd = F.col("w") * F.pow(F.lit(beta), (F.lit(1.0) - loss) * F.lit(self.lr))
-            new = scored.select("features", "label", upd.alias("w"))
+            new = scored.select("key", "features", "label", upd.alias("w"))
             tot = new.agg(F.sum("w")).first()[0]
-            data = _next_round(data, new.select("features", "label", (F.col("w") / F.lit(tot)).alias("w")), (m + 1) % self.every == 0)
+            data = _next_round(data, new.select("key", "features", "label", (F.col("w") / F.lit(tot)).alias("w")), (m + 1) % self.every == 0)
         data.unpersist()
         return AdaBoostR2Model(trees, weights)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from qualab.functions.columns import (as_double, as_text, clean_value, datetime_columns, epoch_seconds, is_datetime,
                                       is_numeric, is_text, kind_of, missing, numeric_columns,
                                       qcol, text_columns)
+from qualab.functions.hashing import group_sizes
 from qualab.functions.ranks import exact_quantiles_from_counts, value_counts
 from qualab.functions.shape import long_form, merge_single_rows
 
@@ -60,7 +61,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row ``duplicate_rows``: rows beyond the first of each identical group (NULL = NULL)."""
     cols = list(columns or df.columns)
-    groups = df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    groups = group_sizes(df, cols)
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
@@ -225,7 +226,7 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None,
 def duplicate_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A10 headline: duplicate count, %, and number of duplicate groups."""
     cols = [c for c in (columns or df.columns) if c in df.columns]
-    groups = df.groupBy(*[qcol(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    groups = group_sizes(df, cols)
     return groups.agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
         F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_rows"),
@@ -405,30 +406,62 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         (lo + (F.col("bin") + 1) * width).alias("upper"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def density(df: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
+DENSITY_CELLS = 1 << 14    # cells of the weight grid: the error is below (cell / bandwidth)^2 / 8 of the density
+DENSITY_REACH = 8.0        # bandwidths beyond which a Gaussian (1e-14 of its top) is left out
+
+
+def density(df: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0, keys: Sequence[str] = ()) -> DataFrame:
     """Gaussian KDE on a ``gridsize`` grid, Scott bandwidth std·n^(-1/5),
-    grid from min − cut·bw to max + cut·bw.
+    grid from min − cut·bw to max + cut·bw; of each group of ``keys``, where given.
 
-    Distinct values are pre-aggregated, each expanded over the fixed-size grid and summed
-    per grid point with map-side combining, so the shuffle carries ``gridsize`` rows per task.
-    """
+    Linear binning: each value's weight is dealt to the two nearest of ``DENSITY_CELLS`` cells, an aggregate that
+    Spark combines map-side, and the grid is convolved from the cells, so the work after the scan has a bound.
+    A group without spread has no density and no rows."""
+    v = as_double(column, df.schema[column].dataType)
+    # NULL keys are groups: one struct compares null-safely
+    group = F.struct(*[qcol(k) for k in keys]) if keys else F.lit(0)
+    vals = df.select(group.alias("_g"), v.alias("_v")).where(F.col("_v").isNotNull())
+    n, sd = F.count(F.lit(1)), F.stddev_samp("_v")
+    stats = vals.groupBy("_g").agg(n.alias("_n"), (sd * F.pow(n.cast("double"), F.lit(-0.2))).alias("_bw"),
+                                   F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where(F.col("_bw") > 0)
+    bw, cell = F.col("_bw"), (F.col("_hi") - F.col("_lo")) / F.lit(float(DENSITY_CELLS))
+    stats = stats.select("_g", "_n", "_bw", "_lo", cell.alias("_cell"), (F.col("_lo") - F.lit(cut) * bw).alias("_g0"),
+                         ((F.col("_hi") - F.col("_lo") + F.lit(2 * cut) * bw) / F.lit(float(gridsize - 1))).alias("_step"))
+    counts = vals.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    at = (F.col("_v") - F.col("_lo")) / F.col("_cell")
+    low = F.least(F.floor(at), F.lit(DENSITY_CELLS - 1))
+    part = at - low
+    dealt = counts.join(stats if keys else F.broadcast(stats), "_g").select("_g", F.inline(F.array(
+        F.struct(low.alias("_c"), (F.col("_w") * (F.lit(1.0) - part)).alias("_w")), F.struct((low + 1).alias("_c"), (F.col("_w") * part).alias("_w")))))
+    cells = dealt.groupBy("_g", "_c").agg(F.sum("_w").alias("_w")).where(F.col("_w") > 0)
+    center = F.col("_lo") + F.col("_c") * F.col("_cell")
+    first = F.greatest(F.ceil((center - F.lit(DENSITY_REACH) * bw - F.col("_g0")) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((center + F.lit(DENSITY_REACH) * bw - F.col("_g0")) / F.col("_step")), F.lit(gridsize - 1))
+    near = cells.join(stats if keys else F.broadcast(stats), "_g").where(first <= last).select(
+        "_g", "_w", center.alias("_x"), "_g0", "_step", "_bw", F.explode(F.sequence(first, last)).alias("i"))
+    z = (F.col("_g0") + F.col("i") * F.col("_step") - F.col("_x")) / bw
+    summed = near.groupBy("_g", "i").agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    grid = stats.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(gridsize - 1).cast("bigint"))).alias("i"))
+    return grid.join(summed, ["_g", "i"], "left").select(
+        *[F.col("_g")[k].alias(k) for k in keys], F.col("i").cast("int").alias("i"), (F.col("_g0") + F.col("i") * F.col("_step")).alias("x"),
+        (F.coalesce("_s", F.lit(0.0)) / (F.col("_n") * bw * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
+
+
+def grouped_histogram(df: DataFrame, column: str, keys: Sequence[str], bins: int = 30) -> DataFrame:
+    """A17 of each group of ``keys``: (keys, bin, lower, upper, count), all ``bins`` rows of every group."""
     v = as_double(column, df.schema[column].dataType)
-    vals = df.select(v.alias("value")).where(F.col("value").isNotNull())
-    stats = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"),
-                     F.min("value").alias("mn"), F.max("value").alias("mx"))
-    n = stats.select("n").scalar()
-    bw = stats.select(F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).scalar()
-    g0 = stats.select(F.col("mn")).scalar() - F.lit(cut) * bw
-    g1 = stats.select(F.col("mx")).scalar() + F.lit(cut) * bw
-    step = (g1 - g0) / F.lit(float(gridsize - 1))
-    counts = vals.groupBy("value").agg(F.count(F.lit(1)).alias("w"))
-    pts = counts.select("value", "w", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
-    x = g0 + F.col("i") * step
-    z = (x - F.col("value")) / bw
-    kern = F.col("w") * F.exp(F.lit(-0.5) * z * z)
-    summed = pts.groupBy("i").agg(F.sum(kern).alias("_s"))
-    return summed.select(F.col("i").cast("int").alias("i"), x.alias("x"),
-                         (F.col("_s") / (n * bw * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
+    vals = df.select(F.struct(*[qcol(k) for k in keys]).alias("_g"), v.alias("_v")).where(F.col("_v").isNotNull())
+    ends = vals.groupBy("_g").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    flat = F.col("_a") == F.col("_b")
+    ends = ends.select("_g", F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_lo"),
+                       F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    index = F.least(F.floor((F.col("_v") - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))), F.lit(bins - 1))
+    counts = vals.join(ends, "_g").groupBy("_g", index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    grid = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.join(counts, ["_g", "bin"], "left").select(
+        *[F.col("_g")[k].alias(k) for k in keys], "bin", (F.col("_lo") + F.col("bin") * width).alias("lower"),
+        (F.col("_lo") + (F.col("bin") + 1) * width).alias("upper"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def crosstab(df: DataFrame, row_col: str, col_col: str, values: Sequence | None = None) -> DataFrame:

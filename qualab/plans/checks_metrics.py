@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from qualab.operators import metrics as M
-from qualab.operators.profile import histogram
 from qualab.plans.fixtures import table
-from qualab.plans.registry import check, sql_union
+from qualab.plans.registry import check
 
 K = "run_id, model"
 
@@ -228,23 +228,35 @@ def e11r(spark, sf):
     return M.identity_range(table(spark, sf, "pred_reg"))
 
 
-def _sql_hist(series: str, expr: str) -> str:
-    return f"""
-SELECT '{series}' AS series, CAST(g.bin AS INTEGER) AS bin, lo + g.bin * ((hi - lo) / CAST(30 AS DOUBLE)) AS lower,
-       lo + (g.bin + 1) * ((hi - lo) / CAST(30 AS DOUBLE)) AS upper, coalesce(c.cnt, 0) AS count
-FROM (SELECT range AS bin FROM range(30)) AS g
-CROSS JOIN (SELECT min({expr}) AS lo, max({expr}) AS hi FROM pred_reg WHERE model = 'r_shift') AS b
-LEFT JOIN (SELECT CAST(least(floor(({expr} - lo) * (CAST(30 AS DOUBLE) / (hi - lo))), 29) AS BIGINT) AS bin, count(*) AS cnt
-           FROM pred_reg, (SELECT min({expr}) AS lo, max({expr}) AS hi FROM pred_reg WHERE model = 'r_shift') AS bb
-           WHERE model = 'r_shift' GROUP BY 1) AS c ON c.bin = g.bin"""
+SQL_SERIES = f"""
+v AS (SELECT {K}, 'label' AS series, label AS value FROM pred_reg UNION ALL SELECT {K}, 'prediction', prediction FROM pred_reg)"""
 
 
-@check("e12_distributions", fixtures=["pred_reg"], round_cols=["lower", "upper"],
-       sql=sql_union([_sql_hist("label", "label"), _sql_hist("prediction", "prediction")]))
+@check("e12_distributions", fixtures=["pred_reg"], round_cols=["lower", "upper"], sql=f"""
+WITH {SQL_SERIES}, b AS (SELECT {K}, series, min(value) AS lo, max(value) AS hi FROM v GROUP BY {K}, series),
+c AS (SELECT {K}, series, CAST(least(floor((value - lo) * (CAST(30 AS DOUBLE) / (hi - lo))), 29) AS BIGINT) AS bin, count(*) AS cnt
+      FROM v JOIN b USING (run_id, model, series) GROUP BY ALL)
+SELECT {K}, series, CAST(g.range AS INTEGER) AS bin, lo + g.range * ((hi - lo) / CAST(30 AS DOUBLE)) AS lower,
+       lo + (g.range + 1) * ((hi - lo) / CAST(30 AS DOUBLE)) AS upper, coalesce(cnt, 0) AS count
+FROM b CROSS JOIN range(30) AS g LEFT JOIN (SELECT {K}, series, bin AS range, cnt FROM c) AS c USING (run_id, model, series, range)""")
 def e12(spark, sf):
-    df = table(spark, sf, "pred_reg").where(F.col("model") == "r_shift")
-    return histogram(df, "label").select(F.lit("label").alias("series"), "*").unionByName(
-        histogram(df, "prediction").select(F.lit("prediction").alias("series"), "*"))
+    return M.distribution_histograms(table(spark, sf, "pred_reg"))
+
+
+@check("e12_densities", fixtures=["pred_reg"], round_cols=["x", "mass"], sql=f"""
+WITH {SQL_SERIES},
+p AS (SELECT {K}, series, count(*) AS n, stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw, min(value) AS mn, max(value) AS mx
+      FROM v GROUP BY {K}, series),
+g AS (SELECT *, mn - 3 * bw AS g0, (mx - mn + 6 * bw) / CAST(199 AS DOUBLE) AS step FROM p),
+w AS (SELECT {K}, series, value, count(*) AS w FROM v GROUP BY ALL)
+SELECT {K}, series, CAST(i.range AS INTEGER) AS i, g0 + i.range * step AS x,
+       step * sum(w * exp(-0.5 * ((g0 + i.range * step - value) / bw) * ((g0 + i.range * step - value) / bw))) / (n * bw * sqrt(2 * pi())) AS mass
+FROM w JOIN g USING (run_id, model, series), range(200) AS i GROUP BY {K}, series, i.range, g0, step, n, bw""")
+def e12d(spark, sf):
+    """The densities as mass per step of the grid, so that six decimals tell them apart; the oracle sums all kernels."""
+    out = M.distribution_densities(table(spark, sf, "pred_reg"))
+    step = F.max("x").over(Window.partitionBy("run_id", "model", "series")) - F.min("x").over(Window.partitionBy("run_id", "model", "series"))
+    return out.select("run_id", "model", "series", "i", "x", (F.col("density") * step / 199.0).alias("mass"))
 
 
 @check("e13_confusion_summary", fixtures=["pred_multi"], round_cols=["accuracy"], sql=f"""

@@ -262,24 +262,37 @@ def m7x(spark, sf):
 
 @check("m20_benchmark_ranking")
 def m20(spark, sf):
-    res = MO.benchmark(_docs_data(spark, sf), "clasificacion", "run_bench",
-                       models=["LogisticRegression", "DecisionTree", "GaussianNB"], cv_folds=5)
-    return res.run_metrics
+    """All classifiers, each with its cross-validation."""
+    return MO.benchmark(_docs_data(spark, sf), "clasificacion", "run_bench", cv_folds=5).run_metrics
 
 
-@check("m21_save_and_reload_predictions")
-def m21(spark, sf):
+@check("m20_benchmark_regression")
+def m20r(spark, sf):
+    """All regressors, each with its cross-validation."""
+    return MO.benchmark(_reg_data(spark, sf), "regresion", "run_bench_reg", cv_folds=5).run_metrics
+
+
+def _saved(spark, sf, run_id):
+    """All classifiers, trained and saved: the prepared data, (run_id, model, path, kind)."""
     data = _docs_data(spark, sf)
-    res = MO.benchmark(data, "clasificacion", "run_save", models=["LogisticRegression", "KNeighbors"], cv_folds=0)
-    paths = MO.save_models(res, f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}").collect()
-    frames = []
-    for r in paths:
-        model = MO.load_model(r["path"], r["kind"])
-        frames.append(MO.predictions_of(model, data.where(F.col("is_test")), "run_save", r["model"]))
+    res = MO.benchmark(data, "clasificacion", run_id, cv_folds=0)
+    return data, MO.save_models(res, f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}")
+
+
+@check("m21_save_and_reload_predictions", sql="""
+WITH m AS (SELECT unnest(['LogisticRegression', 'DecisionTree', 'RandomForest', 'GradientBoosting', 'SVC', 'KNeighbors', 'GaussianNB', 'AdaBoost']) AS model)
+SELECT 'run_save' AS run_id, model, CAST(doc_id AS VARCHAR) AS row_key, CAST(quality AS DOUBLE) AS label, true AS has_prediction
+FROM m, labels JOIN documents USING (doc_id)
+WHERE CAST(('0x' || substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) / 4294967296.0 < 0.2""")
+def m21(spark, sf):
+    """Every saved model is loaded again and predicts every test row a class."""
+    data, paths = _saved(spark, sf, "run_save")
+    frames = [MO.predictions_of(MO.load_model(r["path"], r["kind"]), data.where(F.col("is_test")), "run_save", r["model"])
+              for r in paths.collect()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out
+    return out.select("run_id", "model", "row_key", "label", F.col("prediction").isin(0.0, 1.0).alias("has_prediction"))
 
 
 # =========================================================================== attribution
@@ -360,11 +373,9 @@ def x1p(spark, sf):
                               permutations=32)
 
 
-@check("v13_artefacts_available")
+@check("v13_artefacts_available", sql="SELECT 'run_art' AS run_id, count(DISTINCT quality) * 4 AS n_available, 8 AS n_models FROM labels")
 def v13(spark, sf):
-    res = MO.benchmark(_docs_data(spark, sf), "clasificacion", "run_art", models=["GaussianNB", "DecisionTree"], cv_folds=0)
-    arts = MO.save_models(res, f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}")
-    return R.artefacts_available(arts)
+    return R.artefacts_available(_saved(spark, sf, "run_art")[1])
 
 
 @check("c11_analyze_model")

@@ -1,6 +1,10 @@
 """Parquet-backed stores: dataset catalog (S4-S8), run history (H1-H8), audit log, reports.
 
-Every store is an append-only Parquet table under one root folder on shared storage.
+Every store is a table under one root folder on shared storage, made of parts and a manifest.  A write puts its
+rows into a part of its own, then publishes the part with one manifest row, a single small file that is there or
+not: readers see whole writes only, and writers never touch each other's files.  ``compact`` merges the parts of a
+table into one and publishes a manifest row that adds it and takes the merged ones away; it counts only if all of
+these are still there in the order of the manifest, so of two compactions of the same parts one wins.
 Deletes append a tombstone row; readers take the latest event per id.  No database, no
 driver-side state: a lookup is a filtered scan.
 """
@@ -12,6 +16,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +33,7 @@ AUDIT_SCHEMA = ("user_id string, action string, entity string, entity_id string,
                 "created_at timestamp_ntz, session_id string, event_date date")
 REPORT_SCHEMA = ("report_id string, name string, kind string, created_at timestamp_ntz, user_id string, "
                  "session_id string, run_id string, dataset string, section string, item string, value string")
+MANIFEST_SCHEMA = "created_at timestamp_ntz, added array<string>, removed array<string>"
 
 
 def _now() -> dt.datetime:
@@ -45,27 +51,76 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        hconf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
-        return p.getFileSystem(hconf), jvm
+    def _read(self, schema: str | None, *paths: str) -> DataFrame | None:
+        """The Parquet files below ``paths``, or None where there are none."""
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        try:
+            return reader.parquet(*paths)
+        except AnalysisException as missing:
+            if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
 
-    def _exists(self, path: str) -> bool:
-        fs, jvm = self._fs()
-        return fs.exists(jvm.org.apache.hadoop.fs.Path(path))
+    def _history(self, name: str) -> tuple[list[str], list[tuple[str, dt.datetime]]]:
+        """The table's live parts, oldest first, and the dead ones (merged, or of a compaction that lost) with the time."""
+        manifest = self._read(f"{MANIFEST_SCHEMA}, commit string", self.path(f"{name}/manifest"))
+        live: dict[str, None] = {}
+        dead = []
+        for row in manifest.orderBy("created_at", "commit").collect() if manifest is not None else []:
+            won = all(part in live for part in row["removed"])
+            if won:
+                for part in row["removed"]:
+                    del live[part]
+                live.update(dict.fromkeys(row["added"]))
+            dead += [(part, row["created_at"]) for part in (row["removed"] if won else row["added"])]
+        return list(live), dead
+
+    def parts(self, name: str) -> list[str]:
+        """The table's parts, oldest first: one manifest row a write, so the list is short after ``compact``."""
+        return self._history(name)[0]
+
+    def _publish(self, name: str, added: Sequence[str], removed: Sequence[str] = ()) -> None:
+        # a folder of its own: Spark's writers to one folder take each other's temporary files away
+        row = self._rows([(_now(), list(added), list(removed))], MANIFEST_SCHEMA)
+        row.coalesce(1).write.parquet(self.path(f"{name}/manifest/commit=c{uuid.uuid4().hex}"))
 
     def table(self, name: str, schema: str) -> DataFrame:
         """Current contents of a store table (empty with the right schema when absent)."""
-        if not self._exists(self.path(name)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        return self._rows_of(name, schema, self.parts(name))
+
+    def _rows_of(self, name: str, schema: str, parts: Sequence[str]) -> DataFrame:
+        empty = self.spark.createDataFrame([], schema)
+        if not parts:
+            return empty
+        rows = self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*[self.path(f"{name}/{p}") for p in parts])
+        return rows.select(*empty.columns)
 
     def append(self, name: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        w = rows.write.mode("append")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(self.path(name))
+        part = f"part=p{uuid.uuid4().hex}"
+        rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(self.path(f"{name}/{part}"))
+        self._publish(name, [part])
+
+    def compact(self, name: str, schema: str, partition_by: Sequence[str] = (), files: int = 1) -> bool:
+        """Merges the table's parts into one of about ``files`` files; False where there is nothing to merge or another
+        compaction came first.  Readers of the merged parts go on undisturbed until ``sweep``."""
+        old = self.parts(name)
+        if len(old) < 2:
+            return False
+        part = f"part=p{uuid.uuid4().hex}"
+        self._rows_of(name, schema, old).coalesce(files).write.mode("errorifexists").partitionBy(*partition_by).parquet(self.path(f"{name}/{part}"))
+        self._publish(name, [part], old)
+        return part in self.parts(name)
+
+    def sweep(self, name: str, schema: str, older_than: dt.timedelta = dt.timedelta(days=1)) -> int:
+        """Takes the rows of parts away that have been dead for ``older_than``; how many parts."""
+        dead = [part for part, since in self._history(name)[1] if _now() - since >= older_than]
+        for part in dead:
+            self._empty(self.path(f"{name}/{part}"), schema)
+        return len(dead)
+
+    def _empty(self, path: str, schema) -> None:
+        """Takes the rows below ``path`` away (an empty file stays)."""
+        self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
 
     def _rows(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -84,8 +139,7 @@ class Store:
                              DATASET_SCHEMA)
             self.append("catalog_datasets", row)
         except Exception:
-            fs, jvm = self._fs()
-            fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+            self._empty(path, df.schema)
             raise
         return ds_id
 
@@ -106,20 +160,19 @@ class Store:
     def load_dataset(self, ds_id: str) -> DataFrame | None:
         """The stored table, or None when the id or its files are missing."""
         row = self.dataset(ds_id).select("path").first()
-        if row is None or not self._exists(row["path"]):
-            return None
-        return self.spark.read.parquet(row["path"])
+        return None if row is None else self._read(None, row["path"])
 
     def delete_dataset(self, ds_id: str) -> bool:
-        """Remove the files and append a delete event."""
+        """Append a delete event, then take the rows away: a reader never finds a listed dataset empty."""
         row = self.dataset(ds_id).first()
         if row is None:
             return False
-        fs, jvm = self._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(row["path"]), True)
         tomb = self._rows([(ds_id, row["name"], row["description"], _now(), row["user_id"], row["path"],
                             row["n_rows"], row["n_columns"], "delete")], DATASET_SCHEMA)
         self.append("catalog_datasets", tomb)
+        stored = self._read(None, row["path"])
+        if stored is not None:
+            self._empty(row["path"], stored.schema)
         return True
 
     # ------------------------------------------------------------------ H1-H8 runs

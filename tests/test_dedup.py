@@ -50,3 +50,20 @@ def test_reduction_stats(spark):
     r = D.reduction_stats(df, ["k", "g"]).first()
     assert (r["before"], r["after"], r["removed"]) == (6, 3, 3)
     assert D.reduction_stats(df.limit(0), ["k"]).first()["removed_pct"] == 0.0
+
+
+def test_fingerprints_tell_rows_apart_as_a_group_by_does(spark):
+    from pyspark.sql import functions as F
+    from qualab.functions.hashing import group_sizes
+    from qualab.operators import profile as P
+
+    nan = float("nan")
+    rows = [(None, "a", 0.0, [1]), ("a", None, -0.0, [1]), ("a", None, 0.0, [1]), (None, None, nan, None), (None, None, nan, None),
+            (None, None, None, None), ("", "a", 0.0, [1]), (None, "a", 0.0, [1, None]), ("null", "a", 0.0, [1])] * 2 + [("x", "y", 1.5, [])]
+    df = spark.createDataFrame(rows, "a string, b string, c double, d array<int>")
+    want = sorted(r["count"] for r in df.groupBy("a", "b", "c", "d").count().collect())
+    assert sorted(r["_n"] for r in group_sizes(df, df.columns).collect()) == want
+    assert P.duplicate_count(df).first()[0] == sum(n - 1 for n in want)
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 50).alias("text"))
+    plan = P.duplicate_count(wide)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_groupingexpression" in plan and "hashpartitioning(id" not in plan

@@ -49,3 +49,65 @@ def test_adaboost_samme_learns(spark):
     m = MC.AdaBoostSamme(n_estimators=8, checkpoint_every=4).fit(df)
     acc = m.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert acc > 0.85
+
+
+def test_adaboost_r2_equals_numpy_with_the_same_draws(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, size=(150, 2)).astype(float)      # fewer values than bins: the trees are exact
+    y = 5 * np.sin(x[:, 0]) + x[:, 1] + rng.normal(size=150)
+    df = spark.createDataFrame(pd.DataFrame({"row_key": [f"{i:03d}" for i in range(150)], "x": [list(map(float, r)) for r in x], "label": y})) \
+              .select("row_key", array_to_vector("x").alias("features"), "label")
+    boost = MC.AdaBoostR2(n_estimators=4, checkpoint_every=2)
+    model = boost.fit(df)
+
+    def depth3(rows, w, at, depth=0):
+        """Predictions of the places ``at``: splits halfway between values that were drawn, the lowest of equals."""
+        mean = np.average(y[rows], weights=w[rows])
+        best = None
+        if depth < 3 and len(set(y[rows])) > 1:
+            for j in range(2):
+                values = np.unique(x[np.flatnonzero(w), j])
+                for t in (values[:-1] + values[1:]) / 2:
+                    left = rows[x[rows, j] <= t]
+                    right = rows[x[rows, j] > t]
+                    if len(left) and len(right):
+                        gain = sum((w[r] * (y[r] - mean)).sum() ** 2 / w[r].sum() for r in (left, right))
+                        if best is None or gain > best[0] + 1e-9:
+                            best = (gain, j, t, left, right)
+        out = np.full(len(at), mean)
+        if best is not None:
+            _, j, t, left, right = best
+            goes_left = x[at, j] <= t
+            out[goes_left] = depth3(left, w, at[goes_left], depth + 1)
+            out[~goes_left] = depth3(right, w, at[~goes_left], depth + 1)
+        return out
+
+    w = np.full(150, 1 / 150)
+    keyed = df.select(F.col("row_key").alias("key"))
+    preds, alphas = [], []
+    for turn in range(4):
+        weighted = keyed.join(spark.createDataFrame([(f"{i:03d}", float(v)) for i, v in enumerate(w)], "key string, w double"), "key")
+        times = np.array([r["times"] for r in boost.draws(weighted, 150, turn).orderBy("key").collect()])
+        assert 100 < times.sum() < 200
+        p = depth3(np.flatnonzero(times), times.astype(float), np.arange(150))
+        loss = np.abs(y - p) / np.abs(y - p).max()
+        avg = (w * loss).sum()
+        assert avg < 0.5
+        beta = avg / (1 - avg)
+        preds.append(p)
+        alphas.append(math.log(1 / beta))
+        w = w * beta ** (1 - loss)
+        w /= w.sum()
+    assert np.allclose(model.weights, alphas, rtol=1e-6)
+    order = np.argsort(np.array(preds), axis=0)
+    half = np.cumsum(np.array(alphas)[order], axis=0) >= 0.5 * sum(alphas)
+    want = np.take_along_axis(np.array(preds), np.take_along_axis(order, half.argmax(axis=0)[None], axis=0), axis=0)[0]
+    got = model.transform(df).orderBy("row_key").toPandas()["prediction"]
+    assert np.allclose(got, want)
+
+
+def test_poisson_draws_have_their_rate():
+    u = np.random.default_rng(4).random(40000)
+    for rate in (0.1, 1.0, 30.0, 900.0):
+        d = MC.poisson_draws(u, np.full(40000, rate))
+        assert abs(d.mean() / rate - 1) < 0.05 and d.min() >= 0
