@@ -47,7 +47,24 @@ def shap(spark, sf):
     data, state = MO.prepare_model_data(docs, "n_chars", "regresion", ["doc_id"])
     train = data.where(~F.col("is_test"))
     model = MO.make_estimator("LinearRegression", "regresion", 1).fit(train)
-    return X.permutation_shap(model, data.where(F.col("is_test")), state["features"], train, permutations=8)
+    return X.permutation_shap(model, data.where(F.col("is_test")), state["features"], train, permutations=32)
+
+
+def tree_shap(spark, sf):
+    data = model_data(spark, sf)
+    train = data.where(~F.col("is_test"))
+    model = MO.make_estimator("RandomForest", "regresion", 1).fit(train)
+    names = [f"f{i}" for i in range(len(train.select("features").first()[0]))]
+    return X.explain(model, data.where(F.col("is_test")), names, train, background_rows=50)
+
+
+def cv(spark, sf):
+    """Five folds of the linear model; a fold without a score stays NULL."""
+    train = C.assign_folds(model_data(spark, sf).where(~F.col("is_test")), ["row_key"]).persist()
+    est = MO.make_estimator("LinearRegression", "regresion", 1)
+    scores = C.cv_scores(train, lambda a, b: MO.score_of(MO.predictions_of(est.fit(a), b, "bench", "lr"), "regresion"))
+    train.unpersist()
+    return spark.createDataFrame(scores, "fold int, score double")
 
 
 def headline(spark, sf):
@@ -73,6 +90,8 @@ def headline(spark, sf):
         "m9_fit_linear_regression": lambda: fit(spark, sf, "LinearRegression"),
         "m17_knn_regression": lambda: fit(spark, sf, "KNeighbors"),
         "x1_permutation_shap": lambda: shap(spark, sf),
+        "x1_tree_shap_forest": lambda: tree_shap(spark, sf),
+        "c2_cv_scores": lambda: cv(spark, sf),
         "c2_cv_summary": lambda: C.cv_summary(RF.fold_scores(spark, sf)),
     }
 

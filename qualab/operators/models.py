@@ -24,7 +24,7 @@ from qualab.functions.columns import is_numeric, is_text, qcol
 from qualab.functions.hashing import row_key
 from qualab.operators import features as FE
 from qualab.operators import metrics as M
-from qualab.functions.pool import PARALLELISM
+from qualab.functions.pool import PARALLELISM, run_jobs
 from qualab.operators.kernel import KernelSVC, KernelSVR
 from qualab.operators.scores import class_scores
 from qualab.operators.trees import DeepTrees
@@ -237,7 +237,8 @@ def train_one(name: str, est, data: DataFrame, run_id: str, problem_type: str, c
 def benchmark(data: DataFrame, problem_type: str, run_id: str, models: Sequence[str] | None = None,
               cv_folds: int = 5, seed: int = SEED, parallelism: int = PARALLELISM) -> BenchmarkResult:
     """Train every model of the problem type on the persisted prepared data, sort by
-    accuracy / r2 (descending), and return the long metrics, predictions and failures.  The
+    accuracy / r2 (descending), and return the long metrics, predictions and failures.
+    ``parallelism`` models are trained at once, so ``train_seconds`` are those of shared executors.  The
     predictions are lazy and read ``data`` again: call ``release()`` once they have been used."""
     spark = data.sparkSession
     names = list(models or (CLASSIFICATION_MODELS if problem_type == "clasificacion" else REGRESSION_MODELS))
@@ -245,13 +246,17 @@ def benchmark(data: DataFrame, problem_type: str, run_id: str, models: Sequence[
     stats = data.agg(F.count_if(~F.col("is_test")).alias("n"), F.countDistinct("label").alias("k")).first()
     res = BenchmarkResult(run_id, problem_type, None, None, data=data)
     metric_rows, pred_frames = [], []
-    for name in names:
-        try:
-            est = make_estimator(name, problem_type, stats["n"], stats["k"], seed)
-        except Exception as e:  # noqa: BLE001
-            res.failures.append((name, str(e)))
-            continue
-        model, preds, row, err = train_one(name, est, data, run_id, problem_type, cv_folds, seed, parallelism)
+
+    def job(name: str):
+        def run():
+            try:
+                est = make_estimator(name, problem_type, stats["n"], stats["k"], seed)
+            except Exception as e:  # noqa: BLE001
+                return None, None, None, str(e)
+            return train_one(name, est, data, run_id, problem_type, cv_folds, seed, parallelism=1)
+        return run
+
+    for name, (model, preds, row, err) in zip(names, run_jobs(spark, [job(n) for n in names], parallelism)):
         if err:
             res.failures.append((name, err))
             continue
