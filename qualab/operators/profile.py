@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,7 +248,7 @@ def top_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .select("col_name", "n_distinct", F.col("_b.v").alias("top"), (-F.col("_b.nw")).alias("top_freq"))
 
 
-def column_stats(df: DataFrame) -> DataFrame:
+def column_stats(df: DataFrame, vp: DataFrame | None = None) -> DataFrame:
     """One row per column with common, numeric, text and datetime statistics.
 
     Everything derives from one value profile (one scan, one shuffle): nulls and distinct
@@ -258,7 +259,7 @@ def column_stats(df: DataFrame) -> DataFrame:
     num = [c for c in cols if is_numeric(schema[c].dataType)]
     txt = [c for c in cols if is_text(schema[c].dataType)]
     dts = [c for c in cols if is_datetime(schema[c].dataType)]
-    vp = value_profile(df)
+    vp = vp if vp is not None else value_profile(df)
     pc = profile_counts(vp).select("col_name", "nulls", "n_distinct",
                                    (F.col("nulls") / F.col("n_rows") * 100.0).alias("null_pct"))
     kinds = df.sparkSession.createDataFrame(
@@ -296,9 +297,12 @@ def column_stats(df: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- A12, A13
-def quality_score(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+def quality_score(df: DataFrame, approx_distinct: bool = False, vp: DataFrame | None = None) -> DataFrame:
     """0-100 score = completeness (40) + duplicates (30) + outliers (30) and its grade."""
-    vp = None if approx_distinct else value_profile(df)
+    if approx_distinct:
+        vp = None
+    elif vp is None:
+        vp = value_profile(df)
     m = basic_metrics(df, approx_distinct, vp)
     o = outliers(df, "iqr", 1.5, vp=vp).agg(F.avg("outlier_pct").alias("mean_outlier_pct"))
     one = merge_single_rows(m, o)
@@ -322,11 +326,12 @@ def quality_score(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
 
 def quality_findings(df: DataFrame) -> DataFrame:
     """Rule table (severity, rule, value); 'no_issues' when at most one finding fired."""
+    vp = value_profile(df)       # one profile: outliers and score reuse its exchange
     nulls = nulls_by_column(df).agg(
         F.count_if(F.col("pct") > 50).alias("n_over_50"),
         F.count_if((F.col("pct") > 20) & (F.col("pct") <= 50)).alias("n_20_50"))
-    outl = outliers(df, "iqr", 1.5).agg(F.count_if(F.col("outlier_pct") > 5).alias("n_outlier_cols"))
-    score = quality_score(df).select("grade", "duplicate_pct")
+    outl = outliers(df, "iqr", 1.5, vp=vp).agg(F.count_if(F.col("outlier_pct") > 5).alias("n_outlier_cols"))
+    score = quality_score(df, vp=vp).select("grade", "duplicate_pct")
     one = merge_single_rows(nulls, outl, score)
     sev = (F.when(F.col("grade") == "Deficiente", "error").when(F.col("grade") == "Regular", "warning")
            .when(F.col("grade") == "Buena", "info").otherwise("success"))
@@ -547,26 +552,32 @@ def eda_findings(df: DataFrame) -> DataFrame:
     return head.unionByName(sk)
 
 
-def quality_bundle(df: DataFrame) -> dict[str, DataFrame]:
-    """The profiling tables persisted for the report, by section name."""
+def quality_bundle(df: DataFrame, vp: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The profiling tables persisted for the report, by section name, from one value profile."""
+    vp = vp if vp is not None else value_profile(df)
     return {
-        "global": quality_score(df),
+        "global": quality_score(df, vp=vp),
         "nulls": nulls_by_column(df),
         "duplicates": duplicate_summary(df),
-        "outliers": outliers(df, "iqr", 1.5),
-        "columns": column_stats(df),
+        "outliers": outliers(df, "iqr", 1.5, vp=vp),
+        "columns": column_stats(df, vp),
     }
 
 
 def write_quality_bundle(df: DataFrame, path: str, run_id: str) -> None:
-    """Write every section as JSON rows into one ``quality`` dataset partitioned by section."""
+    """Write every section as JSON rows into one ``quality`` dataset partitioned by section.  The value profile
+    is computed once and kept until the sections are written."""
+    vp = value_profile(df).persist(StorageLevel.MEMORY_AND_DISK)
     parts = [t.select(F.lit(run_id).alias("run_id"), F.lit(name).alias("section"),
                       F.to_json(F.struct(*[qcol(c) for c in t.columns])).alias("payload"))
-             for name, t in quality_bundle(df).items()]
+             for name, t in quality_bundle(df, vp).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out.write.mode("append").partitionBy("run_id", "section").parquet(path)
+    try:
+        out.write.mode("append").partitionBy("run_id", "section").parquet(path)
+    finally:
+        vp.unpersist()
 
 
 def load_validation(df: DataFrame) -> DataFrame:
