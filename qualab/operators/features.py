@@ -109,15 +109,15 @@ def cap_categories(df: DataFrame, column: str, k: int = MAX_CATEGORIES, other: s
 
 
 def one_hot(df: DataFrame, column: str, categories: Sequence | None = None, drop_first: bool = True,
-            dummy_na: bool = True) -> DataFrame:
+            dummy_na: bool = True, max_categories: int = MAX_ONE_HOT) -> DataFrame:
     """0/1 integer columns ``{column}_{value}`` for the sorted categories (first dropped) and
     ``{column}_nan`` for NULL; the source column is removed.  Categories come from the data
-    (bounded after :func:`cap_categories`) unless given."""
+    (bounded after :func:`cap_categories`; more than ``max_categories`` are refused) unless given."""
     if categories is None:
         found = df.where(qcol(column).isNotNull()).select(qcol(column)).distinct() \
-                  .orderBy(qcol(column)).limit(MAX_ONE_HOT + 1).collect()
-        if len(found) > MAX_ONE_HOT:
-            raise ValueError(f"{column} has more than {MAX_ONE_HOT} categories; cap it first")
+                  .orderBy(qcol(column)).limit(max_categories + 1).collect()
+        if len(found) > max_categories:
+            raise ValueError(f"{column} has more than {max_categories} categories; cap it first")
         categories = [r[0] for r in found]
     cats = sorted(categories)
     if drop_first and cats:
@@ -261,12 +261,12 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
     return df.withColumns({c: (qcol(c).cast("double") - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()})
 
 
-def fit_labels(df: DataFrame, target: str) -> list:
-    """F9 fit: sorted class labels (few: validated ≤ 10 upstream; refused above MAX_ONE_HOT)."""
+def fit_labels(df: DataFrame, target: str, max_classes: int = MAX_ONE_HOT) -> list:
+    """F9 fit: sorted class labels (few: validated ≤ 10 upstream; refused above ``max_classes``)."""
     found = df.where(qcol(target).isNotNull()).select(qcol(target)).distinct() \
-              .orderBy(qcol(target)).limit(MAX_ONE_HOT + 1).collect()
-    if len(found) > MAX_ONE_HOT:
-        raise ValueError(f"{target} has more than {MAX_ONE_HOT} classes")
+              .orderBy(qcol(target)).limit(max_classes + 1).collect()
+    if len(found) > max_classes:
+        raise ValueError(f"{target} has more than {max_classes} classes")
     return [r[0] for r in found]
 
 

@@ -306,6 +306,21 @@ def a25(spark, sf):
     return spark.read.parquet(path).groupBy("run_id", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
+@check("a25_quality_bundle_values", fixtures=["dirty_orders"], round_cols=["value"], sql=f"""
+WITH s AS ({sql_quality_score('dirty_orders', DO_ALL, DO_NUM)}), nb AS ({sql_nulls_by_column('dirty_orders', DO_ALL)})
+SELECT 'global' AS section, 'score' AS item, score AS value FROM s
+UNION ALL SELECT 'nulls', col_name, CAST(nulls AS DOUBLE) FROM nb""")
+def a25_values(spark, sf):
+    """What the written bundle holds, read again: the score and each column's missing values."""
+    path = f"{ensure_checkpoint_dir(spark)}/quality-{uuid.uuid4().hex}"
+    P.write_quality_bundle(table(spark, sf, "dirty_orders"), path, "run_q")
+    of = lambda name: F.get_json_object("payload", f"$.{name}")
+    rows = spark.read.parquet(path).where(F.col("section").isin("global", "nulls"))
+    score = F.col("section") == "global"
+    return rows.select("section", F.when(score, F.lit("score")).otherwise(of("col_name")).alias("item"),
+                       F.when(score, of("score")).otherwise(of("nulls")).cast("double").alias("value"))
+
+
 @check("h3_run_by_id", fixtures=FX, round_cols=["value"], sql=RF.with_run_tables("""
 SELECT r.run_id, r.problem_type, r.target, m.model, m.metric, m.value
 FROM runs AS r JOIN run_metrics AS m ON m.run_id = r.run_id WHERE r.run_id = 'run_bin' AND m.model = 'm_mixed'"""))
