@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -321,6 +322,32 @@ def a25_values(spark, sf):
                        F.when(score, of("score")).otherwise(of("nulls")).cast("double").alias("value"))
 
 
+@check("h7_latest_configs", sql="""
+SELECT r_name AS target, ['p' || CAST(r_regionkey AS VARCHAR), r_name] AS predictors, CAST(0.2 AS DOUBLE) AS test_size
+FROM region ORDER BY r_regionkey DESC LIMIT 3""")
+def h7(spark, sf):
+    """One configuration a region, each saved by a write of its own; the newest three of the user."""
+    st = _stores(spark)
+    first = dt.datetime(2024, 1, 1)
+    for r in table(spark, sf, "region").collect():
+        st.save_config({"user_id": "u1" if r["r_regionkey"] >= 0 else None, "created_at": first + dt.timedelta(days=r["r_regionkey"]),
+                        "problem_type": "regresion", "target": r["r_name"], "predictors": [f"p{r['r_regionkey']}", r["r_name"]], "test_size": 0.2})
+    st.save_config({"user_id": "u2", "created_at": first + dt.timedelta(days=99), "target": "other"})
+    return latest(st.configs(), user_id="u1", n=3).select("target", "predictors", "test_size")
+
+
+@check("s3_guard_empty_input", sql="""
+SELECT status, count(o_orderkey) = 0 AS empty, count(o_orderkey) AS n_rows
+FROM (SELECT unnest(['F', 'O', 'P', 'none']) AS status) AS s LEFT JOIN orders ON o_orderstatus = status GROUP BY status""")
+def s3(spark, sf):
+    """The guard lets inputs with rows pass and turns an empty one into an error record."""
+    rows = []
+    for status in ("F", "O", "P", "none"):
+        df, error = S.guard_empty(table(spark, sf, "orders").where(F.col("o_orderstatus") == status))
+        rows.append((status, error is not None and error["error"] == "empty_input", 0 if df is None else df.count()))
+    return spark.createDataFrame(rows, "status string, empty boolean, n_rows long")
+
+
 @check("h3_run_by_id", fixtures=FX, round_cols=["value"], sql=RF.with_run_tables("""
 SELECT r.run_id, r.problem_type, r.target, m.model, m.metric, m.value
 FROM runs AS r JOIN run_metrics AS m ON m.run_id = r.run_id WHERE r.run_id = 'run_bin' AND m.model = 'm_mixed'"""))

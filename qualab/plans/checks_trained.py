@@ -106,6 +106,19 @@ def m2_tree(spark, sf):
     return out.select("l_quantity", "l_discount", "l_tax", "prediction").distinct()
 
 
+@check("m8_samme_first_round", sql="""
+SELECT l_linestatus, CAST(sum(c) AS BIGINT) AS n, CAST(arg_max(label, c * 10 - label) AS DOUBLE) AS prediction FROM (
+  SELECT l_linestatus, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label, count(*) AS c
+  FROM lineitem GROUP BY l_linestatus, l_returnflag) AS g GROUP BY l_linestatus""")
+def m8_first(spark, sf):
+    """One round of SAMME on one 0/1 feature: the stump can only split there, so each side predicts its most frequent class."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_linestatus", array_to_vector(F.array((F.col("l_linestatus") == "F").cast("double"))).alias("features"),
+        F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0).alias("label"))
+    out = MC.AdaBoostSamme(n_estimators=1).fit(rows).transform(rows)
+    return out.groupBy("l_linestatus", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _explained(spark, sf, name):
     """A model of document quality, its test rows and their Shapley values."""
     docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
