@@ -3,7 +3,8 @@
 A text is marked (space becomes U+2581, one is put in front) and cut into marked words: a run of marks with
 what follows it.  No piece reaches across such a cut, so words are encoded on their own.  The distinct words
 of a chunk are sorted - a trie in preorder - and walked depth-first: the forward table of a word's prefix
-(one entry per character) is kept on a stack and reused by every word that shares the prefix.
+(one entry per character) is kept on a stack and reused by every word that shares the prefix.  The pieces that
+end a prefix come from an automaton over the pieces, one step per character.
 
 The forward entry depends on the model.  *unigram*: the best score of the prefix and its last piece
 (Viterbi).  *bpe*: the one last piece that byte-pair merging leaves at the end of the prefix; a
@@ -50,18 +51,39 @@ class Codec:
         split_lines = not any("\n" in p for p in pieces)
         assert not any(MARK in p.lstrip(MARK) for p in pieces), "a piece has a mark inside"
         self.word = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if split_lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.apart: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        # pieces by their characters from the last to the first, so that the pieces that end a prefix are
-        # found without trying all lengths; those that merging never makes are left out
-        self.endings: dict = {}
+        self.known_pairs = 0
+        self.encoded = {p: array("i", [i]).tobytes() for p, (i, _) in pieces.items()}
+        # pieces of two or more characters as an automaton: the state after a prefix is the longest of its
+        # endings with which a piece begins, and lists the pieces that end there, longest first, each with its
+        # length and the pieces known to stay apart from it or not; pieces that merging never makes are left out
+        self.step: list[dict[str, int]] = [{}]
+        self.shorter, self.ends = [0], [()]
         for p in pieces:
             if len(p) > 1 and (kind != "bpe" or self.merged(p) == [p]):
-                node = self.endings
-                for c in reversed(p):
-                    node = node.setdefault(c, {})
-                node[""] = p
+                state = 0
+                for c in p:
+                    if c not in self.step[state]:
+                        self.step[state][c] = len(self.step)
+                        self.step.append({})
+                        self.shorter.append(0)
+                        self.ends.append(())
+                    state = self.step[state][c]
+                self.ends[state] = ((p, len(p), {}),)
+        level = list(self.step[0].values())
+        while level:
+            for state in level:
+                self.ends[state] += self.ends[self.shorter[state]]
+                for c, longer in self.step[state].items():
+                    self.shorter[longer] = self._after(self.shorter[state], c)
+            level = [longer for state in level for longer in self.step[state].values()]
+
+    def _after(self, state: int, c: str) -> int:
+        """The state after one more character."""
+        while (longer := self.step[state].get(c)) is None and state:
+            state = self.shorter[state]
+        return longer or 0
 
     @classmethod
     def load(cls, model_file: str, kind: str = "bpe") -> Codec:
@@ -73,50 +95,46 @@ class Codec:
         return cls({sp.id_to_piece(i): (i, sp.get_score(i)) for i in named}, [i for i in ids if sp.is_byte(i)],
                    sp.unk_id(), kind)
 
-    def merged(self, text: str) -> list[str]:
-        """Byte-pair merging as it is defined: the best pair first, the leftmost of equal ones."""
+    def merged(self, text: str, cut: int = 0) -> list[str] | None:
+        """Byte-pair merging as it is defined: the best pair first, the leftmost of equal ones.
+
+        None as soon as a merge reaches across the character place ``cut``.
+        """
+        pieces = self.pieces
         parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.pieces[a + b][1], -k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.pieces),
-                       default=None)
-            if best is None:
-                break
-            k = -best[1]
+        scores = [pieces[x][1] if (x := a + b) in pieces else None for a, b in zip(parts, parts[1:])]
+        left = cut - 1  # the part before the cut: its right neighbour lies behind it
+        while (best := max((x for x in scores if x is not None), default=None)) is not None:
+            k = scores.index(best)
+            if k == left:
+                return None
+            left -= k < left
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            for i in (k - 1, k):
+                if 0 <= i < len(scores):
+                    x = parts[i] + parts[i + 1]
+                    scores[i] = pieces[x][1] if x in pieces else None
         return parts
 
-    def _stay_apart(self, a: str, b: str) -> bool:
-        out = self.apart.get((a, b))
-        if out is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            out = self.apart[a, b] = self.merged(a + b) == [a, b]
+    def _stay_apart(self, a: str, b: str, known: dict[str, bool]) -> bool:
+        """Whether merging ``a`` and ``b`` side by side leaves just these two; noted in ``known`` of b."""
+        self.known_pairs += 1
+        if self.known_pairs > 2_000_000:
+            self.known_pairs = 1
+            for ends in self.ends:
+                for end in ends:
+                    end[2].clear()
+        out = known[a] = self.merged(a + b, len(a)) == [a, b]
         return out
 
-    def _entry(self, word: str, i: int, table: list) -> tuple[float, str]:
-        """(score, last piece) of the prefix of i characters, from the entries of shorter prefixes."""
-        ends, node = [], self.endings
-        for k in range(i - 1, -1, -1):
-            node = node.get(word[k])
-            if node is None:
-                break
-            if "" in node:
-                ends.append(node[""])
-        if self.kind == "bpe":
-            for piece in reversed(ends):
-                n = len(piece)
-                if i == n or self._stay_apart(table[i - n][1], piece):
-                    return 0.0, piece
-            return 0.0, word[i - 1]
-        best = (table[i - 1][0] + self.pieces.get(word[i - 1], (0, self.least))[1], word[i - 1])
-        for piece in ends:
-            if (score := table[i - len(piece)][0] + self.pieces[piece][1]) > best[0]:
-                best = (score, piece)
-        return best
-
     def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
-        """(word, pieces) of distinct words in sorted order, with one walk over their trie."""
-        forward: list = [(0.0, "")]
+        """(word, pieces) of distinct words in sorted order, with one depth-first walk over their trie.
+
+        The stacks hold for each prefix of the word its state, last piece and (unigram) best score.
+        """
+        step, shorter, ends, pieces, bpe = self.step, self.shorter, self.ends, self.pieces, self.kind == "bpe"
+        states, last, score = [0], [""], [0.0]
         before = ""
         for word in sorted(words):
             common = 0
@@ -124,26 +142,44 @@ class Codec:
                 if a != b:
                     break
                 common += 1
-            del forward[common + 1 :]
-            for i in range(common + 1, len(word) + 1):
-                forward.append(self._entry(word, i, forward))
+            del states[common + 1 :], last[common + 1 :], score[common + 1 :]
+            state = states[common]
+            for i in range(common, len(word)):
+                c = word[i]
+                while (longer := step[state].get(c)) is None and state:
+                    state = shorter[state]
+                state = longer or 0
+                states.append(state)
+                if bpe:
+                    for piece, n, known in ends[state]:
+                        if n > i:  # the whole prefix
+                            break
+                        apart = known.get(neighbour := last[i + 1 - n])
+                        if self._stay_apart(neighbour, piece, known) if apart is None else apart:
+                            break
+                    else:
+                        piece = c
+                else:
+                    piece, best = c, score[i] + pieces.get(c, (0, self.least))[1]
+                    for longest, n, _ in reversed(ends[state]):
+                        if (x := score[i + 1 - n] + pieces[longest][1]) > best:
+                            piece, best = longest, x
+                    score.append(best)
+                last.append(piece)
             out, i = [], len(word)
             while i:
-                out.append(forward[i][1])
-                i -= len(out[-1])
-            yield word, out[::-1]
+                out.append(piece := last[i])
+                i -= len(piece)
+            out.reverse()
+            yield word, out
             before = word
 
     def _ids(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            if p in self.pieces:
-                out.append(self.pieces[p][0])
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return array("i", out).tobytes()
+        encoded = self.encoded
+        return b"".join([encoded.get(p) or self._unknown_ids(p) for p in pieces])
+
+    def _unknown_ids(self, piece: str) -> bytes:
+        return array("i", [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
