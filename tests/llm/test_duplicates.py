@@ -218,3 +218,22 @@ def test_pipeline_stages_keep_clean_documents(spark, docs, tmp_path, labels):
     packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "substring dedup", "secret scans", "best-fit packing"]
+
+
+def test_op7_blocks_keep_their_numbers():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 1000):
+        columns = [np.sort(r.integers(0, 1 << 56, n)), r.integers(-(1 << 62), 1 << 62, n), np.full(n, -5), r.integers(0, 300, n) - passages._FOUND,
+                   np.array([-(1 << 63), (1 << 63) - 1] * n, np.int64)[:n]]
+        for x, y in zip(columns, passages.unpacked(passages.packed(columns), len(columns))):
+            assert x.tolist() == y.tolist()
+
+
+def test_op7_negative_and_large_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    ids = [-(1 << 62), -7, 3, (1 << 62) + 1]
+    df = spark.createDataFrame([(i, f"own{k} {passage} end{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    for parts in (1, 3):
+        rows = passages.repeated_passages(df.repartition(parts)).collect()
+        assert sorted((x.doc_id, x.start, x.end) for x in rows) == [(i, 1, 61) for i in ids[1:]]
+        assert all(x.source_doc_id in ids and x.source_doc_id < x.doc_id and x.source_start == 1 for x in rows)
