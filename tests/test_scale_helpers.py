@@ -218,3 +218,22 @@ def test_knn_keeps_cells_across_save_and_load(spark, tmp_path):
 def test_knn_without_training_rows_predicts_null(spark):
     model = MC.KNeighbors(k=3).fit(knn_rows(spark, []))
     assert [r["prediction"] for r in model.transform(knn_rows(spark, [("a", [1.0], 0.0)])).collect()] == [None]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_huge_group_is_not_joined_in_one_task(spark):
+    df = spark.range(20_000).select(F.lit("g").alias("k"), (F.col("id") * 7919 % 20_000).cast("double").alias("v"), F.lit(1).alias("w"))
+    ranks = running_totals(df, ["k"], F.col("v"), ["w"], slices=16)
+    plan = plan_of(ranks)
+    assert "_part" in plan and "SortAggregate" not in plan
+    assert ranks.where(F.col("cum_w") != F.col("v") + 1).count() == 0 and ranks.count() == 20_000
+
+
+def test_the_fit_line_meets_the_points_in_parts(spark):
+    df = spark.range(3_000).select(F.lit("r").alias("run_id"), F.lit("m").alias("model"), (F.col("id") % 500).cast("double").alias("residual"))
+    points = M.qq_points(df)
+    assert plan_of(points).count("_part") > 1 and points.count() == 3_000
+    assert points.select("slope", "intercept", "r").distinct().count() == 1
