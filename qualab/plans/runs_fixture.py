@@ -120,13 +120,15 @@ def curve_scores(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     cls = table(spark, sf, "pred_binary").unionByName(table(spark, sf, "pred_multi")) \
         .select("run_id", "model", fold.alias("fold_of_row"), sub.alias("sub"),
                 (F.col("label") == F.col("prediction")).cast("int").alias("hit"))
-    rows = cls.select("*", F.explode(F.array(*[F.lit(s) for s in SIZES])).alias("size")) \
-              .select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    tagged = rows.select("run_id", "model", "size", "fold", "hit",
+    # hits by fold and by the first size whose subset holds the row: only these few sums meet all sizes and folds
+    steps = F.array(*[F.lit(s) for s in SIZES])
+    least = F.get(F.filter(steps, lambda s: F.col("sub") < s), F.lit(0)).alias("least")
+    parts = cls.groupBy("run_id", "model", "fold_of_row", least).agg(F.sum("hit").alias("hit"), F.count(F.lit(1)).alias("n"))
+    rows = parts.select("*", F.explode(steps).alias("size")).select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    tagged = rows.select("run_id", "model", "size", "fold", "hit", "n",
                          F.when(F.col("fold_of_row") == F.col("fold"), F.lit("test"))
-                          .when(F.col("sub") < F.col("size"), F.lit("train")).alias("split")).where(F.col("split").isNotNull())
-    return tagged.groupBy("run_id", "model", "size", "fold", "split").agg(
-        (F.sum("hit") / F.count(F.lit(1))).alias("score"))
+                          .when(F.col("least") <= F.col("size"), F.lit("train")).alias("split")).where(F.col("split").isNotNull())
+    return tagged.groupBy("run_id", "model", "size", "fold", "split").agg((F.sum("hit") / F.sum("n")).alias("score"))
 
 
 def sql_curve_scores(k: int = 5) -> str:

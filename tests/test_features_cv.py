@@ -51,3 +51,28 @@ def test_cv_rules(spark):
                                "run_id string, model string, fold int, split string, score double")
     r = C.simple_diagnosis(fs).first()
     assert r["overfitting"] == "improbable" and r["underfitting"] == "posible" and r["recommendations"] == ["underfit"]
+
+
+def test_learning_curves_add_up_before_they_meet_sizes(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from qualab.functions.hashing import hash_unit
+    from qualab.plans import runs_fixture as RF
+
+    rows = spark.range(400).select(F.lit("r").alias("run_id"), F.lit("m").alias("model"), F.col("id").cast("string").alias("row_key"),
+                                   (F.col("id") % 2).cast("double").alias("label"), F.lit(1.0).alias("prediction"))
+    empty = rows.limit(0)
+    monkeypatch.setattr(RF, "table", lambda spark, sf, name: rows if name == "pred_binary" else empty)
+    curve = RF.curve_scores(spark, sf)
+    got = {(r["size"], r["fold"], r["split"]): r["score"] for r in curve.collect()}
+    all_rows = rows.select("label", hash_unit(F.col("row_key")).alias("f"), hash_unit(F.col("row_key"), 7).alias("s")).collect()
+    want = {}
+    for size in RF.SIZES:
+        for fold in range(5):
+            for split in ("train", "test"):
+                hits = [r["label"] for r in all_rows if (int(r["f"] * 5) == fold) == (split == "test") and (split == "test" or r["s"] < size)]
+                if hits:
+                    want[size, fold, split] = sum(hits) / len(hits)
+    assert got == want
+    plan = curve._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.rindex("explode")  # the rows are added up below the listing of sizes
