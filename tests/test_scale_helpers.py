@@ -237,3 +237,23 @@ def test_the_fit_line_meets_the_points_in_parts(spark):
     points = M.qq_points(df)
     assert plan_of(points).count("_part") > 1 and points.count() == 3_000
     assert points.select("slope", "intercept", "r").distinct().count() == 1
+
+
+def test_routes_of_few_queries_at_a_time():
+    import pyarrow as pa
+
+    class Near:  # stands for a table: hands out the function that its tasks run
+        sparkSession = sparkContext = property(lambda self: self)
+        broadcast = staticmethod(lambda value: type("Held", (), {"value": value}))
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    rng = np.random.default_rng(3)
+    cells = np.tile([10.0, 0.0, 9.0], (50, 1))
+    run = MC.KNeighborsModel(None, 1, "regresion", 4096, rng.normal(size=(50, 3)), cells).routes(Near())
+    n = 3_000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(list(rng.normal(size=(n, 3)))), pa.array(np.full(n, 50.0)),
+         pa.array(rng.integers(0, 50, n).astype(np.int32))], names=["q1", "q2", "qx", "radius", "cell"])
+    out = list(run([batch.slice(0, 0), batch]))
+    assert sum(b.num_rows for b in out) == n * 49          # every query goes to every other cell
+    assert max(b.num_rows for b in out) <= MC.ROUTED * 49
