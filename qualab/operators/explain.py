@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualab.functions.hashing import hash_unit, row_key
+from qualab.session import ensure_checkpoint_dir
 
 
 
@@ -74,14 +75,28 @@ def permutation_shap(model, df: DataFrame, feature_names: Sequence[str], backgro
     z = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
                     lambda j: F.when(rank[j] < F.col("_t"), F.col("_x")[j]).otherwise(mu[j]))
     coal = coal.select("_k", "_p", "_t", "_ord", array_to_vector(z).alias(features_col))
-    scored = model.transform(coal)
-    scored = scored.select("_k", "_p", "_t", "_ord", _score_col(scored).alias("_f"))
-    # f(z_t) counts for the feature that step t switched on, and against the one that comes next
-    t, f = F.col("_t"), F.col("_f")
-    on = F.when(t > 0, F.struct(F.element_at("_ord", F.when(t > 0, t)).alias("_j"), f.alias("_d")))
-    off = F.when(t < d, F.struct(F.element_at("_ord", F.when(t < d, t + 1)).alias("_j"), (-f).alias("_d")))
-    deltas = scored.select("_k", F.inline(F.array_compact(F.array(on, off))))
-    per = deltas.groupBy("_k", "_j").agg((F.sum("_d") / permutations).alias("shap"))
+
+    def shares(scored: DataFrame, score: Column) -> DataFrame:
+        scored = scored.select("_k", "_p", "_t", "_ord", score.alias("_f"))
+        # f(z_t) counts for the feature that step t switched on, and against the one that comes next
+        t, f = F.col("_t"), F.col("_f")
+        on = F.when(t > 0, F.struct(F.element_at("_ord", F.when(t > 0, t)).alias("_j"), f.alias("_d")))
+        off = F.when(t < d, F.struct(F.element_at("_ord", F.when(t < d, t + 1)).alias("_j"), (-f).alias("_d")))
+        deltas = scored.select("_k", F.inline(F.array_compact(F.array(on, off))))
+        return deltas.groupBy("_k", "_j").agg((F.sum("_d") / permutations).alias("shap"))
+
+    if hasattr(model, "parts") and model.outputs <= 2 and model.nodes() > model.broadcast_nodes:
+        # the score is a sum over the model's trees, and so are the shares: the tasks hold one part of it at a time
+        # instead of shuffling every coalition to every tree
+        ensure_checkpoint_dir(df.sparkSession)
+        per = None
+        for ensemble in model.parts():
+            one = shares(model.outputs_of(coal, ensemble), F.get("_out", F.lit(model.outputs - 1))).checkpoint()
+            per = one if per is None else per.unionByName(one)
+        per = per.groupBy("_k", "_j").agg(F.sum("shap").alias("shap"))
+    else:
+        scored = model.transform(coal)
+        per = shares(scored, _score_col(scored))
     names = F.array(*[F.lit(n) for n in feature_names])
     vals = x.select("_k", F.posexplode("_x").alias("_j", "value"))
     return per.join(vals, ["_k", "_j"]).select(F.col("_k").alias(key), F.element_at(names, F.col("_j") + 1).alias("feature"),
