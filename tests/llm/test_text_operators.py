@@ -138,6 +138,29 @@ def test_op2_bounds_are_arguments_and_dealt_to_languages(spark, monkeypatch):
     assert len(used[0]) <= 60 and len(used[1]) <= 80 and len(used[2]) >= 600
 
 
+def test_op2_learns_from_all_trusted_documents(spark, monkeypatch):
+    rows = [(i, f"a{i % 7} b{i % 11} c", "en") for i in range(9000)]
+    df, used, fit = spark.createDataFrame(rows, "doc_id long, text string, lang string"), [], kneser_ney.fit
+    marks = spark.createDataFrame([(i, 1) for i in range(9000)], "doc_id long, quality int")
+    monkeypatch.setattr(kneser_ney, "fit", lambda t: used.append(t.count()) or fit(t))
+    assert kneser_ney.quality_classifier(df, marks).count() == 9000
+    assert abs(used[0] - 9000 * kneser_ney.LEARN) < 200  # no bound: more than TRAIN_DOCS
+
+
+def test_op2_ngrams_beyond_the_broadcast_ones_are_joined(spark, monkeypatch):
+    train = [prose(i, 60) for i in range(12)] + ["", "w1 w2 w3", "w1 w2 w3"]
+    score = plain_kneser_ney(train)
+    rows = [(1, prose(7, 60), "a"), (1, prose(7, 60), "a"), (None, prose(300, 50), None), (3, None, "b"), (4, "w1 w2 w3 w1 w2 w3 w1 W2 w3 new", "b")]
+    df = spark.createDataFrame(rows, "k long, text string, lang string")
+    expected = sorted((str(k), len(words(t)) + 1, round(score(t or ""), 6), str(x)) for k, t, x in rows)
+    for head in (0, 7, 1 << 18):
+        monkeypatch.setattr(kneser_ney, "HEAD", head)
+        model = kneser_ney.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+        assert len(model.head[0]) <= head
+        out = kneser_ney.perplexities(df, model, ["k", "lang"]).collect()
+        assert sorted((str(r.k), r.n_tokens, round(r.log10_prob, 6), str(r.lang)) for r in out) == expected
+
+
 def test_op3_pieces_are_whole_and_fit(docs, none):
     from tokenizers import Tokenizer
 
