@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, shingle_hashes, stored, table
+from .common import Words, chunks, mix, shingle_hashes, split, stored, table
 from .components import components
 
 SIZE = 5
@@ -220,12 +220,15 @@ def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, digests: DataFrame, name: str) -> DataFrame:
-    """The pairs (x, y) whose sets are similar enough."""
-    ranges = digests.where("n > 0").groupBy("sid").agg(F.min(F.struct("n", "ranges")).alias("r"))
+    """The pairs (x, y) whose sets are similar enough.  Only sets of pairs are shuffled, not those of all texts."""
+    ends = lambda df: df.select(F.col("x").alias("sid")).union(df.select("y"))
+    some, _ = split(digests.where("n > 0").select("sid", "n", "ranges"), "sid", ends(pairs))
+    ranges = some.groupBy("sid").agg(F.min(F.struct("n", "ranges")).alias("r"))
     a = ranges.select(F.col("sid").alias("x"), F.col("r.n").alias("nx"), F.col("r.ranges").alias("rx"))
     b = ranges.select(F.col("sid").alias("y"), F.col("r.n").alias("ny"), F.col("r.ranges").alias("ry"))
     joined = pairs.join(a, "x").join(b, "y").where((4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny")))
     left = stored(joined.mapInArrow(_suffix_filter, "x long, y long, nx long, ny long"), f"{name}-pairs")
+    sets, _ = split(sets, "sid", ends(left))
     sx = sets.select(F.col("sid").alias("x"), F.col("set").alias("set_x"))
     sy = sets.select(F.col("sid").alias("y"), F.col("set").alias("set_y"))
     common = F.size(F.array_intersect("set_x", "set_y"))
@@ -279,16 +282,17 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = stored(ordered(star.union(of_parts), "sid", "c"), "ngram-tried")
     links = stored(_verified(tried, sets, digests, "ngram-star"), "ngram-links")
 
-    def mixed(name: str) -> DataFrame:
-        """The rows of lists that still have sets of different components, with the component (g)."""
+    def mixed(lists: DataFrame, name: str) -> DataFrame:
+        """The rows of lists that still have sets of different components, with the component (g); components only grow."""
         group = components(links, "ngram-groups").select(F.col("node").alias("sid"), "component")
         rows = lists.join(group, "sid", "left").withColumn("g", F.coalesce("component", "sid")).select("s", "sid", "n", "pos", "g")
         some = rows.groupBy("s").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("s")
         return stored(rows.join(some, "s"), name)
 
+    rows = lists
     for turn in range(ROUNDS):
         # each set with a set of another component, taken at random (by hash) from one of its lists
-        rows = mixed("ngram-mixed")
+        rows = mixed(rows, "ngram-mixed")
         pick = F.xxhash64("sid", F.lit(turn))
         other = rows.groupBy("s").agg(F.min(F.struct(pick.alias("h"), "sid", "n", "pos", "g")).alias("o"))
         pairs = rows.join(other, "s").where((F.col("g") != F.col("o.g")) & _possible(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
@@ -296,7 +300,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = stored(ordered(pairs, "sid", "c").join(tried, ["x", "y"], "left_anti"), "ngram-new")
         tried = tried.union(new)
         links = links.union(stored(_verified(new, sets, digests, "ngram-turn"), "ngram-links"))
-    rows = mixed("ngram-rest")
+    rows = mixed(rows, "ngram-rest")
     # groups of a list meet only if their lengths and the places of the shingle allow any pair
     groups = rows.groupBy("s", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     others = groups.select("s", *(F.col(c).alias(f"{c}2") for c in ("g", "lo", "hi", "rest")))
@@ -307,7 +311,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = rows.select("s", F.col("g").alias("g2"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     rest = meet.join(short, ["s", "g"]).join(long, ["s", "g2"]).where(
         (F.col("n") <= F.col("n2")) & _possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
-    new = ordered(rest, "sid", "sid2").join(tried, ["x", "y"], "left_anti")
+    new = stored(ordered(rest, "sid", "sid2").join(tried, ["x", "y"], "left_anti"), "ngram-new")
     more = stored(_verified(new, sets, digests, "ngram-rest"), "ngram-links")
     return digests.where("block is null").select("doc_id", "n", "sid"), components(links.union(more), "ngram-groups")
 

@@ -237,3 +237,14 @@ def test_op7_negative_and_large_ids(spark):
         rows = passages.repeated_passages(df.repartition(parts)).collect()
         assert sorted((x.doc_id, x.start, x.end) for x in rows) == [(i, 1, 61) for i in ids[1:]]
         assert all(x.source_doc_id in ids and x.source_doc_id < x.doc_id and x.source_start == 1 for x in rows)
+
+
+def test_op10_verification_reads_only_the_sets_of_its_pairs(spark, monkeypatch):
+    seen, split = [], ngram_join.split
+    rows = [(i, f"common words start each text {i} " + " ".join(f"t{i}x{j}" for j in range(40))) for i in range(40)]
+    rows += [(100 + i, rows[0][1] + f" tail{i}") for i in range(3)]
+    monkeypatch.setattr(ngram_join, "split", lambda df, key, ids: seen.append((df.columns, ids.distinct().count())) or split(df, key, ids))
+    out = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: 0 if i >= 100 else i for i, _ in rows}
+    assert {tuple(c) for c, _ in seen} == {("sid", "n", "ranges"), ("sid", "set")}
+    assert all(n <= 4 for c, n in seen if c == ["sid", "set"])
