@@ -6,8 +6,9 @@ step holds more than a bounded table:
 
 * the CORE most frequent words: their bigrams are counted over all training text (rows of one word, with
   its right and left neighbours), and several rounds of exchange run as jobs over these rows - each word's
-  gain is computed against the class matrix of the round; half of the words may move, a class
-  takes a bounded share of its size, and a round that loses likelihood is not taken;
+  gain is computed against the class matrix of the round; half of the words may move (the other half in the
+  next round), a class takes a bounded share of its size at a time, and what loses likelihood is not taken.
+  Words that found no room are tried again, against the classes as they are then, until none is refused;
 * the further frequent words (up to HEAD, with a count of 2 or more) are placed by one exchange against
   the core's classes, from their counts of neighbour classes;
 * words beyond HEAD belong to classes by shape (has digits, punctuation, letters beyond ASCII).
@@ -39,6 +40,7 @@ END = CLASSES  #: class of the end token, which is also the context of a text's
 STATES = CLASSES + 1 + SHAPES
 BLOCK = 64  #: core words that are counted together in one dense table
 MOST_DISCOUNT = 0.8
+LEAST_SHARE = 1 / 1024  #: share of a class below which words move one at a time
 
 _TRAITS = np.zeros(256, np.uint8)
 _TRAITS[list(b"0123456789")] = 1
@@ -216,18 +218,16 @@ def exchange(rows: DataFrame, size: int, rounds: int = ROUNDS) -> tuple[np.ndarr
     def likelihood(matrix: np.ndarray) -> float:
         return float(_f(matrix).sum() - _f(matrix.sum(0)).sum() - _f(matrix.sum(1)).sum())
 
-    matrix, share = class_matrix(word_class), 0.5
-    for turn in range(rounds):
-        held = spark.sparkContext.broadcast((word_class, matrix))
+    def wanted(word_class: np.ndarray, matrix: np.ndarray, use: np.ndarray) -> list[tuple[float, int, int]]:
+        """(gain, word, class) of the words of ``use`` that gain most elsewhere, each moved alone; greatest gains first."""
+        held = spark.sparkContext.broadcast((word_class, matrix, use))
 
-        def moves(batches: Iterator[pa.RecordBatch], turn: int = turn) -> Iterator[pa.RecordBatch]:
-            word_class, matrix = held.value  # noqa: B023
+        def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word_class, matrix, use = held.value
             words, best, gains = [], [], []
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in batch.filter(pa.array(use[batch.column("word").to_numpy()])).to_pylist():
                     w = row["word"]
-                    if w >= size - 2 or int(mix(np.array([w + 1000003 * turn], np.uint64))[0]) & 1:
-                        continue
                     right, left, neighbour, n = _by_class(row, word_class)
                     a, twice = word_class[w], float(n[neighbour == w].sum())
                     right[a] -= twice
@@ -245,20 +245,36 @@ def exchange(rows: DataFrame, size: int, rounds: int = ROUNDS) -> tuple[np.ndarr
                                              names=["word", "to", "gain"])
 
         moved = rows.mapInArrow(moves, "word int, to int, gain double").toArrow()  # at most CORE rows
-        if not moved.num_rows:
-            break
-        # gains are of single moves: a class takes only so many words in a round, those that gain most
-        room = np.maximum(1, share * np.bincount(word_class[:-2], minlength=CLASSES)[:CLASSES]).astype(int)
-        changed = word_class.copy()
-        for w, to, _ in sorted(zip(*(moved[c].to_pylist() for c in ("word", "to", "gain"))), key=lambda m: (-m[2], m[0])):
-            if room[to]:
-                room[to] -= 1
-                changed[w] = to
-        after = class_matrix(changed)
-        if likelihood(after) < likelihood(matrix):
-            share /= 4
-        else:
-            word_class, matrix = changed, after
+        return sorted(zip(*(moved[c].to_pylist() for c in ("gain", "word", "to"))), key=lambda m: (-m[0], m[1]))
+
+    matrix, idle = class_matrix(word_class), 0
+    for turn in range(rounds):
+        # two rounds that follow each other try one half of the words each, and so every word
+        half = (mix(np.arange(size, dtype=np.uint64) + np.uint64(1000003 * (turn // 2))) & np.uint64(1)) == turn % 2
+        use, share, idle = half & (np.arange(size) < size - 2), 0.5, idle + 1
+        while use.any():
+            found = wanted(word_class, matrix, use)
+            if not found:
+                break
+            # gains are of single moves: a class takes only so many words at a time, those that gain most
+            room = np.maximum(1, share * np.bincount(word_class[:-2], minlength=CLASSES)[:CLASSES]).astype(int)
+            changed, refused, alone = word_class.copy(), np.zeros(size, bool), share < LEAST_SHARE
+            for k, (_, w, to) in enumerate(found):
+                if room[to] and not (alone and k):
+                    room[to] -= 1
+                    changed[w] = to
+                else:
+                    refused[w] = True
+            after = class_matrix(changed)
+            if likelihood(after) > likelihood(matrix):
+                # who was refused is tried again against the new classes, until none is refused
+                word_class, matrix, use, share, idle = changed, after, refused, min(0.5, 4 * share), 0
+            elif alone:
+                break  # one move gains nothing but rounding
+            else:
+                share /= 4
+        if idle == 3:
+            break  # two of these rounds tried every word, and none gains by moving
     return word_class, matrix
 
 

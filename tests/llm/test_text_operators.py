@@ -58,6 +58,16 @@ def test_op1_classes_learn_what_follows_what(spark):
     assert out[0] > out[1] + 0.25 * out[2]  # knowing the group saves log10(3) = 0.48 a token
 
 
+def test_op1_words_without_room_in_a_class_are_tried_again(spark):
+    r = np.random.default_rng(4)
+    texts = [(" ".join(f"{k}{i}" for i, j in r.integers(0, 200, (60, 2)) for k, i in (("a", i), ("b", j))),) for _ in range(150)]
+    core = brown_lm.word_keys(Words([" ".join(f"{k}{i}" for k in "ab" for i in range(200)).encode()]))
+    rows = brown_lm._core_rows(spark.createDataFrame(texts, "text string").repartition(2), core)
+    group, _ = brown_lm.exchange(rows, len(core) + 2, 2)  # every word is tried once; when refused, until it is not
+    a, b = (np.bincount(x, minlength=brown_lm.CLASSES) for x in (group[:200], group[200:400]))
+    assert np.minimum(a, b).sum() < 80  # words in a class of mostly the other kind; 119 when the refused ones were dropped
+
+
 def test_op1_model_is_a_distribution(spark):
     df = spark.createDataFrame([(i, prose(i, 40)) for i in range(20)], "doc_id long, text string")
     model = brown_lm.fit(df)
