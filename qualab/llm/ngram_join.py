@@ -13,7 +13,8 @@ Links of different sets are found in two rounds, which together test each pair t
 2. all pairs within a list whose sets are still in different components, with the asymmetric prefixes of
    the longer and the shorter set.
 
-Each pair passes the length filter, the positional filter (what can follow the shared shingle) and the
+Each pair passes the length filter, the positional filter (what can follow the shared shingle), in round 2
+the sketch filter (512 bits of a set, whose difference is a least one of the sets), and the
 suffix filter (the sets are cut at fixed hashes, the counts of the parts bound how much they can share), and is verified once, exactly.
 """
 
@@ -38,6 +39,7 @@ ROUNDS = 3  #: rounds of one random pair a set, before all pairs
 LIST_ROWS = 8192  #: lists of hot shingles are cut into parts of about so many rows
 _ID = np.uint64((1 << 48) - 1)  #: shingles are known by 48 bits; texts of a chunk by 10, orders by 6
 _ROWS = 1024
+SKETCH = [f"k{i}" for i in range(8)]  #: 64 bits each: whether a set has an odd number of shingles at that place
 
 
 def text_shingles(words: Words, level: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +83,25 @@ def _range_bits(n: np.ndarray) -> np.ndarray:
     return np.maximum(2, np.ceil(np.log2(np.maximum(n, 1) / RANGE_SHINGLES))).astype(np.int64)
 
 
+def _sketches(rows: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of each text's set: what two of them differ by, their sets differ by at least."""
+    width = 64 * len(SKETCH)
+    odd = np.bincount(rows * width + (keys & np.uint64(width - 1)).astype(np.int64), minlength=size * width) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).reshape(size, len(SKETCH))
+
+
+def _differ_little(a: str, b: str):
+    """Whether the sketches (columns with suffix a and b) of sets of n{a} and n{b} shingles allow a link: a Jaccard
+    similarity of 0.75 leaves the sets (n{a} + n{b}) / 7 shingles that only one of them has."""
+    differ = sum((F.bit_count(F.col(k + a).bitwiseXOR(F.col(k + b))) for k in SKETCH), F.lit(0))
+    return 7 * differ <= F.col("n" + a) + F.col("n" + b)
+
+
 def _digests(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, sid, ranges) of each text; and rows (block, counts) of shingle counts by bucket."""
-    schema = docs.select("doc_id").schema.simpleString()[7:-1] + ", n long, sid long, ranges binary, block int, counts binary"
+    """A row (doc_id, n, sid, ranges, sketch) of each text; and rows (block, counts) of shingle counts by bucket."""
+    names = ["doc_id", "n", "sid", "ranges", *SKETCH, "block", "counts"]
+    schema = (docs.select("doc_id").schema.simpleString()[7:-1] + ", n long, sid long, ranges binary, "
+              + "".join(f"{k} long, " for k in SKETCH) + "block int, counts binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, id_type = np.zeros(BUCKETS, np.uint32), pa.int64()
@@ -97,16 +115,17 @@ def _digests(docs: DataFrame) -> DataFrame:
             cells = np.minimum(np.bincount(cell, minlength=start[-1]), 65535).astype("<u2")
             ids = part.column("doc_id")
             id_type, k = ids.type, len(texts)
+            sketch = _sketches(rows, keys, k)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n, pa.int64()), pa.array(sid.view(np.int64)),
                  pa.array([cells[a:b].tobytes() for a, b in zip(start, start[1:])], pa.binary()),
-                 pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "n", "sid", "ranges", "block", "counts"])
+                 *(pa.array(x.copy()) for x in sketch.T), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         blocks = [i for i in range(BUCKETS // COUNT_BLOCK) if count[i * COUNT_BLOCK : (i + 1) * COUNT_BLOCK].any()]
         k = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(blocks, pa.int32()),
-             pa.array([zlib.compress(count[i * COUNT_BLOCK : (i + 1) * COUNT_BLOCK].tobytes(), 1) for i in blocks], pa.binary())],
-            names=["doc_id", "n", "sid", "ranges", "block", "counts"])
+            [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
+             *(pa.nulls(k, pa.int64()) for _ in SKETCH), pa.array(blocks, pa.int32()),
+             pa.array([zlib.compress(count[i * COUNT_BLOCK : (i + 1) * COUNT_BLOCK].tobytes(), 1) for i in blocks], pa.binary())], names=names)
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, schema), "ngram-digests")
 
@@ -306,11 +325,12 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = groups.select("s", *(F.col(c).alias(f"{c}2") for c in ("g", "lo", "hi", "rest")))
     meet = groups.join(others, "s").where(
         "g <> g2 and 4 * hi >= 3 * lo2 and 4 * hi2 >= 3 * lo and 7 * least(rest, rest2) >= 3 * (lo + lo2)").select("s", "g", "g2")
-    # the shorter set with its short prefix, the longer one with its long prefix
+    # the shorter set with its short prefix, the longer one with its long prefix; pairs whose sketches differ too much are not made
+    rows = rows.join(digests.where("n > 0").select("sid", *SKETCH).dropDuplicates(["sid"]), "sid")
     short = rows.where("pos < n - ceil(6 * n / 7) + 1")
-    long = rows.select("s", F.col("g").alias("g2"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    long = rows.select("s", *(F.col(c).alias(f"{c}2") for c in ("g", "sid", "n", "pos", *SKETCH)))
     rest = meet.join(short, ["s", "g"]).join(long, ["s", "g2"]).where(
-        (F.col("n") <= F.col("n2")) & _possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
+        (F.col("n") <= F.col("n2")) & _possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")) & _differ_little("", "2"))
     new = stored(ordered(rest, "sid", "sid2").join(tried, ["x", "y"], "left_anti"), "ngram-new")
     more = stored(_verified(new, sets, digests, "ngram-rest"), "ngram-links")
     return digests.where("block is null").select("doc_id", "n", "sid"), components(links.union(more), "ngram-groups")

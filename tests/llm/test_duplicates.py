@@ -248,3 +248,18 @@ def test_op10_verification_reads_only_the_sets_of_its_pairs(spark, monkeypatch):
     assert out == {i: 0 if i >= 100 else i for i, _ in rows}
     assert {tuple(c) for c, _ in seen} == {("sid", "n", "ranges"), ("sid", "set")}
     assert all(n <= 4 for c, n in seen if c == ["sid", "set"])
+
+
+def test_op10_sketches_keep_every_link_and_drop_what_differs(spark):
+    base = prose(960, 130)
+    texts = [edited(base, k, 1 + k % 16) for k in range(60)] + [prose(970 + k, 130) for k in range(10)] + ["one", ""]
+    sets = [shingles(t) for t in texts]
+    words = ngram_join.Words([t.encode() for t in texts])
+    rows, keys = ngram_join.text_shingles(words)
+    sketch = ngram_join._sketches(rows, keys, len(texts)).tolist()
+    nodes = spark.createDataFrame([(i, len(s), *k) for i, (s, k) in enumerate(zip(sets, sketch))], ["i", "n", *ngram_join.SKETCH])
+    pairs = nodes.crossJoin(nodes.select(*(F.col(c).alias(f"{c}2") for c in nodes.columns))).where("i < i2 and n > 0 and n2 > 0")
+    got = {(r.i, r.i2) for r in pairs.where(ngram_join._differ_little("", "2")).collect()}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    far = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and 100 * len(sets[i] & sets[j]) < 60 * len(sets[i] | sets[j])}
+    assert links <= got and len(links) > 20 and len(far & got) < 0.01 * len(far)
