@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, chunks, run_hashes, stored, table
+from .common import CHUNK_BYTES, WHITE, chunks, run_hashes, stored, table
 
 CAPACITY = 2048
 GROUPS = 64
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, limit=CHUNK_BYTES // 4):  # parts and ids of a text take many times its size
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts)):
                 ids = ids.astype("<u4").tobytes() + b"\0\0\0\0"

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qualab.llm import brown_lm, kneser_ney, packing, quality_rules, secrets, sentencepiece_codec, toxicity
-from qualab.llm.common import Words
+from qualab.llm.common import Words, run_hashes
 
 from .conftest import ROWS, prose
 
@@ -30,6 +31,24 @@ def test_words_are_runs_between_ascii_white_space():
     assert len(set(found.hash.tolist())) == 5
 
 
+def test_run_hashes_take_little_room_and_know_runs_wherever_they_stand():
+    r = np.random.default_rng(3)
+    length = np.concatenate([r.integers(1, 12, 300_000), [700_000], r.integers(1, 12, 1000)])  # one run is longer than a block
+    end = np.cumsum(length)
+    start, data = end - length, r.integers(0, 3, end[-1]).astype(np.uint8)
+    tracemalloc.start()
+    got = run_hashes(data, start, end)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * len(data) // 2  # 2.5 MB of bytes: a block's numbers, the longest run's and the result
+    alone = [run_hashes(data[a:b], np.array([0]), np.array([b - a]))[0] for a, b in list(zip(start, end))[::5000]]
+    assert got[::5000].tolist() == alone
+    seen = {}
+    for h, a, b in list(zip(got.tolist(), start, end))[:20_000]:
+        assert seen.setdefault(data[a:b].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def held(doc_id, n, r):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % n == r
 
