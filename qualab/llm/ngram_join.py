@@ -91,10 +91,15 @@ def _sketches(rows: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
 
 
 def _differ_little(a: str, b: str):
-    """Whether the sketches (columns with suffix a and b) of sets of n{a} and n{b} shingles allow a link: a Jaccard
-    similarity of 0.75 leaves the sets (n{a} + n{b}) / 7 shingles that only one of them has."""
-    differ = sum((F.bit_count(F.col(k + a).bitwiseXOR(F.col(k + b))) for k in SKETCH), F.lit(0))
-    return 7 * differ <= F.col("n" + a) + F.col("n" + b)
+    """Whether the sketches (columns with suffix a and b) of sets of n{a} and n{b} shingles allow a link."""
+    return _differ_little_of(lambda c: F.col(c + a), lambda c: F.col(c + b))
+
+
+def _differ_little_of(a, b):
+    """The same of columns that functions give by name: a Jaccard similarity of 0.75 leaves the sets a seventh of
+    n + n as shingles that only one of them has."""
+    differ = sum((F.bit_count(a(k).bitwiseXOR(b(k))) for k in SKETCH), F.lit(0))
+    return 7 * differ <= a("n") + b("n")
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -320,22 +325,44 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         tried = tried.union(new)
         links = links.union(stored(_verified(new, sets, digests, "ngram-turn"), "ngram-links"))
     rows = mixed(rows, "ngram-rest")
-    # groups of a list meet only if their lengths and the places of the shingle allow any pair
-    groups = rows.groupBy("s", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    others = groups.select("s", *(F.col(c).alias(f"{c}2") for c in ("g", "lo", "hi", "rest")))
-    meet = groups.join(others, "s").where(
-        "g <> g2 and 4 * hi >= 3 * lo2 and 4 * hi2 >= 3 * lo and 7 * least(rest, rest2) >= 3 * (lo + lo2)").select("s", "g", "g2")
-    # the shorter set with its short prefix, the longer one with its long prefix; pairs whose sketches differ too much are not made
     rows = rows.join(digests.where("n > 0").select("sid", *SKETCH).dropDuplicates(["sid"]), "sid")
-    short = rows.where("pos < n - ceil(6 * n / 7) + 1")
-    long = rows.select("s", *(F.col(c).alias(f"{c}2") for c in ("g", "sid", "n", "pos", *SKETCH)))
-    rest = meet.join(short, ["s", "g"]).join(long, ["s", "g2"]).where(
-        (F.col("n") <= F.col("n2")) & _possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")) & _differ_little("", "2"))
+    rest = _pairs_of_groups(rows)
     new = stored(ordered(rest, "sid", "sid2").join(tried, ["x", "y"], "left_anti"), "ngram-new")
     more = stored(_verified(new, sets, digests, "ngram-rest"), "ngram-links")
     return digests.where("block is null").select("doc_id", "n", "sid"), components(links.union(more), "ngram-groups")
 
 
+def _with_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` (s, sid, n, pos, g, sketch) of shorter sets with each other group (g2) of the list s that they may link to.
+
+    Groups meet only if their lengths and the places of the shingle
+    allow any pair.  Where a group has one set in the list, that set's own numbers (b_) take the other's place
+    in the pair's filters, so a large group does not list its sets for each single one that is too different.
+    """
+    own = ["n", "pos", *SKETCH]
+    groups = rows.groupBy("s", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"),
+                                        F.when(F.count("*") == 1, F.min(F.struct(*own))).alias("b"))
+    others = groups.select("s", *(F.col(c).alias(f"{c}2") for c in ("g", "lo", "hi", "rest", "b")))
+    alike = lambda a, b: _differ_little_of(lambda c: F.col(f"{a}.{c}"), lambda c: F.col(f"{b}.{c}"))
+    meet = groups.join(others, "s").where(
+        F.expr("g <> g2 and 4 * hi >= 3 * lo2 and 4 * hi2 >= 3 * lo and 7 * least(rest, rest2) >= 3 * (lo + lo2)")
+        & F.coalesce((F.col("b.n") <= F.col("b2.n")) & alike("b", "b2"), F.lit(True))).select(
+        "s", "g", "g2", *(F.col(f"b2.{c}").alias(f"b_{c}") for c in own))
+    # the shorter set with its short prefix
+    single = (F.col("n") <= F.col("b_n")) & _possible(F.col("n"), F.col("pos"), F.col("b_n"), F.col("b_pos")) & _differ_little_of(
+        F.col, lambda c: F.col(f"b_{c}"))
+    short = rows.where("pos < n - ceil(6 * n / 7) + 1")
+    return meet.join(short, ["s", "g"]).where(F.coalesce(single, F.lit(True))).drop(*(f"b_{c}" for c in own))
+
+
+def _pairs_of_groups(rows: DataFrame) -> DataFrame:
+    """Pairs (sid, sid2) of sets of different groups (g) in one list (s) that the filters leave."""
+    # the longer set with its long prefix; pairs whose sketches differ too much are not made
+    long = rows.select("s", *(F.col(c).alias(f"{c}2") for c in ("g", "sid", "n", "pos", *SKETCH)))
+    return _with_groups(rows).join(long, ["s", "g2"]).where(
+        (F.col("n") <= F.col("n2")) & _possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")) & _differ_little("", "2"))
+
+
 def ngram_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 

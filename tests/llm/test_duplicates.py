@@ -263,3 +263,18 @@ def test_op10_sketches_keep_every_link_and_drop_what_differs(spark):
     links = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     far = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and 100 * len(sets[i] & sets[j]) < 60 * len(sets[i] | sets[j])}
     assert links <= got and len(links) > 20 and len(far & got) < 0.01 * len(far)
+
+
+def test_op10_large_groups_are_not_listed_for_single_sets_that_differ(spark):
+    base = [prose(980 + k, 130) for k in range(42)]
+    texts = [edited(base[0], k, 1) for k in range(40)] + [edited(base[0], 900 + k, 2) for k in range(3)] + base[1:] + [edited(base[41], 1, 1)]
+    groups = [0] * 40 + list(range(1, 46))  # the last two are alike, and single
+    rows, keys = ngram_join.text_shingles(ngram_join.Words([t.encode() for t in texts]))
+    sketch, sets = ngram_join._sketches(rows, keys, len(texts)).tolist(), [shingles(t) for t in texts]
+    df = spark.createDataFrame([(7, i, len(x), 0, g, *k) for i, (x, g, k) in enumerate(zip(sets, groups, sketch))], ["s", "sid", "n", "pos", "g", *ngram_join.SKETCH])
+    pairs = df.select("sid", "g", "n", *ngram_join.SKETCH)
+    pairs = pairs.crossJoin(pairs.select(*(F.col(c).alias(f"{c}2") for c in pairs.columns))).where("g != g2 and n <= n2 and 4 * n >= 3 * n2")
+    want = {(r.sid, r.sid2) for r in pairs.where(ngram_join._differ_little("", "2")).collect()}
+    assert {(r.sid, r.sid2) for r in ngram_join._pairs_of_groups(df).collect()} == want
+    assert len([p for p in want if {*p} & {40, 41, 42}]) > 60 and {*want} & {(83, 84), (84, 83)}
+    assert ngram_join._with_groups(df).count() < len(want) + 100  # 40 sets with 45 groups are 1,800
