@@ -111,3 +111,37 @@ def test_poisson_draws_have_their_rate():
     for rate in (0.1, 1.0, 30.0, 900.0):
         d = MC.poisson_draws(u, np.full(40000, rate))
         assert abs(d.mean() / rate - 1) < 0.05 and d.min() >= 0
+
+
+def test_a_failed_model_is_no_result(spark, tmp_path, monkeypatch):
+    """A model that refuses its data has no artefact and counts among the models; an error of the run is raised."""
+    import pytest
+    from pyspark.ml.classification import NaiveBayes
+
+    from qualab.operators import models as MO
+    from qualab.operators import rank as R
+
+    df = spark.createDataFrame([(str(i), [float(i % 2), float(i % 3)], float(i % 2), i % 5 == 0) for i in range(60)],
+                               "row_key string, x array<double>, label double, is_test boolean") \
+              .select("row_key", array_to_vector("x").alias("features"), "label", "is_test")
+
+    class Broken:
+        def __init__(self, error):
+            self.error = error
+
+        def fit(self, df):
+            raise self.error
+
+    def trained(error):
+        monkeypatch.setattr(MO, "make_estimator", lambda name, *_: NaiveBayes(modelType="gaussian") if name == "GaussianNB" else Broken(error))
+        return MO.benchmark(df, "clasificacion", "r", models=["GaussianNB", "SVC"], cv_folds=0)
+
+    res = trained(ValueError("these rows do not do"))
+    assert [name for name, _ in res.failures] == ["SVC"]
+    saved = MO.save_models(res, str(tmp_path))
+    assert R.artefacts_available(saved).collect() == [("r", 1, 2, False)]
+    with pytest.raises(ValueError):
+        [MO.load_model(r["path"], r["kind"]) for r in saved.collect()]
+    res.release()
+    with pytest.raises(RuntimeError, match="lost"):
+        trained(RuntimeError("a task was lost"))
