@@ -145,3 +145,18 @@ def test_a_failed_model_is_no_result(spark, tmp_path, monkeypatch):
     res.release()
     with pytest.raises(RuntimeError, match="lost"):
         trained(RuntimeError("a task was lost"))
+
+
+def test_the_regressors_benchmark_has_all_models_and_folds(spark, sf, monkeypatch):
+    from qualab.operators import models as MO
+    from qualab.plans import checks_models as CM
+
+    tried = []
+
+    def trained(name, est, data, run_id, problem_type, cv_folds, *_, **__):
+        tried.append((name, cv_folds))
+        return None, data, {"r2": 0.0, "cv_mean": 0.0, "cv_std": 0.0, "train_seconds": 0.0}, None
+
+    monkeypatch.setattr(MO, "train_one", trained)
+    assert CM.m20r(spark, sf).count() == 4 * len(MO.REGRESSION_MODELS)
+    assert sorted(tried) == sorted((name, 5) for name in MO.REGRESSION_MODELS) and len(tried) == 10
