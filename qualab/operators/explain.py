@@ -10,12 +10,15 @@ spread over all tasks; nothing is collected.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualab.functions.arrow import matrix
 from qualab.functions.hashing import hash_unit, row_key
 from qualab.session import ensure_checkpoint_dir
 
@@ -47,6 +50,43 @@ def _score_col(out: DataFrame) -> Column:
     return F.col("prediction").cast("double")
 
 
+def _shares_by_trees(model, x: DataFrame, mean: list[float], permutations: int, seed: int) -> DataFrame:
+    """(_k, _j, shap): the shares of :func:`permutation_shap` for a model whose score is the mean over its trees' leaves.
+
+    The coalition vectors of a row meet few leaves of a tree, so all of a row's permutations are followed down a tree at
+    once (:func:`qualab.operators.trees.permutation_shares`).  The tasks hold one part of a large model at a time."""
+    from qualab.operators.trees import dealt, permutation_shares
+
+    d, context, which = len(mean), x.sparkSession.sparkContext, model.outputs - 1
+    until = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    hashes = F.flatten(F.transform(until(permutations), lambda p: F.transform(until(d), lambda j: F.xxhash64(F.lit(seed), F.col("_k"), p, j))))
+    rows = dealt(x.select("_k", "_x", hashes.alias("_h")))
+    large = model.nodes() > model.broadcast_nodes
+    if large:
+        ensure_checkpoint_dir(x.sparkSession)
+        rows = rows.checkpoint()
+    kind, per = rows.schema["_k"].dataType.simpleString(), None
+    for ensemble in model.parts():
+        held = context.broadcast((ensemble, np.array(mean)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ensemble, mean = held.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    order = np.argsort(matrix(part.column("_h")).reshape(-1, permutations, d), axis=2, kind="stable")
+                    phi = permutation_shares(ensemble, matrix(part.column("_x")), mean, np.argsort(order, axis=2), which)
+                    ends = pa.array(np.arange(len(phi) + 1, dtype=np.int32) * d)
+                    yield pa.RecordBatch.from_arrays([part.column("_k"), pa.ListArray.from_arrays(ends, pa.array(phi.reshape(-1)))], names=["_k", "_phi"])
+
+        one = rows.mapInArrow(run, f"_k {kind}, _phi array<double>")
+        if large:
+            one = one.checkpoint()
+            held.destroy()
+        per = one if per is None else per.unionByName(one)
+    return per.select("_k", F.posexplode("_phi").alias("_j", "_d")).groupBy("_k", "_j").agg(F.sum("_d").alias("shap"))
+
+
 def permutation_shap(model, df: DataFrame, feature_names: Sequence[str], background: DataFrame | None = None,
                      permutations: int = 32, key: str = "row_key", features_col: str = "features",
                      seed: int = 42) -> DataFrame:
@@ -54,7 +94,8 @@ def permutation_shap(model, df: DataFrame, feature_names: Sequence[str], backgro
 
     The background is the vector of feature means.  For each row and permutation π the
     coalition vectors z_0 … z_d switch features to the row's values in π order; the shap of
-    feature π[t] is f(z_{t+1}) − f(z_t), averaged over permutations (exact for linear models)."""
+    feature π[t] is f(z_{t+1}) − f(z_t), averaged over permutations (exact for linear models).  For
+    forests without a depth limit the same scores come from the leaves that the vectors reach."""
     d = len(feature_names)
     bg = background if background is not None else df
     mean_arr = bg.select(vector_to_array(features_col).alias("x")) \
@@ -85,7 +126,9 @@ def permutation_shap(model, df: DataFrame, feature_names: Sequence[str], backgro
         deltas = scored.select("_k", F.inline(F.array_compact(F.array(on, off))))
         return deltas.groupBy("_k", "_j").agg((F.sum("_d") / permutations).alias("shap"))
 
-    if hasattr(model, "parts") and model.outputs <= 2 and model.nodes() > model.broadcast_nodes:
+    if hasattr(model, "parts") and model.outputs <= 2 and d <= 64:
+        per = _shares_by_trees(model, x, [float(mean_arr[f"m{j}"]) for j in range(d)], permutations, seed)
+    elif hasattr(model, "parts") and model.outputs <= 2 and model.nodes() > model.broadcast_nodes:
         # the score is a sum over the model's trees, and so are the shares: the tasks hold one part of it at a time
         # instead of shuffling every coalition to every tree
         ensure_checkpoint_dir(df.sparkSession)
